@@ -25,8 +25,8 @@ from pyspark.sql import Window
 
 from .common import table
 
-PER_LANGUAGE, MOST_ROWS, BUCKETS = 300, 4000, 4096
-RIDGE, CLOSE = 1e-3, 0.1
+PER_LANGUAGE, MOST_ROWS, BUCKETS = 800, 4000, 4096
+RIDGE, CLOSE = 1e-3, 0.03
 UNKNOWN = "und"
 
 

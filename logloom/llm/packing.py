@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 SIZE, END_ID = 4096, 2
-FLUSH, GRID, LONG_GAP = 64 * 4096, 32, 512
+FLUSH, GRID, LONG_GAP = 64 * 4096, 32, 48
 SENTENCE_COST, HARD_COST, SEQUENCE_COST = 2, 8, 8
 CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
