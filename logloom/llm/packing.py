@@ -4,8 +4,8 @@ Each task packs the documents of its own partition in their order, so nothing is
 partition is left part full. The ids lie end to end; windows are cut at document ends (free), sentence ends or, where
 sentences are long, every GRID ids (penalties). The cost of a window is its padding to `size` (none if its length is a
 power of two), a fixed cost for each sequence, and the penalty of its cut. The best earlier cut is the head of a
-monotone queue over the cuts at most `size` ids back. The programme runs over FLUSH ids at a time and carries over what
-the last two windows hold.
+monotone queue over the cuts at most `size` ids back. The programme runs over FLUSH ids at a time and carries over the
+ids after its best last cut.
 
 Defined cases: null text is an empty document of the end id alone; a null doc_id is carried; repeated rows are packed
 one by one; an empty table gives no pieces; other columns are left out.
@@ -84,7 +84,11 @@ def cuts(ends: list[int], marks: np.ndarray, total: int) -> tuple[list[int], lis
 
 
 def best_windows(at: list[int], cost: list[int], size: int, last: bool) -> list[int]:
-    """Ends of the windows of least cost from the first to the last place. last: also lengths that are powers of two."""
+    """Ends of the windows of least cost from the first place on.
+
+    last: they end at the last place, and lengths that are powers of two count as full. Else they end within the last
+    `size` ids, where the cost is least for the ids packed, so that no window is filled less for the chunk's end.
+    """
     n = len(at)
     f, back = [0.0] * n, [0] * n
     place = {p: i for i, p in enumerate(at)} if last else {}
@@ -105,6 +109,9 @@ def best_windows(at: list[int], cost: list[int], size: int, last: bool) -> list[
             queue.pop()
         queue.append((mine, p, j))
     out, j = [], n - 1
+    if not last:
+        per_id = (SEQUENCE_COST + HARD_COST) / size
+        j = min((k for k in range(n - 1, 0, -1) if at[-1] - at[k] < size), key=lambda k: f[k] - at[k] * per_id)
     while j:
         out.append(at[j])
         j = back[j]
@@ -135,7 +142,7 @@ class Packer:
             ends.append(at)
         windows = best_windows(*cuts(ends, np.concatenate(marks), at), self.size, last)
         rows, begun = [], 0
-        for end in windows if last else windows[:-2]:
+        for end in windows:
             rows += self.emit(end - begun)
             begun = end
         return rows
