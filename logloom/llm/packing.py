@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +28,16 @@ from .common import table
 SIZE, END_ID = 4096, 2
 FLUSH, GRID, LONG_GAP = 64 * 4096, 32, 48
 SENTENCE_COST, HARD_COST, SEQUENCE_COST = 2, 8, 8
-CACHE_WORDS = 400_000
+CACHE_WORDS, BATCH = 1_000_000, 512
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Ids of texts, with a memory of words: ASCII blanks always end a token, so words can be encoded apart."""
+    """Ids of texts, with a memory of words: ASCII blanks always end a token, so words can be encoded apart.
+
+    Of a new word, a run of ASCII marks after its last letter is encoded apart as well (the tokenizer splits there), and
+    words of letters only are encoded many at a time: each of them ends with a token that ends a word.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -43,30 +48,61 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.tail = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|$)")
+        letter = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
+        self.letters = re.compile(letter + rb"+")
+        self.marked = re.compile(rb"(.*?" + letter + rb")([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+        self.final = np.zeros(self.tok.get_vocab_size(), bool)
+        self.final[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.ends = [i for i in map(self.tok.token_to_id, (".</w>", "!</w>", "?</w>")) if i is not None]
 
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "surrogatepass")
-        # Special strings and combining marks depend on case; elsewhere a letter's case and a lone final mark don't matter.
-        if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
-            return raw.split()
-        return self.tail.sub(rb" \g<0>", raw.lower()).split()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 256):
-            split = [self.words(t) for t in texts[k : k + 256]]
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = set().union(*split)
-            ordered = list(new)
-            found = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in ordered], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(ordered, found, strict=True))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, w)) for w in split]
-        return out
+    @staticmethod
+    def delicate(raw: bytes) -> bool:
+        """Whether letters' case or the place of marks may matter: special strings, combining marks."""
+        return b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+
+    def encode(self, words: list[bytes]) -> None:
+        """Put words into the memory."""
+        plain = [w for w in words if self.letters.fullmatch(w)]
+        other = [w for w in words if not self.letters.fullmatch(w)]
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            at = (np.flatnonzero(self.final[ids]) + 1) * 4
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, at.tolist(), strict=True):
+                self.known[w] = raw[start:end]
+                start = end
+        found = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+        for w, e in zip(other, found, strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        split = {w: m.groups() for w in words if (m := self.marked.fullmatch(w)) and not self.delicate(w)}
+        parts = {x for pair in split.values() for x in pair} | words.difference(split)
+        self.encode([w for w in parts if w not in self.known])
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in split.items())
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, four bytes each. Words are numbered by Arrow, so only distinct ones are looked up."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring_regex(texts, "<\\||[\u0300-\u037f]")
+        words = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        new = set(distinct).difference(self.known)
+        self.learn(new)
+        ids = list(map(self.known.__getitem__, distinct))
+        if len(self.known) > CACHE_WORDS:  # what came first, and so is frequent, stays
+            for w in new:
+                del self.known[w]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = coded.indices.to_numpy()
+        own = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        out = flat[np.arange(upto[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], own)]
+        ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [out[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def cuts(ends: list[int], marks: np.ndarray, total: int) -> tuple[list[int], list[int]]:
@@ -180,9 +216,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, len(ids), 256):
-                own = [t or "" for t in texts.slice(k, 256).to_pylist()]
-                for doc_id, x in zip(ids[k : k + 256], encode(own), strict=True):
+            for k in range(0, len(ids), BATCH):
+                for doc_id, x in zip(ids[k : k + BATCH], encode(texts.slice(k, BATCH)), strict=True):
                     rows += packer.add(doc_id, x + end)
             yield out()
             rows = []
