@@ -28,7 +28,8 @@ from .common import table
 SIZE, END_ID = 4096, 2
 FLUSH, GRID, LONG_GAP = 64 * 4096, 32, 48
 SENTENCE_COST, HARD_COST, SEQUENCE_COST = 2, 8, 8
-CACHE_WORDS, BATCH = 1_000_000, 512
+CACHE_WORDS, BATCH = 1_000_000, 2048
+MARKS = frozenset(bytes([c]) for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,8 +63,11 @@ class WordIds:
 
     def encode(self, words: list[bytes]) -> None:
         """Put words into the memory."""
-        plain = [w for w in words if self.letters.fullmatch(w)]
-        other = [w for w in words if not self.letters.fullmatch(w)]
+        plain: list[bytes] = []
+        other: list[bytes] = []
+        whole = self.letters.fullmatch
+        for w in words:
+            (plain if whole(w) else other).append(w)
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
             ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
@@ -77,10 +81,13 @@ class WordIds:
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        split = {w: m.groups() for w in words if (m := self.marked.fullmatch(w)) and not self.delicate(w)}
-        parts = {x for pair in split.values() for x in pair} | words.difference(split)
-        self.encode([w for w in parts if w not in self.known])
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in split.items())
+        known, marked = self.known, self.marked.fullmatch
+        split = [(w, *m.groups()) for w in words if w[-1:] in MARKS and (m := marked(w)) and not self.delicate(w)]
+        parts = words.difference([x[0] for x in split])
+        parts.update([x[1] for x in split], [x[2] for x in split])
+        self.encode(list(parts.difference(known)))
+        for w, a, b in split:
+            known[w] = known[a] + known[b]
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, four bytes each. Words are numbered by Arrow, so only distinct ones are looked up."""
@@ -96,11 +103,12 @@ class WordIds:
             for w in new:
                 del self.known[w]
         flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
         at = coded.indices.to_numpy()
         own = sizes[at]
-        upto = np.concatenate([[0], np.cumsum(own)])
-        out = flat[np.arange(upto[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], own)]
+        upto = np.concatenate([[0], np.cumsum(own, dtype=np.int32)])
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[at] - upto[:-1]
+        out = flat[np.arange(upto[-1], dtype=np.int32) + np.repeat(shift, own)]
         ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return [out[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
