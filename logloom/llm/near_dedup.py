@@ -8,8 +8,8 @@ first one's component are compared, on full sets, with all classes of other comp
 (6) components again. So within each bucket every pair that could still join two components is confirmed or refuted,
 though a bucket's pairs are never listed.
 
-With 5 rows in 24 bands a pair of similarity 0.85 is missed with probability 1e-6. The signature test lets pass what
-is within 5 standard deviations of the limit.
+With 5 rows in 16 bands a pair of similarity 0.85 is missed with probability 8e-5, one of 0.9 with 5e-7. The signature
+test lets pass what is within 5 standard deviations of the limit.
 
 Defined cases: null or blank texts have an empty set and link with nothing; so do rows with a null doc_id (kept, null
 component); rows that repeat a doc_id are each looked at and share the component; an empty table gives no rows; other
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .graph import components
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 16, 5
 HASHES = BANDS * ROWS
 BLOCK_MINOR, BLOCK_ALL = 256, 1024
 WORD_MEMORY = 300_000
@@ -110,8 +110,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         continue
                     sig = minima(x)
                     keyed = np.column_stack([np.arange(BANDS, dtype=np.uint64), sig.reshape(BANDS, ROWS).astype(np.uint64)])
-                    f1 = np.bitwise_xor.reduce(x * np.uint64(0x94D049BB133111EB) ^ (x >> np.uint64(7)))
-                    rows.append((doc_id, len(x), int(f1.view(np.int64)), int(x.sum().view(np.int64)), sig.view(np.int32), _mix(keyed).view(np.int64)))
+                    rows.append((doc_id, len(x), _set_hash(x), int(x.sum().view(np.int64)), sig.view(np.int32), _mix(keyed).view(np.int64)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -120,19 +119,23 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set (array<long>), n of every row."""
+    """doc_id, set (array<long>), n and set hash f1 of every row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(width)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                own = [sets(t).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.column(0).to_pylist(), pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array([len(x) for x in own], pa.int64())], names=["doc_id", "set", "n"]
-                )
+                own = [sets(t) for t in part.column(1).to_pylist()]
+                columns = [part.column(0).to_pylist(), [x.view(np.int64) for x in own], [len(x) for x in own], [_set_hash(x) for x in own]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "set", "n", "f1"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(made, "doc_id long, set array<long>, n long")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(made, "doc_id long, set array<long>, n long, f1 long")
+
+
+def _set_hash(x: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(x ^ (x >> np.uint64(7))).view(np.int64)) if len(x) else 0
 
 
 def _similar(common, na, nb, percent: int):
@@ -201,29 +204,31 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     signed = written(signatures(docs, width))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("v")).select("f1", "f2", "rep", "v.*"))
-    keyed = classes.select("rep", "f1", "n_shingles", F.explode("bands").alias("key"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("rep", "f1", "n_shingles")).alias("lead"), F.count("*").alias("members"))
-    fits = (100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles")) & (F.struct("rep", "f1") != F.struct("lead.rep", "lead.f1"))
-    proposed = keyed.join(first.where("members > 1"), "key").where(fits).select(F.col("lead.rep").alias("a"), F.col("lead.f1").alias("fa"), F.col("rep").alias("b"), F.col("f1").alias("fb")).distinct()
+    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
+    # The buckets of several classes: small beside all keys.
+    shared = written(keyed.join(first, "key").select("key", "rep", "lead"))
+    proposed = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     # Signatures: what lies over 5 standard deviations below the limit cannot be similar enough.
     p = percent / 100
     least = int(HASHES * max(0.0, p - 5 * (p * (1 - p) / HASHES) ** 0.5))
-    sig = classes.select("rep", "f1", "sig")
-    pairs = proposed.join(sig.toDF("b", "fb", "sb"), ["b", "fb"]).join(sig.toDF("a", "fa", "sa"), ["a", "fa"])
+    sig = classes.select("rep", "n_shingles", "sig")
+    pairs = proposed.join(sig.toDF("b", "nb", "sb"), "b").join(sig.toDF("a", "na", "sa"), "a")
     equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-    likely = written(pairs.where(equal >= least).select("a", "fa", "b", "fb"))
-    # Full sets, of the classes in a likely pair only.
-    ends = likely.select("a", "fa").union(likely.select("b", "fb")).distinct().toDF("doc_id", "set_f1")
-    wanted = docs.select("doc_id", "text").join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(wanted, width)
-    f1 = F.aggregate("set", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
-    sets = written(sets.withColumn("x", f1).dropDuplicates(["doc_id", "n", "x"]))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    likely = written(pairs.where(fits & (equal >= least)).select("a", "b"))
+    # Full sets of the classes in these buckets, read once; a merge join at every size, as the ids grow with the input.
+    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    sets = shingle_sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), width).where("n > 0")
+    named = classes.select(F.col("rep").alias("doc_id"), F.col("f1"), F.col("n_shingles").alias("n"))
+    sets = sets.join(named, ["doc_id", "n", "f1"], "left_semi").select("doc_id", "set", "n")
+    sets = written(sets.dropDuplicates(["doc_id"]))
     both = likely.join(sets.selectExpr("doc_id as b", "set as sb", "n as nb"), "b").join(sets.selectExpr("doc_id as a", "set as sa", "n as na"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     links = both.where(_similar(common, F.col("na"), F.col("nb"), percent)).select("a", "b")
     found = components(links)
     # Buckets that hold several components: classes outside the first one's component against all the others.
-    placed = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("bands").alias("key"))
+    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "key")
     mixed = placed.groupBy("key").agg(
         F.min_by("comp", "rep").alias("lead_comp"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"),
         F.bit_xor(F.xxhash64("rep")).alias("who"), F.sum(F.shiftright(F.xxhash64(F.col("rep") + 1), 24)).alias("who2"),
@@ -238,9 +243,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     asked = rows.where("minor").select("rep", "comp", "key", F.lit(True).alias("q"), place(minor_blocks).alias("i"), F.explode(spread(all_blocks)).alias("j"))
     against = rows.select("rep", "comp", "key", F.lit(False).alias("q"), place(all_blocks).alias("j"), F.explode(spread(minor_blocks)).alias("i"))
     blocks = written(asked.unionByName(against))
-    who = blocks.select(F.col("rep").alias("doc_id")).distinct()
-    more = shingle_sets(docs.select("doc_id", "text").join(who, "doc_id", "left_semi"), width).where("n > 0").dropDuplicates(["doc_id", "n"])
-    dealt = blocks.join(more.select(F.col("doc_id").alias("rep"), "set"), "rep").select("key", "i", "j", "q", "comp", "set")
+    dealt = blocks.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep").select("key", "i", "j", "q", "comp", "set")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     joined = components(dealt.mapInArrow(block_links(percent), "a long, b long"))
     final = found.join(joined.toDF("component", "last"), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
