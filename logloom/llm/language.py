@@ -25,7 +25,7 @@ from pyspark.sql import Window
 
 from .common import table
 
-PER_LANGUAGE, MOST_ROWS, BUCKETS = 800, 4000, 4096
+PER_LANGUAGE, MOST_ROWS, BUCKETS = 500, 2000, 4096
 RIDGE, CLOSE = 1e-3, 0.03
 UNKNOWN = "und"
 
@@ -59,8 +59,9 @@ class Model:
         self.langs, self.code = langs, codewords(len(langs))
         if len(langs) > 1:
             bits = self.code[y]
-            kernel = x @ x.T + RIDGE * len(x) * np.eye(len(x), dtype=np.float32) / 100
-            self.weights = (x.T @ np.linalg.solve(kernel.astype(float), bits)).astype(np.float32)
+            kernel = (x @ x.T).astype(float)
+            kernel[np.diag_indices(len(x))] += RIDGE * len(x) / 100
+            self.weights = (x.T @ np.linalg.solve(kernel, bits).astype(np.float32)).astype(np.float32)
             right = ((x @ self.weights) * bits > 0).mean(axis=0)
             self.trust = np.clip(2 * right - 1, 0.05, 1)
 
@@ -95,12 +96,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: counts(t).tobytes())
+        return texts.map(lambda t: counts(t).astype(np.float16).tobytes())
 
     rows = sorted((r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)) for r in sample.select("doc_id", "lang", vectors("text").alias("x")).collect())
     langs = sorted({r[0] for r in rows})
     place = {x: i for i, x in enumerate(langs)}
-    x = np.stack([np.frombuffer(r[3], np.float32) for r in rows]) if rows else np.zeros((0, BUCKETS + 1), np.float32)
+    x = np.stack([np.frombuffer(r[3], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BUCKETS + 1), np.float32)
     return Model(langs, x, np.array([place[r[0]] for r in rows], int))
 
 
