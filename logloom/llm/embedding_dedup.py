@@ -161,7 +161,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST) -> DataFrame:
     classes = written(vectors.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
     # A repeated vec_id may stand for two classes: name the class by its vector's hash too.
     hashed = written(coded(classes))
-    places = hashed.select("rep", "label", F.size("embedding").alias("d"), F.explode("codes").alias("code"))
+    places = hashed.select("rep", "label", F.size("embedding").alias("d"), F.explode(F.array_distinct("codes")).alias("code"))
     shared = places.groupBy("label", "d", "code").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK)
     own = F.pmod(F.xxhash64("rep"), blocks)

@@ -56,7 +56,7 @@ class Model:
     """Weights of one classifier per bit, and the codewords."""
 
     def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray) -> None:
-        self.langs, self.code = langs, codewords(len(langs))
+        self.langs, self.code = langs, codewords(max(2, len(langs)))
         if len(langs) > 1:
             bits = self.code[y]
             kernel = (x @ x.T).astype(float)
