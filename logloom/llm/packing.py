@@ -13,6 +13,7 @@ one by one; an empty table gives no pieces; other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from .common import table
 SIZE, END_ID = 4096, 2
 FLUSH, GRID, LONG_GAP = 64 * 4096, 32, 48
 SENTENCE_COST, HARD_COST, SEQUENCE_COST = 2, 8, 8
-CACHE_WORDS, BATCH = 1_000_000, 2048
+CACHE_WORDS, BATCH = 250_000, 2048
 MARKS = frozenset(bytes([c]) for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -113,6 +114,12 @@ class WordIds:
         return [out[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def cuts(ends: list[int], marks: np.ndarray, total: int) -> tuple[list[int], list[int]]:
     """Places where a window may end and their penalties, in order, from 0 to total."""
     cost = np.full(total + 1, -1, np.int16)
@@ -214,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
     end = np.array([end_id], "<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         packer = Packer(size, TaskContext.get().partitionId() << 32, encode.ends)
         rows: list[tuple] = []
 
