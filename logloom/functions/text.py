@@ -81,3 +81,61 @@ def filesystem_path(args: Column, keys: tuple[str, ...] = ("path", "file_path",
     """First value under keys of a JSON object text that is a path and no URI."""
     values = [F.get_json_object(args, f"$.{k}") for k in keys]
     return F.coalesce(*[F.when((v != "") & ~v.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), v) for v in values])
+
+
+def clip_sentence(text: Column, most: int = 200) -> Column:
+    """At most `most` characters: up to the last end of a sentence beyond half of them, else as clip does."""
+    whole = F.regexp_extract(F.substring(text, 1, most), r"^([\s\S]*[.!?])(?=\s|\z)", 1)
+    return F.when(F.char_length(text) <= most, text).when(F.char_length(whole) >= most * 0.5, whole).otherwise(clip(text, most))
+
+
+def clip_bytes(text: Column, most: int) -> Column:
+    """Whole characters within so many UTF-8 bytes."""
+    data = F.encode(text, "UTF-8")
+    starts = lambda n: ~F.hex(F.substring(data, n + 1, 1)).rlike("^[89AB]")  # noqa: E731  a character starts after n bytes
+    end = F.when(starts(most), most).when(starts(most - 1), most - 1).when(starts(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(data, F.lit(1), end), "UTF-8"))
+
+
+def line_snippet(text: Column, pattern: str, around: int = 2, most: int = 2000) -> Column:
+    """The first line that matches, with lines around it and how many lie beyond; null without one. Lines longer than
+    `most` keep what surrounds the match (other lines: their start)."""
+    lines = F.split(text, "\n")
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), F.lit(True)).cast("int")
+    lo, hi = F.greatest(at - around, F.lit(1)), F.least(at + around, F.size(lines))
+    budget = most - 64
+
+    def clipped(line: Column) -> Column:
+        place = F.greatest(F.regexp_instr(line, F.lit(pattern)) - 1, F.lit(0))
+        hit = F.least(F.coalesce(F.char_length(F.regexp_substr(line, F.lit(pattern))), F.lit(0)), F.lit(budget))
+        start = F.greatest(place - F.floor((budget - hit) / 2), F.lit(0))
+        start = F.least(start, F.char_length(line) - budget).cast("int")
+        after = F.char_length(line) - start - budget
+        before = F.when(start > 0, F.concat(F.lit("...("), start.cast("string"), F.lit(" chars before)"))).otherwise("")
+        return F.when(F.char_length(line) <= most, line).otherwise(
+            F.concat(before, F.substring(line, start + 1, F.lit(budget)), F.when(after > 0, F.concat(F.lit("...("), after.cast("string"), F.lit(" chars after)"))).otherwise(""))
+        )
+
+    above = F.when(lo > 1, F.concat(F.lit("...("), (lo - 1).cast("string"), F.lit(" lines above)")))
+    below = F.when(hi < F.size(lines), F.concat(F.lit("...("), (F.size(lines) - hi).cast("string"), F.lit(" lines below)")))
+    return F.when(at > 0, F.concat_ws("\n", above, F.array_join(F.transform(F.slice(lines, lo, hi - lo + 1), clipped), "\n"), below))
+
+
+def escape_commas(path: Column) -> Column:
+    return F.replace(F.regexp_replace(path, r"[\r\n]+", " "), F.lit(","), F.lit("\\,"))
+
+
+def split_escaped(listed: Column) -> Column:
+    """escape_commas undone for a list joined by commas."""
+    items = F.transform(F.split(listed, r"(?<!\\),"), lambda x: F.trim(F.replace(x, F.lit("\\,"), F.lit(","))))
+    return F.filter(items, lambda x: x != "")
+
+
+def query_of(text: Column, most: int = 6) -> Column:
+    """The first tokens of at least three characters, as a query."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_./-]{3,}"), F.lit(0)), 1, most), " ")
+
+
+def holds_terms(text: Column, query: Column) -> Column:
+    """Whether every term of a query occurs, whatever its case."""
+    return F.forall(F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != ""), lambda t: F.contains(F.lower(text), t))

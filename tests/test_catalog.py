@@ -1,7 +1,7 @@
 import pytest
 
 from logloom.functions import relevance as R
-from logloom.plans import catalog
+from logloom.plans import catalog, transcripts  # noqa: F401  transcripts adds its queries to the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
