@@ -1,15 +1,16 @@
 """MinHash near-dedup of documents: exact components of the links that banding proposes.
 
-Steps: (1) each text gives its set of word shingles as 64-bit hashes, HASHES multiply-shift minima, and one key for
-each band of ROWS minima; (2) documents with equal sets form a class, its smallest doc_id stands for it; (3) in each
+Steps: (1) each text gives its set of word shingles as 64-bit hashes, and multiply-shift minima, ROWS for each
+band, whose hash is the band's key; (2) documents with equal sets form a class, its smallest doc_id stands for it; (3) in each
 band bucket every class is compared with the bucket's first one: signatures first, then full sets; (4) components of
 those links by large-star and small-star; (5) in buckets that still hold several components, the classes outside the
 first one's component are compared, on full sets, with all classes of other components, in blocks of bounded size;
 (6) components again. So within each bucket every pair that could still join two components is confirmed or refuted,
 though a bucket's pairs are never listed.
 
-With 5 rows in 16 bands a pair of similarity 0.85 is missed with probability 8e-5, one of 0.9 with 5e-7. The signature
-test lets pass what is within 5 standard deviations of the limit.
+The limit gives the number of bands: so many that a pair at the limit meets in none with probability MISS (1e-6) at
+most. At 0.85 that is 24 bands of 5 rows (7.7e-7), at 0.80 35 bands (9.2e-7). The signature test lets pass what is within
+5 standard deviations of the limit.
 
 Defined cases: null or blank texts have an empty set and link with nothing; so do rows with a null doc_id (kept, null
 component); rows that repeat a doc_id are each looked at and share the component; an empty table gives no rows; other
@@ -18,22 +19,28 @@ columns are left out of the classes and carried by dedup().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 from .graph import components
 
-BANDS, ROWS = 16, 5
-HASHES = BANDS * ROWS
+ROWS, MISS = 5, 1e-6
 BLOCK_MINOR, BLOCK_ALL = 256, 1024
 WORD_MEMORY = 300_000
 
 
+def bands_for(percent: int) -> int:
+    """The least number of bands in which a pair at the limit meets but for MISS."""
+    meets = (percent / 100) ** ROWS
+    return 1 if meets >= 1 else math.ceil(math.log(MISS) / math.log1p(-meets))
+
+
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes."""
 
@@ -68,9 +75,9 @@ class Shingler:
 
 
 class Minima:
-    """Signatures: HASHES minima of a*x+b modulo 2**64, the upper half of each (multiply-shift)."""
+    """Signatures: n minima of a*x+b modulo 2**64, the upper half of each (multiply-shift)."""
 
-    def __init__(self, n: int = HASHES) -> None:
+    def __init__(self, n: int) -> None:
         r = np.random.default_rng(4)
         self.a = (r.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
         self.b = r.integers(0, 2**63, n, np.uint64)[:, None]
@@ -84,40 +91,34 @@ class Minima:
         return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def _mix(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of 64-bit numbers."""
-    x = np.full(len(rows), 0x9E3779B97F4A7C15, np.uint64)
-    for i in range(rows.shape[1]):
-        x = (x ^ rows[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-    return x
-
-
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set hash f1 and f2, signature and band keys of every row."""
-    names = ["doc_id", "n_shingles", "f1", "f2", "sig", "bands"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+def signatures(docs: DataFrame, width: int, hashes: int) -> DataFrame:
+    """doc_id, n_shingles, set hash f1 and f2, and signature of every row."""
+    names = ["doc_id", "n_shingles", "f1", "f2", "sig"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, minima = Shingler(width), Minima()
+        sets, minima = Shingler(width), Minima(hashes)
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part, rows = batch.slice(k, 2000), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     x = sets(text)
                     if not len(x):
-                        rows.append((doc_id, 0, 0, 0, None, None))
+                        rows.append((doc_id, 0, 0, 0, None))
                         continue
-                    sig = minima(x)
-                    keyed = np.column_stack([np.arange(BANDS, dtype=np.uint64), sig.reshape(BANDS, ROWS).astype(np.uint64)])
-                    rows.append((doc_id, len(x), _set_hash(x), int(x.sum().view(np.int64)), sig.view(np.int32), _mix(keyed).view(np.int64)))
+                    rows.append((doc_id, len(x), _set_hash(x), int(x.sum().view(np.int64)), minima(x).view(np.int32)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>, bands array<long>"
+    schema = "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>"
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(signed, schema)
 
 
+def band_keys(sig: Column, bands: int) -> Column:
+    """One 64-bit key for each ROWS minima of a signature."""
+    return F.array(*[F.xxhash64(F.lit(k), *[sig[k * ROWS + i] for i in range(ROWS)]) for k in range(bands)])
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set (array<long>), n and set hash f1 of every row."""
 
@@ -201,17 +202,19 @@ def block_links(percent: int):
 
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; linked: 100 * common >= percent * united."""
-    signed = written(signatures(docs, width))
+    bands = bands_for(percent)
+    hashes = bands * ROWS
+    signed = written(signatures(docs, width, hashes))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("v")).select("f1", "f2", "rep", "v.*"))
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    classes = written(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig"), "doc_id").alias("v")).select("f1", "f2", "rep", "v.*"))
+    keyed = classes.select("rep", F.explode(band_keys(F.col("sig"), bands)).alias("key"))
     first = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     # The buckets of several classes: small beside all keys.
     shared = written(keyed.join(first, "key").select("key", "rep", "lead"))
     proposed = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     # Signatures: what lies over 5 standard deviations below the limit cannot be similar enough.
     p = percent / 100
-    least = int(HASHES * max(0.0, p - 5 * (p * (1 - p) / HASHES) ** 0.5))
+    least = int(hashes * max(0.0, p - 5 * (p * (1 - p) / hashes) ** 0.5))
     sig = classes.select("rep", "n_shingles", "sig")
     pairs = proposed.join(sig.toDF("b", "nb", "sb"), "b").join(sig.toDF("a", "na", "sa"), "a")
     equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))

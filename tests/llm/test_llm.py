@@ -93,6 +93,17 @@ def test_near_dedup(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id in (5, 6, 8)").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize(("common", "percent"), [(8, 80), (17, 85)])
+def test_near_pairs_at_the_limit(spark, common, percent):
+    """Lone pairs exactly at the limit: none may leave as two documents."""
+    docs, own = [], (100 * common // percent - common) // 2
+    for g in range(6000):
+        shared = [f"s{g}x{i}" for i in range(common)]
+        docs += [(2 * g + k, " ".join(shared + [f"o{g}x{k}x{i}" for i in range(own + (k and (100 * common // percent - common) % 2))])) for k in (0, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert near_dedup.near_classes(frame, 1, percent).where("kept").count() == 6000
+
+
 def test_embeddings(spark):
     import numpy as np
 
