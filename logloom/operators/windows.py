@@ -81,7 +81,7 @@ def budget_cuts(messages: DataFrame, most: int = TAIL_MOST) -> DataFrame:
 
 
 def retained_outputs(outputs: DataFrame, limit: int, marker: int = 15) -> DataFrame:
-    """outputs (session_id, seq, tokens) with kept: newest first while their sum fits; after the first that doesn't, only those no dearer than a marker."""
+    """outputs (session_id, seq, tokens), all of them consumed, with kept: newest first while their sum fits; after the first that doesn't, only those no dearer than a marker."""
     newest = _by_session().orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     rows = outputs.withColumn("spent", F.sum("tokens").over(newest)).withColumn("rn", F.row_number().over(_by_session().orderBy(F.desc("seq"))))
     rows = rows.withColumn("broken", F.min(F.when((F.col("tokens") > marker) & (F.col("spent") > limit), F.col("rn"))).over(_by_session()))
@@ -89,6 +89,26 @@ def retained_outputs(outputs: DataFrame, limit: int, marker: int = 15) -> DataFr
     return rows.select("session_id", "seq", "tokens", kept.alias("kept"))
 
 
+def output_projection(messages: DataFrame, limit: int, marker: Column | int = 15) -> DataFrame:
+    """messages (session_id, seq, id, output, done, tokens) to session_id, seq, tokens, kept, pending, n_pending of outputs.
+
+    Outputs after the session's last assistant that is done are pending: shown and free of charge, as are all without such
+    an assistant. Of the others those with an id that the session holds once share the limit as in retained_outputs;
+    outputs whose id is missing or repeated neither spend nor go, and a limit of 0 omits nothing. n_pending counts a
+    session's pending outputs.
+    """
+    by_id = Window.partitionBy("session_id", "id")
+    rows = messages.withColumn("once", (F.coalesce("id", F.lit("")) != "") & (F.count("*").over(by_id) == 1))
+    rows = rows.withColumn("boundary", F.max(F.when(F.col("done"), F.col("seq"))).over(_by_session())).where("output")
+    rows = rows.withColumn("pending", F.coalesce(F.col("seq") > F.col("boundary"), F.lit(True))).withColumn("marker", marker if isinstance(marker, Column) else F.lit(marker))
+    rows = rows.withColumn("charged", ~F.col("pending") & F.col("once") & F.lit(limit > 0)).withColumn("cost", F.when(F.col("charged"), F.col("tokens")).otherwise(0))
+    newest = _by_session().orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("spent", F.sum("cost").over(newest)).withColumn("dear", F.col("charged") & (F.col("tokens") > F.col("marker")))
+    rows = rows.withColumn("broken", F.max(F.when(F.col("dear") & (F.col("spent") > limit), F.col("seq"))).over(_by_session()))
+    kept = ~F.col("dear") | F.col("broken").isNull() | (F.col("seq") > F.col("broken"))
+    return rows.select("session_id", "seq", "tokens", kept.alias("kept"), "pending", F.count_if("pending").over(_by_session()).alias("n_pending"))
+
+
 def growth_trips(prefix: Column, fresh: Column) -> Column:
     """Whether a summary grew more than 512 characters or 25 % of what it replaces, or 4096 characters."""
     growth = fresh - prefix

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import brief, drill, summary
+from ..operators import brief, drill, summary, windows
 from ..sources import messages as M
 from ..sources.sessions import table
 from .catalog import BLOCKS, blocks, query
@@ -50,6 +50,20 @@ def usage_stats(spark, d):
     return M.usage(messages(spark, d)).drop("span_ms", "output_chars", "cache_read", "cache_write")
 
 
+@query(f"""WITH {PLACES}, m AS (SELECT session_id, source AS seq, CASE WHEN source % 11 = 0 THEN '' WHEN source % 7 = 0 THEN 'twice' ELSE 'm' || source END AS id, t = 'error' OR t = 'view' AND e % 3 = 0 AS output,
+  t IN ('click', 'purchase') OR t = 'view' AND e % 3 <> 0 AS done, CASE WHEN t = 'error' THEN ceil(length('line ' || e) / 4) ELSE ceil(length('ok ' || e) / 4) END::BIGINT AS tokens FROM v),
+b AS (SELECT session_id, max(seq) AS last_done FROM m WHERE done GROUP BY session_id),
+u AS (SELECT session_id, id FROM m WHERE id <> '' GROUP BY ALL HAVING count(*) = 1),
+o AS (SELECT m.*, b.last_done IS NULL OR m.seq > b.last_done AS pending, u.id IS NOT NULL AS once FROM m LEFT JOIN b ON b.session_id = m.session_id LEFT JOIN u ON u.session_id = m.session_id AND u.id = m.id WHERE m.output),
+c AS (SELECT session_id, seq, tokens, sum(tokens) OVER (PARTITION BY session_id ORDER BY seq DESC) AS spent FROM o WHERE NOT pending AND once),
+k AS (SELECT session_id, max(seq) AS broken FROM c WHERE tokens > 2 AND spent > 40 GROUP BY session_id)
+SELECT o.session_id, o.seq, o.tokens, o.pending OR NOT o.once OR o.tokens <= 2 OR k.broken IS NULL OR o.seq > k.broken AS kept, o.pending, count(*) FILTER (o.pending) OVER (PARTITION BY o.session_id) AS n_pending
+FROM o LEFT JOIN k ON k.session_id = o.session_id""")
+def tool_output_projection(spark, d):
+    ids = F.expr("CASE WHEN seq % 11 = 0 THEN '' WHEN seq % 7 = 0 THEN 'twice' ELSE concat('m', seq) END")
+    return windows.output_projection(M.outputs(messages(spark, d).withColumn("id", ids)), 40, 2)
+
+
 @query(f"WITH {PLACES} SELECT session_id, source, 'edit' AS name, {PATH} AS path, CASE WHEN e % 2 = 0 THEN 3 ELSE 4 END AS n_lines FROM v WHERE t = 'purchase'")
 def file_indicators(spark, d):
     return M.file_operations(parsed(spark, d)).select("session_id", "source", "name", "path", "n_lines")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nonblank_lines, sanitize
+from ..functions.text import nonblank_lines, sanitize, script_tokens
 
 #: Keys that hold a path, in the order they are tried.
 PATH_KEYS = ("path", "file_path", "filePath", "file")
@@ -129,6 +129,18 @@ def content_chars(message: Column) -> Column:
     return size(text_at(message, "$.content")) + F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def outputs(messages: DataFrame) -> DataFrame:
+    """messages (session_id, seq, id, message) as output_projection takes them: session_id, seq, id, output, done, tokens."""
+    m = F.col("message")
+    role = F.coalesce(text_at(m, "$.role"), F.lit(""))
+    shell = role == "bashExecution"
+    hidden = F.coalesce(F.to_json(F.try_variant_get(m, "$.excludeFromContext", "variant")) == "true", F.lit(False))
+    listed = F.array_join(F.transform(parts(m, "text"), lambda p: F.coalesce(text_at(p, "$.text"), F.lit(""))), "")
+    text = F.when(shell, F.coalesce(text_at(m, "$.output"), F.lit(""))).otherwise(F.coalesce(text_at(m, "$.content"), listed))
+    done = (role == "assistant") & ~F.coalesce(text_at(m, "$.stopReason").isin("error", "aborted"), F.lit(False))
+    return messages.select("session_id", "seq", "id", ((role == "toolResult") | (shell & ~hidden)).alias("output"), done.alias("done"), script_tokens(text).alias("tokens"))
+
+
 def usage(messages: DataFrame) -> DataFrame:
     """Per session: n, users, assistants, tool_calls, models, span_ms, input_chars, output_chars and the sums of usage."""
     m = F.col("message")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import brief as T
 from logloom.functions import text as X
-from logloom.operators import brief, drill, summary
+from logloom.operators import brief, drill, summary, windows
 from logloom.plans import transcripts
 from logloom.sources import messages as M
 
@@ -155,6 +155,20 @@ def test_many_files(spark):
     assert [x[: x.index(")") + 1] for x in lines[1:]] == ["Read (+10 more under /r/d0/)", "Read (+30 more under /r/d1/)", "Read (+30 more under /r/d2/)", "Read (+10 more under /r/d3/)", "Read (+30 more)"]
 
 
+def test_outputs_after_the_last_assistant_are_pending(spark):
+    out = lambda n: {"role": "toolResult", "content": [{"type": "text", "text": "x" * 4 * n}]}
+    rows = logged(
+        spark, out(90), out(10), out(60), out(60), out(60), out(30), {"role": "bashExecution", "output": "y" * 400, "excludeFromContext": True}, {"role": "assistant", "content": "done", "stopReason": "stop"},
+        out(500), {"role": "assistant", "content": "", "stopReason": "aborted"}, {"role": "bashExecution", "output": "z" * 2000},
+    )
+    found = M.outputs(rows.withColumn("id", F.expr("CASE seq WHEN 3 THEN NULL WHEN 4 THEN 'twice' WHEN 9 THEN 'twice' ELSE concat('m', seq) END")))
+    shown = windows.output_projection(found, 60).orderBy("seq").collect()
+    assert [(r.seq, r.kept) for r in shown] == [(0, False), (1, True), (2, False), (3, True), (4, True), (5, True), (8, True), (10, True)]
+    assert [r.seq for r in shown if r.pending] == [8, 10] and {r.n_pending for r in shown} == {2}
+    assert all(r.kept for r in windows.output_projection(found, 0).collect())
+    assert all(r.kept and r.pending for r in windows.output_projection(found.where("not done"), 60).collect())
+
+
 def test_drill_down(spark):
     body = "\n".join(f"l{i}" for i in range(50))
     two = {"role": "assistant", "content": [{"type": "toolCall", "name": "edit", "arguments": {"path": p, "edits": [{"oldText": "a"}, {"newText": "b"}]}} for p in ("/r/x.ts", "/r/y.ts")]}
