@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.brief import only_scaffolding
+
 #: Command and tool patterns.
 TEST = r"(?i)(?<![A-Za-z0-9_])(?:bun|npm|pnpm|yarn|node|pytest|cargo|go|mvn|gradle)(?![A-Za-z0-9_])[^\n]*(?:test|spec|check|lint|build|tsc)"
 WORKFLOW = r"(?i)(?:^|\s)(?:gh\s+(?:pr|issue)\s+[a-z-]+|git\s+(?:commit|push|merge|rebase|revert|cherry-pick|tag|reset|checkout|branch)(?![A-Za-z0-9_]))"
-TRIVIAL = r"^(?:set\s+[-+]|cd(?:\s+\S+)?$|export\s+\w+=|(?:source|\.)\s+\S+|pwd$|true$|:$|#|ls(?:\s|$)|echo(?![A-Za-z0-9_])|clear$|sleep(?![A-Za-z0-9_]))"
+BASH_PATH = r"(?:^|\s)([A-Za-z0-9_./-]+\.[A-Za-z0-9_-]+)(?:\s|$)"
 EDITS = r"(?i)^(edit|write|multiedit|quick_edit|target_edit|apply_patch)$"
 READS = r"(?i)^(read|glob|grep|ls|find|semantic_query|semantic_grep|semantic_show)$"
 
@@ -17,13 +19,23 @@ def _session():
     return Window.partitionBy("session_id").orderBy("blk")
 
 
-def scores(blocks: DataFrame) -> DataFrame:
-    """blocks with score and reasons: recency, kind, tool, command and outcome, by fixed points."""
+def scores(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """blocks with score and reasons: recency, kind, tool, command and outcome, by fixed points.
+
+    files (session_id, path, activity: modified or read), where the host knows them: calls and commands that name one gain.
+    """
+    path = F.when(F.col("kind") == "tool_call", F.col("path") if "path" in blocks.columns else None).when(F.col("kind") == "bash", F.regexp_extract("command", BASH_PATH, 1))
+    rows, modified, read = blocks, F.lit(False), F.lit(False)
+    if files is not None:
+        known = files.where("path <> ''").groupBy("session_id", F.col("path").alias("known_path")).agg(F.bool_or(F.col("activity") == "modified").alias("known_modified"), F.bool_or(F.col("activity") == "read").alias("known_read"))
+        rows = blocks.withColumn("known_path", path).join(known, ["session_id", "known_path"], "left")
+        modified, read = F.col("known_modified"), F.col("known_read")
     n = F.count("*").over(Window.partitionBy("session_id"))
     recency = F.when(n > 1, F.floor(F.col("blk") / (n - 1) * 12 + 0.5)).otherwise(0)
     is_bash, is_call = F.col("kind") == "bash", F.col("kind") == "tool_call"
-    has = F.coalesce("command", F.lit(""))
     failed = F.coalesce(F.col("exit_code") != 0, F.lit(False))
+    has = F.when(is_bash | (F.lower("name") == "bash"), F.coalesce("command", F.lit(""))).otherwise("")
+    trivial = only_scaffolding(has) & ((is_bash & ~failed) | (is_call & (has != "")))
     named = F.coalesce("name", F.lit(""))
     call = F.when(named.rlike(EDITS), F.struct(F.lit("edit-tool"), F.lit(34))).when(has.rlike(TEST), F.struct(F.lit("test-command"), F.lit(26)))
     call = call.when(named.rlike(READS), F.struct(F.lit("read-tool"), F.lit(6))).otherwise(F.struct(F.lit("tool-call"), F.lit(12)))
@@ -32,13 +44,13 @@ def scores(blocks: DataFrame) -> DataFrame:
         rule(F.col("kind") == "user", "user-turn", 18), rule(F.col("kind") == "assistant", "assistant-context", 10), rule(F.col("kind") == "custom", "custom-context", 12),
         rule(F.col("kind") == "tool_result", "tool-result-low-value", 1), F.when(is_call, call), rule(is_bash, "bash", 8), rule(is_bash & failed, "nonzero-exit", 24),
         rule(is_bash & has.rlike(TEST), "test-command", 22), rule((is_bash | is_call) & has.rlike(WORKFLOW), "workflow-command", 14),
-        rule(((is_bash & ~failed) | is_call) & (has != "") & has.rlike(TRIVIAL), "trivial-bash", -16),
+        rule(trivial, "trivial-bash", -16), rule(modified, "hook-modified-file", 18), rule(read, "hook-read-file", 6),
         rule((F.col("kind") == "tool_result") & (F.char_length("text") > 1000), "long-tool-result", -8),
     ]
     named_rules = [r.cast("struct<reason:string,points:int>") for r in rules]
     hit = F.filter(F.array(*named_rules), lambda r: r.isNotNull())
     total = recency + F.aggregate(hit, F.lit(0), lambda s, r: s + r["points"])
-    return blocks.select("*", total.cast("long").alias("score"), F.transform(hit, lambda r: r["reason"]).alias("reasons"))
+    return rows.select(*[F.col(f"`{c}`") for c in blocks.columns], total.cast("long").alias("score"), F.transform(hit, lambda r: r["reason"]).alias("reasons"))
 
 
 def adjacency(ranked: DataFrame) -> DataFrame:
@@ -59,9 +71,9 @@ def closing(blocks: DataFrame, least: int = 120) -> DataFrame:
     return rows.where((F.col("kind") == "assistant") & long_enough & F.coalesce(F.col("following") == "user", F.lit(True))).select("session_id", "blk")
 
 
-def ranked(blocks: DataFrame) -> DataFrame:
+def ranked(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """scores with both boosts."""
-    base = scores(blocks)
+    base = scores(blocks, files)
     boosted = base.join(adjacency(base), ["session_id", "blk"], "left").join(closing(blocks).withColumn("closes", F.lit(14)), ["session_id", "blk"], "left")
     return boosted.withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0)) + F.coalesce("closes", F.lit(0))).drop("boost", "closes")
 

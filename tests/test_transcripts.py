@@ -169,6 +169,25 @@ def test_outputs_after_the_last_assistant_are_pending(spark):
     assert all(r.kept and r.pending for r in windows.output_projection(found.where("not done"), 60).collect())
 
 
+def test_only_whole_scaffolding_is_penalised(spark):
+    def reasons(kind, name, command, exit_code=0, path=None, files=None):
+        b = spark.createDataFrame([("s", 0, kind, name, command, exit_code, path, "")], "session_id string, blk long, kind string, name string, command string, exit_code int, path string, text string")
+        return set(brief.B.scores(b, files).first().reasons)
+
+    for command, trivial in (
+        ("set -e\nmake deploy", False), ("export A=1\nnpm run deploy", False), ("cd /x\npwd", True), ("  \n# a\n\techo hi", True), ("cat > f <<EOF\nls\nEOF", False),
+        ("echo <<EOF\nmake\nEOF\nls", True), ("echo << EOF\nmake", False), ("echo <<EOF\nmake\n", False), ("ls\r\n", True), ("", True),
+    ):
+        assert ("trivial-bash" in reasons("bash", None, command)) == trivial, command
+        assert ("trivial-bash" in reasons("tool_call", "Bash", command)) == (trivial and command != ""), command
+    assert "trivial-bash" not in reasons("bash", None, "ls", 2)
+    assert reasons("tool_call", "monitor", "npm test && git push") == {"tool-call"} and reasons("tool_call", "monitor", "ls") == {"tool-call"}
+    assert reasons("tool_call", "bash", "npm test && git push") == {"test-command", "workflow-command"}
+    files = spark.createDataFrame([("s", "/r/a.py", "modified"), ("s", "/r/a.py", "read"), ("s", "b.txt", "read"), ("t", "/r/c.py", "read")], "session_id string, path string, activity string")
+    assert reasons("tool_call", "edit", None, path="/r/a.py", files=files) == {"edit-tool", "hook-modified-file", "hook-read-file"}
+    assert reasons("bash", None, "make b.txt", files=files) == {"bash", "hook-read-file"} and reasons("tool_call", "edit", None, path="/r/c.py", files=files) == {"edit-tool"}
+
+
 def test_drill_down(spark):
     body = "\n".join(f"l{i}" for i in range(50))
     two = {"role": "assistant", "content": [{"type": "toolCall", "name": "edit", "arguments": {"path": p, "edits": [{"oldText": "a"}, {"newText": "b"}]}} for p in ("/r/x.ts", "/r/y.ts")]}
