@@ -6,8 +6,8 @@ receives all its rows), then those rows are range-partitioned by hash, sorted by
 first occurrence streams past. What comes back per document are runs of lines to keep (a run-length bitmap), no text.
 
 Defined cases: null or empty text is one empty line; keys shorter than min_chars never count; repeats within the
-keeping document stay; rows that repeat a doc_id count as one document, each row loses the same line positions' keys;
-a null doc_id is left as it is; other columns are carried by dedup_lines() and left out of the query.
+keeping document stay; rows that repeat a doc_id count as one document, each row loses its own lines that an earlier
+document holds (a row is known by doc_id and a hash of its text); a null doc_id is left as it is; other columns are carried by dedup_lines() and left out of the query.
 """
 
 from __future__ import annotations
@@ -25,15 +25,15 @@ def _lines(text):
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, dropped: ordered runs (start, length) of dropped lines, for documents that lose lines."""
+    """doc_id, text_key, dropped: ordered runs (start, length) of dropped lines, for documents that lose lines."""
     lines = docs.where("doc_id is not null and text is not null").select(
-        "doc_id", F.spark_partition_id().alias("part"), F.posexplode(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
+        "doc_id", F.xxhash64("text").alias("text_key"), F.spark_partition_id().alias("part"), F.posexplode(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
     )
     key = F.btrim("line", F.lit(BLANKS))
-    hashed = lines.where(F.char_length(key) >= min_chars).select("doc_id", "pos", "part", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+    hashed = lines.where(F.char_length(key) >= min_chars).select("doc_id", "text_key", "pos", "part", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
     # Bounded by an input partition, whatever a line's frequency.
     local = hashed.groupBy("h1", "h2", "part").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.collect_list(F.struct("doc_id", "pos")).alias("places")
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.collect_list(F.struct("doc_id", "text_key", "pos")).alias("places")
     )
     by_hash = Window.partitionBy("h1", "h2")
     ranged = local.repartitionByRange("h1", "h2")
@@ -42,18 +42,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.first("first").over(by_hash.orderBy("first", "part")).alias("owner"),
         F.max("last").over(by_hash).alias("other"),
     ).where("owner < other")
-    lost = owned.select("owner", F.explode("places").alias("at")).where("at.doc_id <> owner").select("at.doc_id", "at.pos").distinct()
-    in_doc = Window.partitionBy("doc_id").orderBy("pos")
-    runs = lost.select("doc_id", "pos", (F.col("pos") - F.row_number().over(in_doc)).alias("island"))
-    runs = runs.groupBy("doc_id", "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length"))
-    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("dropped"))
+    lost = owned.select("owner", F.explode("places").alias("at")).where("at.doc_id <> owner").select("at.doc_id", "at.text_key", "at.pos").distinct()
+    in_doc = Window.partitionBy("doc_id", "text_key").orderBy("pos")
+    runs = lost.select("doc_id", "text_key", "pos", (F.col("pos") - F.row_number().over(in_doc)).alias("island"))
+    runs = runs.groupBy("doc_id", "text_key", "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length"))
+    return runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("dropped"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with its own columns under `doc`, and n_lines, n_dropped, kept_text."""
-    own = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     n, runs = F.size("line"), F.coalesce("dropped", F.array().cast("array<struct<start:int,length:int>>"))
-    joined = own.join(bitmaps, "doc_id", "left").withColumn("line", _lines(F.col("doc.text"))).withColumn("dropped", runs)
+    joined = own.join(bitmaps, ["doc_id", "text_key"], "left").withColumn("line", _lines(F.col("doc.text"))).withColumn("dropped", runs)
     starts = F.concat(F.array(F.lit(0)), F.transform("dropped", lambda r: r["start"] + r["length"]))
     ends = F.concat(F.transform("dropped", lambda r: r["start"]), F.array(n))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("line", a + 1, b - a)))

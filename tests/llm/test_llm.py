@@ -54,6 +54,19 @@ def test_line_dedup(odd, empty):
     assert out.columns == odd.columns and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_one_id_with_two_texts(spark):
+    a, b, c = ("the first shared line", "the second shared line", "a line of its own")
+    rows = [(1, f"{a}\n{b}"), (2, f"{c} one\n{c} two\n{a}\n{b}"), (2, f"{a}\n{c} three"), (2, f"{b}"), (2, f"{a}\n{c} three"), (3, f"{c} three\n{a}\nshort")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    done = line_dedup.apply_bitmaps(frame, line_dedup.keep_bitmaps(frame)).collect()
+    first = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            first[x] = min(i, first.get(x, i))
+    want = [(i, len(t.split("\n")), "\n".join(x for x in t.split("\n") if len(x) < 10 or first[x] == i)) for i, t in rows]
+    assert sorted((r.doc.doc_id, r.n_lines, r.kept_text) for r in done) == sorted(want)
+
+
 def brute_components(docs, width, percent):
     sets = {i: frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) for i, t in docs if (w := (t or "").encode().lower().split())}
     root = {i: i for i, _ in docs}
