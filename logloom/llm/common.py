@@ -1,4 +1,4 @@
-"""What the training-data operators share: words, table access and the shared folder."""
+"""What the training-data operators share: words, table access, the shared folder and joins on hot keys."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key is hot from HOT_ROWS rows on, and from a HOT_SHARE-th of all rows on: so there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 10_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +26,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (a single machine) under a temporary one."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one on a single machine; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='logloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/logloom-{uuid.uuid4().hex}"
@@ -39,9 +43,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_from(total: int) -> int:
+    """Rows from which a key of `total` rows is hot."""
+    return max(HOT_ROWS, total // HOT_SHARE)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, least: int) -> DataFrame:
+    """Inner join with right, whose keys are unique and whose column `rows` counts the rows of left with that key.
+
+    The keys with `least` rows or more (hot_from(): at most HOT_SHARE, so safe to broadcast) meet left where it lies; the
+    others are shuffled, so no task gets more than `least` rows of one key. Both sides should be cheap to read twice.
+    """
+    hot = right.where(F.col(rows) >= least)
+    if hot.isEmpty():
+        return left.join(right, on)
+    return left.join(F.broadcast(hot), on).unionByName(left.join(right.where(F.col(rows) < least), on))

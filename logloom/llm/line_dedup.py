@@ -1,13 +1,16 @@
 """Line dedup: a line that several documents hold stays only in the document with the smallest id.
 
-A line's key is the line without blanks at its ends, A-Z in lower case; its 128-bit hash stands for it. First the rows
-of each hash are gathered within their input partition (a frequent line becomes one row per partition, so no task
-receives all its rows), then those rows are range-partitioned by hash, sorted by document and position, and each hash's
-first occurrence streams past. What comes back per document are runs of lines to keep (a run-length bitmap), no text.
+A line's key is the line without blanks at its ends, A-Z in lower case; its 128-bit hash stands for it. Documents are
+dealt to PARTS parts by a hash of their id, and each part tells of a line's hash its first place (document, position) and
+its last document. Those rows, at most PARTS of a hash whatever its frequency, are range-partitioned by hash and sorted
+by document and position, so that each hash's first occurrence streams past. The verdict goes back to the lines by hash
+and part, so no task gets all rows of a frequent line. What comes back per document is a compressed keep bitmap, no
+text: words of 64 lines, of which the lowest bit is the first line, and only the words that lack a line.
 
 Defined cases: null or empty text is one empty line; keys shorter than min_chars never count; repeats within the
-keeping document stay; rows that repeat a doc_id count as one document, each row loses its own lines that an earlier
-document holds (a row is known by doc_id and a hash of its text); a null doc_id is left as it is; other columns are carried by dedup_lines() and left out of the query.
+keeping document stay; rows that repeat a doc_id count as one document, and each row loses its own lines that an earlier
+document holds (a row is known by doc_id and a hash of its text); a null doc_id is left as it is; other columns are
+carried by dedup_lines() and left out of the query.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, table
 
-MIN_CHARS = 10
+MIN_CHARS, BITS, PARTS = 10, 64, 1024
 
 
 def _lines(text):
@@ -25,42 +28,40 @@ def _lines(text):
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text_key, dropped: ordered runs (start, length) of dropped lines, for documents that lose lines."""
+    """doc_id, text_key, keep (array of word, bits) of every document that loses lines."""
     lines = docs.where("doc_id is not null and text is not null").select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.spark_partition_id().alias("part"), F.posexplode(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
+        "doc_id", F.xxhash64("text").alias("text_key"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), F.posexplode(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
     )
     key = F.btrim("line", F.lit(BLANKS))
-    hashed = lines.where(F.char_length(key) >= min_chars).select("doc_id", "text_key", "pos", "part", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
-    # Bounded by an input partition, whatever a line's frequency.
-    local = hashed.groupBy("h1", "h2", "part").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.collect_list(F.struct("doc_id", "text_key", "pos")).alias("places")
-    )
+    hashed = lines.where(F.char_length(key) >= min_chars).select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "part", "doc_id", "text_key", "pos")
+    local = hashed.groupBy("h1", "h2", "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("pos", F.struct("doc_id", "pos")).alias("at"))
     by_hash = Window.partitionBy("h1", "h2")
-    ranged = local.repartitionByRange("h1", "h2")
-    owned = ranged.select(
-        "places",
-        F.first("first").over(by_hash.orderBy("first", "part")).alias("owner"),
-        F.max("last").over(by_hash).alias("other"),
-    ).where("owner < other")
-    lost = owned.select("owner", F.explode("places").alias("at")).where("at.doc_id <> owner").select("at.doc_id", "at.text_key", "at.pos").distinct()
-    in_doc = Window.partitionBy("doc_id", "text_key").orderBy("pos")
-    runs = lost.select("doc_id", "text_key", "pos", (F.col("pos") - F.row_number().over(in_doc)).alias("island"))
-    runs = runs.groupBy("doc_id", "text_key", "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length"))
-    return runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("dropped"))
+    streamed = local.repartitionByRange("h1", "h2").select(
+        "h1", "h2", "part", F.first("first").over(by_hash.orderBy("first", "at", "part")).alias("owner"), F.max("last").over(by_hash).alias("other")
+    )
+    shared = streamed.where("owner < other").select("h1", "h2", "part", "owner")
+    lost = hashed.join(shared, ["h1", "h2", "part"]).where("doc_id <> owner")
+    gone = F.bit_or(F.expr(f"shiftleft(1L, pos % {BITS})"))
+    words = lost.groupBy("doc_id", "text_key", F.expr(f"cast(pos div {BITS} as int)").alias("word")).agg(F.bitwise_not(gone).alias("bits"))
+    return words.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with its own columns under `doc`, and n_lines, n_dropped, kept_text."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    n, runs = F.size("line"), F.coalesce("dropped", F.array().cast("array<struct<start:int,length:int>>"))
-    joined = own.join(bitmaps, ["doc_id", "text_key"], "left").withColumn("line", _lines(F.col("doc.text"))).withColumn("dropped", runs)
-    starts = F.concat(F.array(F.lit(0)), F.transform("dropped", lambda r: r["start"] + r["length"]))
-    ends = F.concat(F.transform("dropped", lambda r: r["start"]), F.array(n))
+    # Rows without doc_id have no bitmap: their key is spread by text.
+    own = docs.select(F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    own = own.withColumn("known", F.col("doc.doc_id").isNotNull()).withColumn("doc_key", F.coalesce(F.col("doc.doc_id").cast("long"), "text_key"))
+    maps = bitmaps.select(F.col("doc_id").cast("long").alias("doc_key"), "text_key", F.lit(True).alias("known"), "keep")
+    joined = own.join(maps, ["doc_key", "text_key", "known"], "left").withColumn("line", _lines(F.col("doc.text")))
+    unset = lambda w: F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit(w["bits"], b) == 0)
+    gone = F.flatten(F.transform("keep", lambda w: F.transform(unset(w), lambda b: w["word"] * BITS + b)))
+    joined = joined.withColumn("gone", F.when(F.col("keep").isNotNull(), gone))
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
+    ends = F.concat("gone", F.array(F.size("line")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("line", a + 1, b - a)))
-    gone = F.aggregate("dropped", F.lit(0), lambda s, r: s + r["length"])
     return joined.select(
-        "doc", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"),
-        F.when(F.size("dropped") == 0, F.coalesce("doc.text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        "doc", F.size("line").cast("long").alias("n_lines"), F.when(F.col("keep").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+        F.when(F.col("keep").isNull(), F.coalesce("doc.text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
 
 

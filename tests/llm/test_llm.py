@@ -67,6 +67,20 @@ def test_line_dedup_of_one_id_with_two_texts(spark):
     assert sorted((r.doc.doc_id, r.n_lines, r.kept_text) for r in done) == sorted(want)
 
 
+def test_line_bitmaps(spark):
+    """Documents of over 64 lines, a line that all hold, and lines far apart."""
+    rows = [(i, "\n".join("a line that all documents hold" if k % 50 == 3 else f"line {k} of document {i if k % 7 else i % 3}" for k in range(40 * i))) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            first.setdefault(x, i)
+    got = {r.doc.doc_id: r for r in line_dedup.apply_bitmaps(frame, line_dedup.keep_bitmaps(frame)).collect()}
+    for i, t in rows:
+        left = [x for x in t.split("\n") if len(x) < 10 or first[x] == i]
+        assert got[i].kept_text == "\n".join(left) and got[i].n_dropped == len(t.split("\n")) - len(left)
+
+
 def brute_components(docs, width, percent):
     sets = {i: frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) for i, t in docs if (w := (t or "").encode().lower().split())}
     root = {i: i for i, _ in docs}
