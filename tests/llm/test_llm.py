@@ -120,6 +120,28 @@ def test_near_dedup(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id in (5, 6, 8)").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    a, b = words(60, 21), words(60, 22)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, b + " more"), (3, words(60, 23)), (4, words(60, 24)), (4, words(60, 24)), (5, "")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows + [(5, "")]], "doc_id long, text string, component string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_classes(frame).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (3, 3), (4, 4), (4, 4), (5, 5), (5, 5)]
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.dedup(frame).collect())
+    assert kept == sorted([(1, a), (1, b), (3, words(60, 23)), (4, words(60, 24)), (5, ""), (5, "")])
+
+
+def test_near_dedup_of_hot_groups(spark, monkeypatch):
+    """The same components where every class, bucket and component counts as hot, and blocks hold a few sets."""
+    docs = [(100 * g + k, " ".join([*words(80, g).split()[: 80 - k // 2], *(f"e{g}x{k}x{i}" for i in range(k // 2))])) for g in range(4) for k in range(30)]
+    docs += [(1000 + k, words(80, 0)) for k in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_components(docs, 3, 85)
+    for name, value in (("BLOCK_ALL", 4), ("BLOCK_MINOR", 2), ("BLOCK_SHINGLES", 300)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup, "hot_from", lambda n: 2)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_classes(frame, 3, 85).collect()} == want
+
+
 @pytest.mark.parametrize(("common", "percent"), [(8, 80), (17, 85)])
 def test_near_pairs_at_the_limit(spark, common, percent):
     """Lone pairs exactly at the limit: none may leave as two documents."""
