@@ -1,15 +1,19 @@
 """Language ID by error-correcting output codes.
 
 Each language has a codeword; one binary classifier over byte n-grams predicts each bit (regularised least squares,
-fitted exactly). A text goes to the codeword with the least total hinge loss, each bit weighted by how well its
-classifier does on the fitting rows; where the runner-up is close, the text is flagged as ambiguous.
+fitted exactly). A text goes to the codeword with the least total hinge loss, each bit weighted by the log odds that its
+classifier is right on fitting rows left out one at a time (which the least-squares solution gives in closed form);
+where the runner-up is close, the text is flagged as ambiguous. Up to five languages have all distinct splits as bits;
+more have random balanced bits, of which the draw with the greatest least distance between codewords is taken.
 
-The fit uses a bounded sample: at most `per_language` rows of each language, least hash of doc_id first, and
-MOST_ROWS in all, whole texts. Only rows with a known language and crc32(doc_id) mod 4 other than 2 are used.
+The fit uses a bounded sample: of each language at most `per_language` rows and an equal part of `most_rows`, least hash
+of doc_id first, whole texts. Only rows with a known language and crc32(doc_id) mod 4 other than 2 are used. Beyond
+`most_rows` languages the most frequent ones are learned.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and ambiguous; without fitting rows
-every text is `und`; with one language every text with a letter has it; repeated rows are judged one by one; other
-columns are carried by with_language() and left out of the query.
+every text is `und`; with one language every text with a letter has it; repeated rows are judged one by one, and of rows
+that repeat a doc_id the fit takes those with the least text hash first; other columns are carried by with_language()
+and left out of the query.
 """
 
 from __future__ import annotations
@@ -21,12 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql import Window
-
 from .common import table
 
 PER_LANGUAGE, MOST_ROWS, BUCKETS = 500, 2000, 4096
-RIDGE, CLOSE = 1e-3, 0.03
+RIDGE, CLOSE, DRAWS = 1e-3, 0.03, 200
 UNKNOWN = "und"
 
 
@@ -41,11 +43,22 @@ def counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of +-1: all distinct splits of up to 5 languages, a fixed random code for more."""
+    """n rows of +-1: all distinct splits of up to 5 languages; of more the best of DRAWS random codes of balanced bits."""
     if n <= 5:
         return np.array([[1 if (k >> i) & 1 else -1 for k in range(1, 2 ** (n - 1))] for i in range(n)], float).reshape(n, -1)
-    bits = 12 * int(np.ceil(np.log2(n)))
-    return np.random.default_rng(6).choice([-1.0, 1.0], (n, bits))
+    bits, draw = 12 * int(np.ceil(np.log2(n))), np.random.default_rng(6)
+    half = np.where(np.arange(n) < n // 2, -1.0, 1.0)
+    best = max((np.stack([draw.permutation(half) for _ in range(bits)], axis=1) for _ in range(DRAWS if n <= 200 else 1)), key=least_distance)
+    if not least_distance(best):
+        raise ValueError("two languages have the same codeword")
+    return best
+
+
+def least_distance(code: np.ndarray) -> int:
+    """Bits in which the two nearest codewords differ."""
+    apart = (code.shape[1] - code @ code.T) / 2
+    apart[np.diag_indices(len(code))] = code.shape[1]
+    return int(apart.min())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,9 +74,13 @@ class Model:
             bits = self.code[y]
             kernel = (x @ x.T).astype(float)
             kernel[np.diag_indices(len(x))] += RIDGE * len(x) / 100
-            self.weights = (x.T @ np.linalg.solve(kernel, bits).astype(np.float32)).astype(np.float32)
-            right = ((x @ self.weights) * bits > 0).mean(axis=0)
-            self.trust = np.clip(2 * right - 1, 0.05, 1)
+            inverse = np.linalg.inv(kernel)
+            dual = inverse @ bits
+            self.weights = (x.T @ dual.astype(np.float32)).astype(np.float32)
+            # What each row would get from a fit without it.
+            left_out = bits - dual / np.diag(inverse)[:, None]
+            right = (left_out * bits > 0).sum(axis=0)
+            self.trust = np.maximum(0.05, np.log((right + 0.5) / (len(x) - right + 0.5)))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list = [(UNKNOWN, 0.0, True)] * len(texts)
@@ -85,26 +102,46 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Model of the languages of docs, from at most MOST_ROWS rows."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
+    """Model of the languages of docs, from at most most_rows rows, and per_language of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    keys = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    first = keys.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= per_language)
-    chosen = first.orderBy("nth", "h").limit(MOST_ROWS).select("doc_id", "lang").distinct()
-    # At most MOST_ROWS small rows: safe to broadcast.
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").limit(MOST_ROWS)
+    known = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("th"))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()
+    quota = {r["lang"]: min(r["count"], per_language, max(1, most_rows // len(sizes))) for r in sizes}
+    # Hashes are even, so a bound on them gives about four times the rows wanted: few enough to be seen by the driver.
+    last, share = {}, {r["lang"]: 4 * quota[r["lang"]] / r["count"] for r in sizes}
+    while open_langs := [x for x in quota if x not in last]:
+        below = _bounds(docs.sparkSession, {x: (int(min(1, share[x]) * (2**64 - 1)) - 2**63, 2**63 - 1) for x in open_langs})
+        seen: dict[str, list[tuple[int, int]]] = {x: [] for x in open_langs}
+        for r in _below(known, below).select("lang", "h", "th").collect():
+            seen[r.lang].append((r.h, r.th))
+        for x, found in seen.items():
+            if len(found) >= quota[x]:
+                last[x] = sorted(found)[quota[x] - 1]
+            share[x] *= 4
 
     @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: counts(t).astype(np.float16).tobytes())
 
-    rows = sorted((r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)) for r in sample.select("doc_id", "lang", vectors("text").alias("x")).collect())
+    # Exact repeats of a row count once.
+    chosen = _below(known, _bounds(docs.sparkSession, last)).dropDuplicates(["lang", "h", "th"]).select("lang", "h", "th", vectors("text").alias("x"))
+    rows = [(r.lang, bytes(r.x)) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, r.th))]
     langs = sorted({r[0] for r in rows})
     place = {x: i for i, x in enumerate(langs)}
-    x = np.stack([np.frombuffer(r[3], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BUCKETS + 1), np.float32)
+    x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BUCKETS + 1), np.float32)
     return Model(langs, x, np.array([place[r[0]] for r in rows], int))
 
 
+def _bounds(spark: SparkSession, last: dict[str, tuple[int, int]]) -> DataFrame:
+    """lang, bh, bth: at most MOST_ROWS small rows."""
+    return spark.createDataFrame([(x, *b) for x, b in last.items()], "lang string, bh long, bth long")
+
+
+def _below(known: DataFrame, bounds: DataFrame) -> DataFrame:
+    return known.join(F.broadcast(bounds), "lang").where("h < bh or (h = bh and th <= bth)")
+
+
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """docs with its columns under `doc`, and lang_pred, score, ambiguous."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS rows, a column for each bit

@@ -173,6 +173,16 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_repeated_ids(spark, monkeypatch):
+    a, b, c, d = [1.0, 0, 0, 0], [0, 1.0, 0, 0], [1.0, 0.01, 0, 0], [0, 1.0, 0.01, 0]
+    rows = [(5, a, 1), (5, b, 1), (7, c, 1), (5, a, 2), (9, c, 2), (9, d, 3), (5, a, 1), (3, a, None)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v], k, 0) for i, v, k in rows], "vec_id long, embedding array<double>, label int, cid int")
+    want = sorted([(5, 2, 5), (5, 2, 5), (5, 0, 5), (7, 2, 5), (5, 1, 5), (9, 1, 5), (9, 0, 9), (3, 0, 3)])
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(frame).collect()) == want
+    monkeypatch.setattr(embedding_dedup, "hot_from", lambda n: 1)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(frame).collect()) == want
+
+
 def test_packing_round_trip(spark, odd, empty):
     from tokenizers import Tokenizer
 
@@ -214,6 +224,49 @@ def test_language(spark, odd, empty):
     assert language.with_language(odd, language.fit(odd)).count() == odd.count() and language.keep_identified(odd).columns == odd.columns
 
 
+def test_language_codes_and_weights():
+    import numpy as np
+
+    for n in (2, 3, 4, 5, 6, 9, 20, 60):
+        code = language.codewords(n)
+        assert len({tuple(r) for r in code}) == n and all(abs(c.sum()) < n for c in code.T)
+        assert language.least_distance(code) >= (1 if n == 2 else 2 if n == 3 else code.shape[1] / 4)
+    # The closed form of rows left out equals fits without them.
+    r = np.random.default_rng(1)
+    y = np.repeat(np.arange(3), 8)
+    x = (r.normal(size=(24, 30)) + np.eye(3)[y] @ r.normal(size=(3, 30))).astype(np.float32)
+    model = language.Model(["a", "b", "c"], x, y)
+    right = np.zeros(model.code.shape[1])
+    for i in range(24):
+        rest = np.arange(24) != i
+        k = (x[rest] @ x[rest].T).astype(float) + np.eye(23) * language.RIDGE * 24 / 100
+        f = x[i] @ (x[rest].T @ np.linalg.solve(k, model.code[y[rest]]))
+        right += f * model.code[y[i]] > 0
+    assert np.allclose(model.trust, np.maximum(0.05, np.log((right + 0.5) / (24 - right + 0.5))))
+
+
+def test_language_of_many_and_ambiguous(spark):
+    import random
+
+    chance, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    tongue = [["".join(chance.choice(letters) for _ in range(chance.randint(3, 8))) for _ in range(40)] for _ in range(7)]
+    say = lambda k, n: " ".join(chance.choice(tongue[k]) for _ in range(n))
+    rows = [(i, say(i % 7, 40), f"l{i % 7}") for i in range(420)]
+    docs = spark.createDataFrame([*rows, (1, rows[0][1], "l0"), (2, None, "l1"), (None, rows[3][1], None)], "doc_id long, text string, lang string")
+    model = language.fit(docs, 20)
+    assert model.langs == [f"l{k}" for k in range(7)] and model.code.shape == (7, 36)
+    told = {r.doc.doc_id: r for r in language.with_language(docs.where("doc_id > 2"), model).collect()}
+    assert sum(told[i].lang_pred == x and not told[i].ambiguous for i, _, x in rows if i > 2) >= 0.95 * len(told)
+    halves = [" ".join(w for pair in zip(tongue[0], tongue[1]) for w in pair)]
+    (lang, score, ambiguous), (_, sure, plain) = model.predict([*halves, say(2, 60)])
+    assert lang in ("l0", "l1") and score < sure and not plain
+    # Plain decoding: the codeword with the least weighted hinge loss.
+    f = language.counts(halves[0]) @ model.weights
+    loss = [sum(t * max(0, 1 - a * b) for t, a, b in zip(model.trust, f, c)) / model.trust.sum() for c in model.code]
+    assert model.langs[loss.index(min(loss))] == lang and ambiguous == (sorted(loss)[1] - min(loss) < language.CLOSE)
+    assert [r.lang_pred for r in language.with_language(docs.limit(1), language.fit(docs.where("lang = 'l3'"))).collect()] == ["l3"]
+
+
 def test_mixing(spark, odd, empty):
     plan = mixing.plan_mix(odd).collect()
     assert len(plan) == odd.count() and all(0 <= r.taken <= 3 * r["size"] for r in plan)
