@@ -1,14 +1,19 @@
 """License scans: which documents hold which license notice.
 
-Texts become words (A-Z in lower case, .,;:()"' as blanks) and 5-word shingles. MinHash bands over windows of shingles
-find candidates: a template of fewer than LONG shingles has windows of one shingle, the others windows of WINDOW. A
-document's windows start at every STRIDE-th shingle, a template's at every one, so any exact copy of a template has a
-document window equal to a template window and meets it in every band; BANDS bands of one minimum each let windows of
-similarity 0.5 meet with probability 0.94, and a noisy copy has several windows. Then the candidate's whole shingle
-set is compared: a match holds at least 80 % of the template's shingles.
+Texts become words (A-Z in lower case, .,;:()"' as blanks) and 5-word shingles (fewer for templates of under 5 words:
+such a template is one shingle of its own length). MinHash bands over overlapping windows of shingles find candidates:
+a template's windows hold WINDOW shingles, or all it has where these are fewer, and start at every shingle, and so do a
+document's, so any exact copy of a template has a window equal to a template window and meets it in every band; BANDS
+bands of one minimum each let windows of similarity 0.5 meet with probability 0.94, and a noisy copy has several windows.
+Then the document's whole shingle set is compared: a match holds at least 80 % of the template's shingles.
+
+A band key is the window's least shingle under the band's order, so a document without a shingle of any template has no
+candidate: where the templates have at most LISTED shingles, documents keep these shingles alone and only those that
+have any make windows. Nothing of the text is shuffled then. With more templates, keys are joined and candidates' texts read again.
 
 Defined cases: null or short texts match nothing; repeated rows of a doc_id give one row per text that matches; a null
-doc_id is matched like any other; no templates or an empty table give no rows; other columns are left out.
+doc_id is matched like any other; no templates, templates without words or an empty table give no rows; other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 WIDTH, LEAST = 5, 0.8
-WINDOW, STRIDE, BANDS, LONG = 4, 2, 4, 6
-#: Bound on the templates' band keys for which they are sent to every task.
-BROADCAST_KEYS = 200_000
+WINDOW, BANDS = 4, 4
+#: Bound on the templates' shingles up to which they are a list in the plan; beyond it nothing is broadcast by hint.
+LISTED = 20_000
 
-#: Sentences of widely used public licenses.
+#: Sentences and whole texts of widely used public licenses.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -34,6 +39,9 @@ TEMPLATES = [
     ("Apache-2.0-header", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("GPL-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
 ]
 
 
@@ -42,42 +50,78 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _shingles() -> Column:
-    """Hashes of the 5-word shingles of the column words, in order; none for short texts."""
-    at = F.when(F.size("words") >= WIDTH, F.sequence(F.lit(0), F.size("words") - WIDTH))
-    return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.xxhash64(*[F.element_at("words", i + 1 + k) for k in range(WIDTH)]))
+def _from(values: Column, by: int) -> Column:
+    """The values from place `by` on, so that they lie beside those `by` places before them."""
+    return F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0)))
+
+
+def _whole(values: Column, run: Column, width: int) -> Column:
+    """run without its last places, where a run of `width` values has run out of them."""
+    return F.slice(run, F.lit(1), F.greatest(F.size(values) - (width - 1), F.lit(0)))
+
+
+def _shingles(hashes: Column, width: int) -> Column:
+    """Hashes of all runs of `width` words, from the words' hashes."""
+    run = hashes
+    for k in range(1, width):
+        run = F.zip_with(run, _from(hashes, k), lambda a, b: F.shiftleft(a, 7).bitwiseOR(F.shiftrightunsigned(a, 57)).bitwiseXOR(b))
+    return _whole(hashes, run, width)
 
 
-def with_shingles(rows: DataFrame) -> DataFrame:
-    """rows (with a column text) with `sh`, the shingle hashes of text, instead of text."""
-    rest = [c for c in rows.columns if c != "text"]
-    return rows.where("text is not null").select(*rest, _words(F.col("text")).alias("words")).select(*rest, _shingles().alias("sh"))
+def _hashes(text: Column) -> Column:
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
-def _minima(stride: int) -> Column:
-    """Keys of all bands of the windows of WINDOW shingles that start at every stride-th shingle."""
-    seeds = F.array(*[F.xxhash64(F.lit(b)) for b in range(BANDS)])
-    starts = F.when(F.size("sh") >= WINDOW, F.sequence(F.lit(1), F.size("sh") - WINDOW + 1, F.lit(stride)))
-    window = lambda s, b: F.array_min(F.transform(F.slice("sh", s, WINDOW), lambda x: x.bitwiseXOR(b)))
-    keys = F.transform(seeds, lambda b: F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda s: F.xxhash64(b, window(s, b))))
-    return F.flatten(keys)
+def _keys(sh: Column, width: int, size: int) -> Column:
+    """tag and key of all bands of the windows of `size` shingles: running minima under each band's order."""
+    found = []
+    for band in range(BANDS if size > 1 else 1):
+        ranks = F.transform(sh, lambda x: F.xxhash64(F.lit(band), x))  # noqa: B023
+        run = ranks
+        for k in range(1, size):
+            run = F.zip_with(run, _from(ranks, k), lambda a, b: F.least(a, b))
+        found.append(F.transform(_whole(sh, run, size), lambda x: F.struct(F.lit(100 * width + 10 * size + band).alias("tag"), x.alias("key"))))  # noqa: B023
+    return F.concat(*found)
 
 
 def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, template, n_shingles of the template, n_found, containment. templates: name, text."""
-    known = with_shingles(templates.select("name", "text")).select("name", F.array_distinct("sh").alias("want"), "sh").where("size(sh) > 0")
-    short = known.where(F.size("sh") < LONG).select("name", F.explode("sh").alias("key"))
-    long = known.where(F.size("sh") >= LONG).select("name", F.explode(_minima(1)).alias("key"))
-    keys = short.unionByName(long).distinct()
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys, known = F.broadcast(keys), F.broadcast(known)
-    signed = with_shingles(docs.select("doc_id", "text", F.xxhash64("text").alias("of")))
-    asked = signed.select("doc_id", "of", F.explode(F.array_distinct(F.concat("sh", _minima(STRIDE)))).alias("key"))
-    candidates = asked.join(keys, "key").select("doc_id", "of", "name").distinct()
-    ids = candidates.select(F.col("doc_id").alias("own_id"), F.col("of").alias("own_of"), F.col("name"))
-    full = docs.select("doc_id", "text").where("text is not null").join(ids, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_of")))
-    full = with_shingles(full.select("doc_id", "name", "text")).join(known.select("name", "want"), "name")
-    counted = full.select("doc_id", "name", F.size("want").cast("long").alias("n_shingles"), F.size(F.array_intersect("want", "sh")).cast("long").alias("n_found"))
+    read = templates.where("text is not null").select("name", _hashes(F.col("text")).alias("hashes")).where("size(hashes) > 0")
+    read = read.withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH)))
+    by_width = [read.where(F.col("width") == w).select("name", "width", _shingles(F.col("hashes"), w).alias("sh")) for w in range(1, WIDTH + 1)]
+    known = by_width[0]
+    for other in by_width[1:]:
+        known = known.unionByName(other)
+    known = known.select("name", "width", "sh", F.least(F.size("sh"), F.lit(WINDOW)).alias("window"), F.array_distinct("sh").alias("want"))
+    # At most WIDTH * WINDOW kinds of windows, and at most LISTED + 1 shingles: the bound on what is listed and broadcast.
+    kinds = sorted((r.width, r.window) for r in known.select("width", "window").distinct().collect())
+    listed = [r.x for r in known.select(F.explode("want").alias("x")).limit(LISTED + 1).collect()]
+    few, listed = len(listed) <= LISTED, sorted(set(listed))
+    widths = sorted({w for w, _ in kinds})
+    keys = [known.where((F.col("width") == w) & (F.col("window") == n)).select("name", F.explode(_keys(F.col("sh"), w, n)).alias("k")) for w, n in kinds]
+    signed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), _hashes(F.col("text")).alias("hashes"))
+    signed = signed.select("doc_id", "of", *[_shingles(F.col("hashes"), w).alias(f"sh{w}") for w in widths])
+    whole = F.concat(*[F.col(f"sh{w}") for w in widths]) if widths else F.array().cast("array<long>")
+    if few:
+        signed = signed.withColumn("found", F.array_distinct(F.filter(whole, lambda x: x.isin(listed)))).where("size(found) > 0")
+    if not kinds:
+        return docs.limit(0).select("doc_id", F.lit("").alias("template"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"), F.lit(0.0).alias("containment"))
+    made = F.array_distinct(F.concat(*[_keys(F.col(f"sh{w}"), w, n) for w, n in kinds]))
+    asked = signed.select("doc_id", "of", *(["found"] if few else []), F.explode(made).alias("k")).select("*", "k.*").drop("k")
+    of_template = keys[0]
+    for other in keys[1:]:
+        of_template = of_template.unionByName(other)
+    of_template = of_template.select("name", "k.*").distinct()
+    wanted = known.select("name", "want")
+    if few:
+        candidates = asked.join(F.broadcast(of_template), ["tag", "key"]).select("doc_id", "found", "name").distinct()
+        full = candidates.join(F.broadcast(wanted), "name")
+    else:
+        candidates = asked.join(of_template, ["tag", "key"]).select(F.col("doc_id").alias("own_id"), F.col("of").alias("own_of"), "name").distinct()
+        texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("of") == F.col("own_of")))
+        texts = texts.select("doc_id", "name", _hashes(F.col("text")).alias("hashes"))
+        full = texts.select("doc_id", "name", F.concat(*[_shingles(F.col("hashes"), w) for w in widths]).alias("found")).join(wanted, "name")
+    counted = full.select("doc_id", "name", F.size("want").cast("long").alias("n_shingles"), F.size(F.array_intersect("want", "found")).cast("long").alias("n_found"))
     match = F.col("n_found") / F.col("n_shingles")
     return counted.where(match >= least).select("doc_id", F.col("name").alias("template"), "n_shingles", "n_found", F.round(match, 6).alias("containment")).distinct()
 
