@@ -5,8 +5,10 @@ running sum, so no conversation is gathered into one row). A conversation goes i
 same position (anti-join), or if an equal one has a smaller conv_id. Rendering gives one row per turn with its text
 between markers, and the place of that piece in the conversation's rendering, so a writer can join pieces of any length.
 
-A conversation's turns are dealt by blocks of BLOCK turns, with prefix sums over the blocks: one conversation may hold
-any number of rows. Turns follow by turn, then role and text; a turn's position is its rank.
+Turns are range-partitioned by conversation, turn, role and text and written once, in order; a conversation's turns in
+one partition are a block, and prefix sums over the blocks give positions, places and hashes, so one conversation may
+hold any number of rows. All but the last join sees hashes and positions only. Turns follow by turn, then role and text;
+a turn's position is its rank.
 
 Defined cases: null role or text count as empty text in the rendering and differ from an empty one in the hash; a null
 turn comes first, as if it were turn -1; rows without conv_id go; repeated rows are turns of their own; an empty table
@@ -15,36 +17,49 @@ gives no rows; other columns are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 
-BLOCK = 1024
 #: 40-bit hashes: their sums stay exact for 2**23 turns.
 _BITS = 24
 
 
-def rolling(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, position (from 1), r1 and r2 (hash of all turns up to it), piece, start (long)."""
-    own = turns.where("conv_id is not null").select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("at"), "turn", "role", "text")
-    piece = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
-    own = own.withColumn("piece", piece).withColumn("chars", F.char_length("piece").cast("long")).withColumn("block", F.floor(F.col("at") / BLOCK))
-    inside = Window.partitionBy("conv_id", "block").orderBy("at", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    sums = own.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("chars").alias("c"))
+def ordered(turns: DataFrame) -> DataFrame:
+    """conv_id, block, ord (order within the block), turn, role, text, chars (of the rendering), t1 and t2 (hashes)."""
+    parts = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    own = turns.where("conv_id is not null").select(
+        "conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("at"), "turn", "role", "text", F.char_length(piece()).cast("long").alias("chars"),
+        F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit(7), *parts).alias("t2"),
+    )
+    order = ["conv_id", "at", "role", "text"]
+    dealt = own.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.withColumn("block", F.spark_partition_id()).withColumn("ord", F.monotonically_increasing_id()).drop("at")
+
+
+def piece() -> Column:
+    return F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
+
+
+def _before(rows: DataFrame, **sums: str) -> DataFrame:
+    """conv_id, block and, of each sum over a block's rows, what the conversation's earlier blocks hold."""
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = own.withColumn("rank", F.row_number().over(inside)).withColumn("cum", F.sum("chars").over(upto)).join(starts, ["conv_id", "block"])
-    placed = placed.withColumn("position", F.col("rank") + F.col("n0")).withColumn("start", F.col("c0") + F.col("cum") - F.col("chars"))
-    parts = [F.col("position"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    placed = placed.withColumn("h1", F.shiftrightunsigned(F.xxhash64(*parts), _BITS)).withColumn("h2", F.shiftrightunsigned(F.xxhash64(F.lit(7), *parts), _BITS))
-    placed = written(placed.select("conv_id", "block", "turn", "role", "text", "position", "start", "piece", "h1", "h2"))
-    totals = placed.groupBy("conv_id", "block").agg(F.sum("h1").alias("t1"), F.sum("h2").alias("t2"))
-    offsets = totals.select("conv_id", "block", F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("o1"), F.coalesce(F.sum("t2").over(before), F.lit(0)).alias("o2"))
-    run = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = placed.withColumn("s1", F.sum("h1").over(run)).withColumn("s2", F.sum("h2").over(run)).join(offsets, ["conv_id", "block"])
-    return rolled.select("conv_id", "turn", "role", "text", "position", (F.col("s1") + F.col("o1")).alias("r1"), (F.col("s2") + F.col("o2")).alias("r2"), "piece", "start")
+    totals = rows.groupBy("conv_id", "block").agg(*[F.sum(F.expr(x)).alias(n) for n, x in sums.items()])
+    return totals.select("conv_id", "block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+
+
+def rolling(placed: DataFrame) -> DataFrame:
+    """conv_id, block, ord, position (from 1), start (of the piece), r1 and r2 (hash of all turns up to it) of ordered turns."""
+    narrow = placed.select("conv_id", "block", "ord", "chars", "t1", "t2")
+    upto = Window.partitionBy("conv_id", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = narrow.withColumn("rank", F.row_number().over(upto)).withColumn("cum", F.sum("chars").over(upto))
+    ranked = ranked.join(_before(narrow, n0="1", c0="chars"), ["conv_id", "block"])
+    ranked = ranked.select("conv_id", "block", "ord", (F.col("rank") + F.col("n0")).alias("position"), (F.col("c0") + F.col("cum") - F.col("chars")).alias("start"), "t1", "t2")
+    short = lambda t: F.shiftrightunsigned(F.xxhash64("position", t), _BITS)
+    hashed = ranked.select("conv_id", "block", "ord", "position", "start", short("t1").alias("h1"), short("t2").alias("h2"))
+    summed = hashed.withColumn("s1", F.sum("h1").over(upto)).withColumn("s2", F.sum("h2").over(upto)).join(_before(hashed, o1="h1", o2="h2"), ["conv_id", "block"])
+    return summed.select("conv_id", "block", "ord", "position", "start", (F.col("s1") + F.col("o1")).alias("r1"), (F.col("s2") + F.col("o2")).alias("r2"))
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
@@ -59,9 +74,14 @@ def maximal(rolled: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, position, turn, role, start, rendered for every turn of the conversations that stay."""
-    rolled = written(rolling(turns))
-    stay = maximal(rolled)
-    return rolled.join(stay, "conv_id").select("conv_id", "n_turns", F.col("position").cast("long").alias("position"), "turn", "role", F.col("start").cast("long").alias("start"), F.col("piece").alias("rendered"))
+    placed = written(ordered(turns))
+    rolled = written(rolling(placed))
+    kept = written(rolled.join(maximal(rolled), "conv_id").select("block", "ord", "n_turns", "position", "start"))
+    forget(rolled)
+    # A row is known by its order: this join spreads a conversation of any length.
+    return placed.join(kept, ["block", "ord"]).select(
+        "conv_id", "n_turns", F.col("position").cast("long").alias("position"), "turn", "role", F.col("start").cast("long").alias("start"), piece().alias("rendered")
+    )
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
