@@ -4,7 +4,9 @@ Each distinct (host, path) is expanded into host-suffix and path-prefix expressi
 equi-join on the first 32 bits of their SHA-256, the full digest confirms, and the longest rule wins.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; no fitting rule gives
-`allow`; equally long rules: block before allow; repeated rows keep their number; other columns are left out.
+`allow`; equally long rules: block before allow; a rule given twice counts once; repeated rows keep their number; an
+empty table gives no rows; other columns are left out. Up to LISTED rules are broadcast; with more, the expressions that
+are rules are found first and meet the urls by a join that splits hot rules.
 """
 
 from __future__ import annotations
@@ -12,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, hot_from, join_hot, table, written
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 PREFIX_HEX = 8
+LISTED = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -50,12 +53,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     asked = asked.withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     digest = F.sha2("rule", 256)
     ruled = rules.select("rule", "verdict", digest.alias("full"), F.substring(digest, 1, PREFIX_HEX).alias("short"))
-    found = asked.join(ruled, "short").where("digest = full")
+    if rules.limit(LISTED + 1).count() <= LISTED:
+        found = asked.join(F.broadcast(ruled), "short").where("digest = full")
+    else:
+        # One rule of each digest: the verdict that wins among equals.
+        ruled = ruled.groupBy("short", "full", "rule").agg(F.max("verdict").alias("verdict"))
+        asked = written(asked)
+        times = asked.groupBy("short", "digest").agg(F.count("*").alias("times"))
+        hits = written(times.join(ruled, "short").where("digest = full").select("digest", "rule", "verdict", "times"))
+        found = join_hot(asked, hits, ["digest"], "times", hot_from(asked.count()))
     order = F.struct(F.char_length("rule"), F.when(F.col("verdict") == "block", 1).otherwise(0), "rule")
     best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("won"))
-    return known.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", "won.rule", F.coalesce("won.verdict", F.lit("allow")).alias("verdict")
-    )
+    fits = known.where("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "won.rule", "won.verdict")
+    # Rows without a host fit nothing: they stay out of the join, where they would share one key.
+    none = F.lit(None).cast("string")
+    rest = known.where("host = ''").select("page_id", "host", "path", none.alias("rule"), none.alias("verdict"))
+    return fits.unionByName(rest).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
