@@ -9,7 +9,8 @@ Targets share the sum of all sizes by weight (WEIGHTS in turn, by code point of
 sources ordered by the share at which each reaches its limit.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own; rows that repeat a
-doc_id are rows of their own; an empty table gives an empty result; other columns are left out of plan_mix().
+doc_id are rows of their own; rows without doc_id are ordered by a hash of their text; an empty table gives an empty
+result; other columns are left out of plan_mix(). The windows over all sources see one small row per source in one task.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def plan_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("text").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), own))
     sizes = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")))
     sizes = sizes.withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
