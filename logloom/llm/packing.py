@@ -29,7 +29,7 @@ from .common import table
 SIZE, END_ID = 4096, 2
 FLUSH, GRID, LONG_GAP = 64 * 4096, 32, 48
 SENTENCE_COST, HARD_COST, SEQUENCE_COST = 2, 8, 8
-CACHE_WORDS, BATCH = 250_000, 2048
+CACHE_WORDS, BATCH, BATCH_BYTES = 250_000, 2048, 1 << 25
 MARKS = frozenset(bytes([c]) for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -137,13 +137,12 @@ def cuts(ends: list[int], marks: np.ndarray, total: int) -> tuple[list[int], lis
 def best_windows(at: list[int], cost: list[int], size: int, last: bool) -> list[int]:
     """Ends of the windows of least cost from the first place on.
 
-    last: they end at the last place, and lengths that are powers of two count as full. Else they end within the last
-    `size` ids, where the cost is least for the ids packed, so that no window is filled less for the chunk's end.
+    last: they end at the last place. Else they end within the last `size` ids, where the cost is least for the ids
+    packed, so that no window is filled less for the chunk's end.
     """
     n = len(at)
     f, back = [0.0] * n, [0] * n
-    place = {p: i for i, p in enumerate(at)} if last else {}
-    powers = [2**k for k in range(size.bit_length() - 1)] if last else []
+    full = full_windows(at, size)
     queue: deque[tuple[float, int, int]] = deque([(0.0, at[0], 0)])
     for j in range(1, n):
         p = at[j]
@@ -151,8 +150,8 @@ def best_windows(at: list[int], cost: list[int], size: int, last: bool) -> list[
             queue.popleft()
         value, _, i = queue[0]
         value += size - p
-        for length in powers:
-            if (q := place.get(p - length)) is not None and f[q] < value:
+        for q in full.get(j, ()):
+            if f[q] < value:
                 value, i = f[q], q
         f[j], back[j] = value + cost[j] + SEQUENCE_COST, i
         mine = f[j] + p
@@ -169,6 +168,17 @@ def best_windows(at: list[int], cost: list[int], size: int, last: bool) -> list[
     return out[::-1]
 
 
+def full_windows(at: list[int], size: int) -> dict[int, list[int]]:
+    """For a place's number, the numbers of the places that lie a power of two below `size` before it."""
+    places, found = np.array(at), {}
+    for k in range((size - 1).bit_length()):
+        wanted = places - 2**k
+        i = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+        for j in np.flatnonzero(places[i] == wanted).tolist():
+            found.setdefault(j, []).append(int(i[j]))
+    return found
+
+
 class Packer:
     """Takes documents in order; gives rows of SCHEMA."""
 
@@ -214,6 +224,16 @@ class Packer:
         return rows
 
 
+def batches_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """start and number of rows that hold at most BATCH rows and, single rows aside, BATCH_BYTES bytes."""
+    ends, k = np.cumsum(sizes, dtype=np.int64), 0
+    while k < len(sizes):
+        begun = ends[k] - sizes[k]
+        n = max(1, min(BATCH, int(np.searchsorted(ends, begun + BATCH_BYTES, "right")) - k))
+        yield k, n
+        k += n
+
+
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Rows of SCHEMA, one per piece. tokenizer: path of its file, which every executor has."""
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
@@ -231,11 +251,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, len(ids), BATCH):
-                for doc_id, x in zip(ids[k : k + BATCH], encode(texts.slice(k, BATCH)), strict=True):
+            for k, n in batches_of(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+                for doc_id, x in zip(ids[k : k + n], encode(texts.slice(k, n)), strict=True):
                     rows += packer.add(doc_id, x + end)
-            yield out()
-            rows = []
+                yield out()
+                rows = []
         rows = packer.flush(True)
         yield out()
 
