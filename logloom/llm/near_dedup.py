@@ -247,10 +247,10 @@ def row_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     sets = shingle_sets(asked, width).where("n > 0").join(wanted, ["doc_id", "f1", "f2"]).select("cid", "set", "n")
     sets = written(sets.dropDuplicates(["cid"]))
     # A lead is dealt with its pairs to blocks of bounded size, as it may have many.
-    part = lambda b, pairs: F.pmod(F.xxhash64(b), F.ceil(pairs / BLOCK_ALL))
+    part = lambda b, pairs: F.pmod(F.xxhash64(b), F.ceil(pairs / BLOCK_MINOR))
     fewer = written(likely.groupBy("a").agg(F.count("*").alias("pairs")))
     members = join_hot(likely, fewer, ["a"], "pairs", hot).select(F.col("b").alias("cid"), F.col("a").alias("key"), part("b", F.col("pairs")).alias("i"), F.lit(False).alias("q"))
-    heads = fewer.select(F.col("a").alias("cid"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("pairs") / BLOCK_ALL) - 1)).alias("i"), F.lit(True).alias("q"))
+    heads = fewer.select(F.col("a").alias("cid"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("pairs") / BLOCK_MINOR) - 1)).alias("i"), F.lit(True).alias("q"))
     dealt = members.unionByName(heads).join(sets.select("cid", "set"), "cid").select("key", "i", F.lit(0).cast("long").alias("j"), "q", F.col("cid").alias("comp"), "set")
     links = _in_blocks(dealt, percent)
     found = components(links)
