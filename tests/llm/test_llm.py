@@ -42,6 +42,7 @@ def test_quality(odd, empty):
     assert quality.repeat_words(b"a b c a b c d".split()) == 6 and quality.repeat_words(b"a a a a".split()) == 4
     nav = "Home | About | Contact | Help"
     assert quality.line_fails(nav, 7, 3) and not quality.line_fails("This is a plain sentence.", 5, 0)
+    assert quality.line_fails("the same short line.", 4, 0, 2) and not quality.line_fails("the same short line.", 4, 0, 1) and quality.line_fails("Tous droits réservés.", 3, 0)
     assert quality.judge(nav + "\n" + ("A clean sentence stands here. " * 3).strip())[-1].startswith("A clean")
 
 
@@ -213,6 +214,41 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack(empty, packing.tokenizer_path()).count() == 0
 
 
+def plain_windows(at, cost, size):
+    """Least cost of windows that end at the last place, by trying every earlier cut."""
+    best = [0.0] + [float("inf")] * (len(at) - 1)
+    for j in range(1, len(at)):
+        for i in range(j):
+            if (n := at[j] - at[i]) <= size:
+                best[j] = min(best[j], best[i] + cost[j] + packing.SEQUENCE_COST + (0 if n & (n - 1) == 0 else size - n))
+    return best[-1]
+
+
+def test_packing_is_optimal():
+    import random
+
+    chance = random.Random(4)
+    for size in (16, 64, 100):
+        for _ in range(60):
+            at = [0]
+            while len(at) < chance.randint(2, 60):
+                at.append(at[-1] + chance.randint(1, size // chance.choice((1, 2, 8))))
+            cost = [chance.choice((0, 2, 8)) for _ in at]
+            ends = packing.best_windows(at, cost, size, True)
+            spent, begun = 0, 0
+            for e in ends:
+                n = e - begun
+                assert 0 < n <= size
+                spent += cost[at.index(e)] + packing.SEQUENCE_COST + (0 if n & (n - 1) == 0 else size - n)
+                begun = e
+            assert begun == at[-1] and spent == plain_windows(at, cost, size)
+    import numpy as np
+
+    sizes = np.array([5, 0, packing.BATCH_BYTES * 2, 3, *[1] * 3000])
+    parts = list(packing.batches_of(sizes))
+    assert sum(n for _, n in parts) == len(sizes) and all(n <= packing.BATCH for _, n in parts) and (2, 1) in parts and not list(packing.batches_of(sizes[:0]))
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language.with_language(docs, language.fit(docs)).where(language.held_out(F.col("doc.doc_id")))
@@ -289,6 +325,18 @@ def test_urls(spark):
     assert got == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "allow"), 3: ("example.net/en/", "allow"), 4: (None, "allow"), 5: ("net/", "block"), 6: ("example.com/de/", "block"), 7: (None, "allow"), 8: ("org/fr/", "allow"), 9: (None, "allow"), 10: ("net/", "block")}
 
 
+def test_many_url_rules(spark, monkeypatch):
+    """Hot rules, rules given twice with other verdicts, and no rows."""
+    rules = [*url_filters.RULES, ("a.b", "/x", "allow"), ("a.b", "/x", "block")]
+    frame = spark.createDataFrame([(i, f"http://h{i % 3}.net/{i % 5}") for i in range(60)] + [(60, "http://c.a.b/xy"), (61, None)], "page_id long, url string")
+    few = sorted(map(repr, url_filters.filter_urls(frame, url_filters.rules_frame(spark, rules)).collect()))
+    monkeypatch.setattr(url_filters, "LISTED", 1)
+    monkeypatch.setattr(url_filters, "hot_from", lambda n: 3)
+    got = url_filters.filter_urls(frame, url_filters.rules_frame(spark, rules))
+    assert sorted(map(repr, got.collect())) == few and {r.page_id: r.verdict for r in got.collect()}[60] == "block"
+    assert url_filters.filter_urls(frame.limit(0), url_filters.rules_frame(spark, rules)).count() == 0
+
+
 def test_licenses(spark, odd, empty):
     templates = spark.createDataFrame(license_scan.TEMPLATES, "name string, text string")
     grant = dict(license_scan.TEMPLATES)["MIT-grant"]
@@ -296,9 +344,23 @@ def test_licenses(spark, odd, empty):
     frame = spark.createDataFrame([(i, t, "n") for i, t in enumerate([words(50, 3) + " " + grant.upper() + " tail", noisy, "Released under the MIT License", None, "MIT License", grant[:60]])], "doc_id long, text string, name string")
     got = sorted((r.doc_id, r.template) for r in license_scan.scan(frame, templates).collect())
     assert got == [(0, "MIT-grant"), (1, "MIT-grant"), (2, "MIT")]
+    short = spark.createDataFrame([("two", "MIT License"), ("none", " . "), ("null", None), ("one", "Redistribution"), ("six", "under the MIT License and others")], "name string, text string")
+    found = sorted((r.doc_id, r.template, r.n_shingles) for r in license_scan.scan(frame, short).collect())
+    assert found == [(2, "two", 1), (4, "two", 1)]
     assert license_scan.scan(odd, templates).count() == 0 and license_scan.scan(empty, templates).count() == 0 and license_scan.scan(frame, templates.limit(0)).count() == 0
 
 
+def test_many_license_templates(spark, monkeypatch):
+    """The path for templates beyond the list gives the same rows."""
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "name string, text string")
+    texts = dict(license_scan.TEMPLATES)
+    frame = spark.createDataFrame([(i % 5, f"{words(20, i)} {t} {words(9, i)}") for i, t in enumerate(texts.values())] + [(None, texts["MIT"])], "doc_id long, text string")
+    found = sorted(map(repr, license_scan.scan(frame, templates).collect()))
+    assert len({r.template for r in license_scan.scan(frame, templates).collect()}) == len(texts)
+    monkeypatch.setattr(license_scan, "LISTED", 3)
+    assert sorted(map(repr, license_scan.scan(frame, templates).collect())) == found
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", None), (5, 0, "user", ""), (None, 0, "user", "x"), (6, None, None, "z"), (6, 0, "user", "z")]
     frame = spark.createDataFrame([(*r, "p") for r in rows], "conv_id long, turn long, role string, text string, piece string")
@@ -306,6 +368,8 @@ def test_chat(spark):
     assert sorted({r.conv_id for r in got}) == [2, 4, 5, 6]
     assert "".join(r.rendered for r in got if r.conv_id == 2) == "<|user|>\na\n<|end|>\n<|assistant|>\nb\n<|end|>\n<|user|>\nc\n<|end|>\n"
     assert [r.start for r in got if r.conv_id == 2] == [0, 19, 43] and chat_format.render(frame.limit(0)).count() == 0
+    long = spark.createDataFrame([(c, t, "user", f"text {t % 7}") for c, n in ((1, 300), (2, 500), (3, 500)) for t in range(n)], "conv_id long, turn long, role string, text string").repartition(3)
+    assert {(r.conv_id, r.n_turns, r["count"]) for r in chat_format.render(long).groupBy("conv_id", "n_turns").count().collect()} == {(2, 500, 500)}
 
 
 def test_pipeline(spark, odd):
