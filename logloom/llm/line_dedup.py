@@ -30,7 +30,7 @@ def _lines(text):
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text_key, keep (array of word, bits) of every document that loses lines."""
     lines = docs.where("doc_id is not null and text is not null").select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), F.posexplode(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
+        "doc_id", F.xxhash64("text").alias("text_key"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), F.posexplode_outer(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
     )
     key = F.btrim("line", F.lit(BLANKS))
     hashed = lines.where(F.char_length(key) >= min_chars).select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "part", "doc_id", "text_key", "pos")
