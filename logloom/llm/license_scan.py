@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WIDTH, LEAST = 5, 0.8
 WINDOW, BANDS = 4, 4
 #: Bound on the templates' shingles up to which they are a list in the plan; beyond it nothing is broadcast by hint.
-LISTED = 20_000
+LISTED = 5_000
 
 #: Sentences and whole texts of widely used public licenses.
 TEMPLATES = [
@@ -86,13 +86,14 @@ def _keys(sh: Column, width: int, size: int) -> Column:
 
 def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, template, n_shingles of the template, n_found, containment. templates: name, text."""
-    read = templates.where("text is not null").select("name", _hashes(F.col("text")).alias("hashes")).where("size(hashes) > 0")
-    read = read.withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH)))
+    # Templates are written at each step: filters on made columns would be pushed down and make them over and over.
+    read = written(templates.where("text is not null").select("name", _hashes(F.col("text")).alias("hashes")))
+    read = read.where("size(hashes) > 0").withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH)))
     by_width = [read.where(F.col("width") == w).select("name", "width", _shingles(F.col("hashes"), w).alias("sh")) for w in range(1, WIDTH + 1)]
     known = by_width[0]
     for other in by_width[1:]:
         known = known.unionByName(other)
-    known = known.select("name", "width", "sh", F.least(F.size("sh"), F.lit(WINDOW)).alias("window"), F.array_distinct("sh").alias("want"))
+    known = written(known.select("name", "width", "sh", F.least(F.size("sh"), F.lit(WINDOW)).alias("window"), F.array_distinct("sh").alias("want")))
     # At most WIDTH * WINDOW kinds of windows, and at most LISTED + 1 shingles: the bound on what is listed and broadcast.
     kinds = sorted((r.width, r.window) for r in known.select("width", "window").distinct().collect())
     listed = [r.x for r in known.select(F.explode("want").alias("x")).limit(LISTED + 1).collect()]
@@ -103,11 +104,13 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFra
     signed = signed.select("doc_id", "of", *[_shingles(F.col("hashes"), w).alias(f"sh{w}") for w in widths])
     whole = F.concat(*[F.col(f"sh{w}") for w in widths]) if widths else F.array().cast("array<long>")
     if few:
-        signed = signed.withColumn("found", F.array_distinct(F.filter(whole, lambda x: x.isin(listed)))).where("size(found) > 0")
+        signed = signed.withColumn("found", F.array_intersect(whole, F.array(*map(F.lit, listed)).cast("array<long>")))
     if not kinds:
         return docs.limit(0).select("doc_id", F.lit("").alias("template"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"), F.lit(0.0).alias("containment"))
-    made = F.array_distinct(F.concat(*[_keys(F.col(f"sh{w}"), w, n) for w, n in kinds]))
-    asked = signed.select("doc_id", "of", *(["found"] if few else []), F.explode(made).alias("k")).select("*", "k.*").drop("k")
+    made = F.concat(*[_keys(F.col(f"sh{w}"), w, n) for w, n in kinds])
+    # An outer generator and no filter on `found`: the optimizer would push such a filter, and with it all hashing, below itself.
+    made = F.when(F.size("found") > 0, made) if few else made
+    asked = signed.select("doc_id", "of", *(["found"] if few else []), F.explode_outer(made).alias("k")).select("*", "k.*").drop("k")
     of_template = keys[0]
     for other in keys[1:]:
         of_template = of_template.unionByName(other)
