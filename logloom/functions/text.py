@@ -139,3 +139,18 @@ def query_of(text: Column, most: int = 6) -> Column:
 def holds_terms(text: Column, query: Column) -> Column:
     """Whether every term of a query occurs, whatever its case."""
     return F.forall(F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != ""), lambda t: F.contains(F.lower(text), t))
+
+
+def tokens_of_chars(chars: Column, per_token: Column) -> Column:
+    return F.ceil(chars / per_token).cast("long")
+
+
+def joined_within(parts: Column, most: int) -> Column:
+    """Parts joined by LF, the first characters."""
+    return F.substring(F.array_join(parts, "\n"), 1, most)
+
+
+def positive_or(value: Column, least: int, default: int) -> Column:
+    """A number as a whole one from `least` on; the default where it is missing or not finite."""
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return F.when(finite, F.greatest(F.lit(least), F.floor(value))).otherwise(default).cast("long")

@@ -153,3 +153,55 @@ def newest(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """The newest rows of each key."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
+def tail_budget(messages: DataFrame, keep: int = 1, explicit: bool = False, most: int = TAIL_MOST, factor: float = OVERSIZED) -> DataFrame:
+    """cuts with `budget_cut`: where no user turn could be kept (and keep is not 0 by request) the cut moves back to the
+    budget's place (no_anchor); where the kept tail exceeds `factor` times the budget it moves on to it (oversized_tail).
+    """
+    first = cuts(messages, keep, explicit)
+    placed = with_places(messages)
+    at_budget = budget_cuts(messages, most).withColumnRenamed("cut", "budget")
+    tails = placed.select("session_id", F.col("i").alias("cut"), F.col("suffix").alias("tail"))
+    rows = first.join(at_budget, "session_id").join(tails, ["session_id", "cut"], "left")
+    no_anchor = (F.col("outcome") == "compact_all") & F.lit(keep > 0) & (F.col("budget") >= 0)
+    oversized = (F.col("outcome") == "cut") & (F.coalesce("tail", F.lit(0)) > most * factor) & (F.col("budget") > F.col("cut"))
+    rows = rows.withColumn("budget_cut", F.when(no_anchor, "no_anchor").when(oversized, "oversized_tail"))
+    moved = rows.withColumn("cut", F.when(F.col("budget_cut").isNotNull(), F.col("budget")).otherwise(F.col("cut"))).withColumn("outcome", F.when(F.col("budget_cut").isNotNull(), "cut").otherwise(F.col("outcome")))
+    turns = placed.select("session_id", F.col("i").alias("cut"), F.col("back").alias("turns"))
+    kept = F.when(F.col("budget_cut").isNotNull(), F.coalesce("turns", F.lit(0))).otherwise(F.col("kept_turns"))
+    return moved.join(turns, ["session_id", "cut"], "left").select("session_id", "outcome", "cut", kept.cast("long").alias("kept_turns"), "budget_cut")
+
+
+def full_context_tokens(entries: DataFrame, model: str | None = None) -> DataFrame:
+    """entries (session_id, seq, type, role, stop_reason, model, context_tokens, tokens) to session_id, tokens: what the
+    newest usable assistant after the last boundary states for its context, and the estimates of all messages after it.
+    Sessions without such an assistant have none.
+    """
+    boundary = F.max(F.when(F.col("type").isin("compaction", "reset_boundary"), F.col("seq"))).over(_by_session())
+    usable = (F.col("type") == "message") & (F.col("role") == "assistant") & ~F.coalesce(F.col("stop_reason").isin("error", "aborted"), F.lit(False)) & (F.col("context_tokens") > 0)
+    usable = usable & F.coalesce(F.col("seq") > F.col("boundary"), F.lit(True)) & (F.coalesce(F.col("model") == model, F.lit(True)) if model else F.lit(True))
+    rows = entries.withColumn("boundary", boundary)
+    rows = rows.withColumn("anchor", F.max(F.when(usable, F.struct("seq", "context_tokens"))).over(_by_session())).where("anchor is not null")
+    later = F.when((F.col("type") == "message") & (F.col("seq") > F.col("anchor.seq")), F.col("tokens")).otherwise(0)
+    return rows.groupBy("session_id").agg((F.first("anchor.context_tokens") + F.sum(later)).cast("long").alias("tokens"))
+
+
+def savings(messages: DataFrame, cut: DataFrame, summary_tokens: Column) -> DataFrame:
+    """session_id, before, prefix_chars, kept_tokens, after, saved, percent: messages also have chars; cut has session_id, cut."""
+    rows = messages.withColumn("i", F.row_number().over(_by_session().orderBy("seq")) - 1).join(cut.select("session_id", "cut"), "session_id").where("cut is not null")
+    kept = F.col("i") >= F.col("cut")
+    per = rows.groupBy("session_id").agg(F.sum("tokens").alias("before"), F.sum(F.when(kept, 0).otherwise(F.col("chars"))).alias("prefix_chars"), F.sum(F.when(kept, F.col("tokens")).otherwise(0)).alias("kept_tokens"))
+    per = per.withColumn("after", summary_tokens + F.col("kept_tokens")).withColumn("saved", F.when(F.col("before") > 0, F.greatest(F.lit(0), F.col("before") - F.col("after"))).otherwise(0))
+    return per.withColumn("percent", F.when(F.col("saved") > 0, F.floor(F.col("saved") * 100 / F.col("before") + 0.5)).otherwise(0))
+
+
+def resolved_index(loaded: DataFrame, scanned: DataFrame) -> DataFrame:
+    """global_index of the entries at hand, and of sessions without any of the scanned files."""
+    missing = scanned.join(loaded.select("session_id").distinct(), "session_id", "left_anti")
+    return global_index(loaded).unionByName(global_index(missing))
+
+
+def with_global_index(selected: DataFrame, index: DataFrame) -> DataFrame:
+    """selected (session_id, entry_id) with idx, null for ids that are missing or not unique."""
+    return selected.join(index, ["session_id", "entry_id"], "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nonblank_lines, sanitize, script_tokens
+from ..functions.text import clip, nonblank_lines, sanitize, script_tokens
 
 #: Keys that hold a path, in the order they are tried.
 PATH_KEYS = ("path", "file_path", "filePath", "file")
@@ -123,7 +123,7 @@ def content_chars(message: Column) -> Column:
     """Estimated characters of a message's content: text, thinking, names and arguments of calls, a fixed number an image."""
     size = lambda c: F.char_length(F.coalesce(c, F.lit("")))
     each = F.transform(parts(message, "text", "thinking", "toolCall", "image"), lambda p: (
-        F.when(text_at(p, "$.type") == "text", size(text_at(p, "$.text"))).when(text_at(p, "$.type") == "thinking", size(thinking_of(p)))
+        F.when(text_at(p, "$.type") == "text", size(text_at(p, "$.text"))).when(text_at(p, "$.type") == "thinking", size(text_at(p, "$.thinking")))
         .when(text_at(p, "$.type") == "image", F.lit(IMAGE_CHARS)).otherwise(size(text_at(p, "$.name")) + size(F.to_json(F.try_variant_get(p, "$.arguments", "variant"))))
     ))
     return size(text_at(message, "$.content")) + F.aggregate(each, F.lit(0), lambda a, x: a + x)
@@ -173,3 +173,161 @@ def event_messages(events: DataFrame) -> DataFrame:
       ELSE concat('{"role":"bashExecution","command":"', element_at(array('npm test', 'git commit -m x', 'ls -la', 'make'), cast(event_id % 4 + 1 as int)), '","output":"line ', event_id, '","exitCode":', event_id % 2, '}') END""")
     seq = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
     return events.select(F.col("user_id").alias("session_id"), seq.alias("seq"), F.try_parse_json(raw).alias("message"))
+
+
+# Messages as text: what a search reads, what a listing shows, and what they cost.
+
+ARGS_MOST, LISTED_MOST, RESULT_MOST = 2000, 300, 200
+
+
+def _joined(*values: Column, by: str = "\n") -> Column:
+    """What is not empty."""
+    return F.array_join(F.filter(F.array(*values), lambda x: x != ""), by)
+
+
+def _or_empty(value: Column, path: str) -> Column:
+    return F.coalesce(text_at(value, path), F.lit(""))
+
+
+def thoughts(message: Column) -> Column:
+    """Thinking of all parts that have any, else their text."""
+    each = F.transform(parts(message, "thinking"), lambda p: F.coalesce(text_at(p, "$.thinking"), _or_empty(p, "$.text")))
+    return F.array_join(F.filter(each, lambda x: x != ""), "\n")
+
+
+def _strings(value: Column) -> Column:
+    """The strings directly within a value: itself, or those of an object in the order of its keys."""
+    values = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.array(F.try_variant_get(value, "$", "string"))).otherwise(F.coalesce(F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>")))
+
+
+def argument_strings(args: Column) -> Column:
+    """All strings of a call's arguments, one level deep in lists, joined by LF; arguments in the order of their keys."""
+    values = F.map_values(F.try_variant_get(args, "$", "map<string,variant>"))
+    listed = lambda v: F.coalesce(F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), _strings)), F.array().cast("array<string>"))
+    own = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(listed(v))
+    return F.coalesce(F.array_join(F.flatten(F.transform(values, own)), "\n"), F.lit(""))
+
+
+def arguments_text(message: Column, without: tuple[str, ...] = ()) -> Column:
+    """argument_strings of all calls but those of some tools, clipped together."""
+    calls = F.filter(parts(message, "toolCall"), lambda p: ~F.lower(_or_empty(p, "$.name")).isin(list(without)) if without else F.lit(True))
+    each = F.transform(calls, lambda p: argument_strings(F.try_variant_get(p, "$.arguments", "variant")))
+    return clip(F.array_join(F.filter(each, lambda x: x != ""), "\n"), ARGS_MOST)
+
+
+def mentioned_files(message: Column) -> Column:
+    listed = F.coalesce(F.try_variant_get(message, "$.files", "array<variant>"), F.array().cast("array<variant>"))
+    return F.array_join(F.transform(listed, lambda f: F.concat_ws("\n", _or_empty(f, "$.path"), _or_empty(f, "$.content"))), "\n")
+
+
+def shape_text(message: Column, by: str = "\n") -> Column:
+    """Text of the roles that keep it outside content; null for all others."""
+    role = text_at(message, "$.role")
+    two = lambda a, b: F.concat(_or_empty(message, a), F.lit(by), _or_empty(message, b))
+    found = F.when(role == "bashExecution", two("$.command", "$.output")).when(role == "pythonExecution", two("$.code", "$.output"))
+    return found.when(role.isin("branchSummary", "compactionSummary"), _or_empty(message, "$.summary")).when(role == "fileMention", mentioned_files(message))
+
+
+def message_text(message: Column) -> Column:
+    return F.coalesce(shape_text(message), content_text(message))
+
+
+def search_document(message: Column, own_tool: str = "recall") -> Column:
+    """What a search reads: text, thinking and arguments; of shell, python and file mentions their own; nothing of the calls
+    and results of the tool that searches."""
+    role = _or_empty(message, "$.role")
+    said = _joined(content_text(message), thoughts(message), arguments_text(message, (own_tool,)))
+    own = (role == "toolResult") & (F.lower(_or_empty(message, "$.toolName")) == own_tool)
+    return F.when(role.isin("bashExecution", "pythonExecution", "fileMention"), shape_text(message, " ")).when(own, "").otherwise(said)
+
+
+def argument_summary(args: Column) -> Column:
+    """path, command or query of a call, else the names of its arguments in order."""
+    told = lambda k: F.concat(F.lit(f"{k}="), text_at(args, f"$.{k}"))
+    names = F.array_join(F.map_keys(F.try_variant_get(args, "$", "map<string,variant>")), ", ")
+    return F.coalesce(F.concat(F.lit("path="), file_path(args)), told("command"), told("query"), names, F.lit(""))
+
+
+def rendered(message: Column, full: bool = False) -> Column:
+    """struct of role and summary, as a listing shows a message; full: unclipped, with thinking and arguments."""
+    role = _or_empty(message, "$.role")
+    cut = lambda x, most=LISTED_MOST: x if full else clip(x, most)
+    text, thinking = cut(content_text(message)), thoughts(message)
+    calls = F.array_join(F.transform(parts(message, "toolCall"), lambda p: F.concat(_or_empty(p, "$.name"), F.lit("("), argument_summary(F.try_variant_get(p, "$.arguments", "variant")), F.lit(")"))), ", ")
+    base = F.when(calls != "", F.concat(calls, F.lit("\n"), text)).otherwise(text)
+    titled = lambda title, x: F.when(x != "", F.concat(F.lit(f"[{title}]\n"), x)).otherwise("")
+    said = _joined(titled("thinking", thinking), base, titled("tool args", arguments_text(message)), by="\n\n") if full else base
+    ran = lambda mark, k: cut(F.concat(F.lit(mark), _or_empty(message, f"$.{k}"), F.lit("\n"), _or_empty(message, "$.output")))
+    only_thought = (text == "") & (calls == "") & (thinking != "")
+    shown = lambda name, x: F.struct(F.lit(name).alias("role") if isinstance(name, str) else name.alias("role"), x.alias("summary"))
+    kinds = {
+        "user": ("user", text), "bashExecution": ("bash", ran("$ ", "command")), "pythonExecution": ("python", ran(">>> ", "code")), "fileMention": ("file_mention", cut(mentioned_files(message))),
+        "toolResult": ("tool_result", F.concat(F.lit("["), _or_empty(message, "$.toolName"), F.lit("] "), cut(content_text(message), RESULT_MOST))),
+    }
+    found = F.when(only_thought & ~role.isin(list(kinds)), shown("thinking", cut(thinking)))
+    for kind, (name, x) in kinds.items():
+        found = found.when(role == kind, shown(name, x))
+    return found.otherwise(shown(F.when(role != "", role).otherwise("assistant"), said))
+
+
+def preview(message: Column, most: int = LISTED_MOST) -> Column:
+    """The first characters of a message's content, other parts by their names."""
+    listed = F.coalesce(F.try_variant_get(message, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda p: F.coalesce(text_at(p, "$.type"), F.lit("unknown"))
+    named = lambda p: F.when(kind(p) == "toolCall", F.concat(F.lit("toolCall:"), F.coalesce(text_at(p, "$.name"), F.lit("undefined")))).when(kind(p) == "image", F.concat(F.lit("image:"), F.coalesce(text_at(p, "$.mimeType"), F.lit("undefined")))).otherwise(kind(p))
+    each = F.transform(listed, lambda p: F.when(kind(p) == "text", _or_empty(p, "$.text")).otherwise(F.concat(F.lit("["), named(p), F.lit("]"))))
+    return F.substring(F.coalesce(text_at(message, "$.content"), F.array_join(each, "\n")), 1, most)
+
+
+def message_tokens(message: Column) -> Column:
+    """Estimated tokens of a message, by script, part by part."""
+    listed = F.coalesce(F.try_variant_get(message, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+    raw = lambda p, path: F.coalesce(text_at(p, path), F.to_json(F.try_variant_get(p, path, "variant")), F.lit(""))
+    kind = lambda p: _or_empty(p, "$.type")
+    args = lambda p: F.coalesce(*[F.nullif(raw(p, k), F.lit("")) for k in ("$.arguments", "$.input")], F.lit(""))
+    each = F.transform(listed, lambda p: (
+        F.when(kind(p) == "thinking", script_tokens(_or_empty(p, "$.thinking"))).when(kind(p) == "toolCall", script_tokens(F.concat(_or_empty(p, "$.name"), args(p))))
+        .when(kind(p) == "toolResult", script_tokens(raw(p, "$.content"))).when(kind(p) == "image", F.lit(IMAGE_CHARS // 4).cast("long")).otherwise(script_tokens(_or_empty(p, "$.text")))
+    ))
+    whole = F.coalesce(shape_text(message), text_at(message, "$.content"))
+    return F.when(whole.isNotNull(), script_tokens(whole)).otherwise(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def with_marker(message: Column, marker: Column) -> Column:
+    """A message's content (array of VARIANT) with a marker in place of its first text part; later text parts go."""
+    listed = F.try_variant_get(message, "$.content", "array<variant>")
+    is_text = lambda p: _or_empty(p, "$.type") == "text"
+    first = F.array_position(F.transform(listed, is_text), F.lit(True)) - 1
+    kept = F.filter(listed, lambda p, i: ~is_text(p) | (i == first))
+    put = lambda p: F.to_variant_object(F.map_concat(F.map_filter(F.try_variant_get(p, "$", "map<string,variant>"), lambda k, _: k != "text"), F.map_from_arrays(F.array(F.lit("text")), F.array(marker.cast("variant")))))
+    return F.transform(kept, lambda p: F.when(is_text(p), put(p)).otherwise(p))
+
+
+def without_markers(messages: DataFrame, hidden: list[str]) -> DataFrame:
+    """messages without custom ones of hidden types, such as a host's own continuation messages."""
+    m = F.col("message")
+    return messages.where(~((_or_empty(m, "$.role") == "custom") & _or_empty(m, "$.customType").isin(hidden)))
+
+
+def valid_details(details: Column, compactor: str) -> Column:
+    """Whether the details of a summary are a whole segment of an append chain."""
+    text = lambda path: _or_empty(details, path) != ""
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(details, path, "variant")), F.lit(""))
+    whole = lambda path, least: (kind(path) == "BIGINT") & (F.coalesce(F.try_variant_get(details, path, "long"), F.lit(-1)) >= least)
+    amount = lambda path: (kind(path).isin("BIGINT", "DOUBLE") | kind(path).startswith("DECIMAL")) & (F.coalesce(F.try_variant_get(details, path, "double"), F.lit(-1.0)) >= 0)
+    maybe = lambda path, name: kind(path).isin("", name)
+    listed = lambda path: F.coalesce(F.try_variant_get(details, path, "array<variant>"), F.lit(None))
+    projection = "$.retainedToolOutputProjection"
+    omitted = F.forall(listed(f"{projection}.omissions"), lambda o: (_or_empty(o, "$.entryId") != "") & (_or_empty(o, "$.marker") != ""))
+    projected = (kind(projection) == "") | ((F.try_variant_get(details, f"{projection}.version", "long") == 1) & amount(f"{projection}.retainedTokens") & amount(f"{projection}.omittedTokens") & whole(f"{projection}.pendingCount", 0) & omitted)
+    rules = [
+        text_at(details, "$.compactor") == compactor, F.try_variant_get(details, "$.version", "long") == 3, text_at(details, "$.summaryMode") == "append", kind("$.chainStart") == "BOOLEAN", text("$.trailingSummary"),
+        F.forall(listed("$.sections"), lambda x: (F.schema_of_variant(x) == "STRING") & (F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")) != "")), whole("$.sourceMessageCount", 0), kind("$.previousSummaryUsed") == "BOOLEAN",
+        whole("$.segment.sequence", 1), text("$.segment.summary"), amount("$.segment.tokensBefore"), text("$.segment.coverage.firstCoveredEntryId"), text("$.segment.coverage.lastCoveredEntryId"), kind("$.segment.coverage.firstKeptEntryId") == "STRING",
+        whole("$.segment.coverage.sourceMessageCount", 1), maybe("$.segment.coverage.includesLegacySummary", "BOOLEAN"), maybe("$.segment.coverage.rebasedFromCompactionId", "STRING"), projected,
+    ]
+    ok = F.lit(True)
+    for rule in rules:
+        ok = ok & F.coalesce(rule, F.lit(False))
+    return ok

@@ -48,18 +48,16 @@ def test_word_limits(spark):
         ("set -e", "set -e"), ("echo $((8 << 20))\nmake", "echo $((8 << 20)); make"), ("x <<EOF\nnever closed", "x <<EOF; never closed"), ("", ""), ("a" * 300, "a" * 237 + "..."),
     ],
 )
-def test_commands(raw, short):
-    assert T.short_command(raw) == short
+def test_commands(spark, raw, short):
+    assert got(texts(spark, raw, None), T.short_commands(F.col("t"))) == [short, None]
 
 
 def test_wrapping(spark):
     line = "- " + " ".join(["word"] * 40)
-    pieces = T.wrapped_line(line).split("\n")
-    assert all(len(x) <= 120 for x in pieces) and all(x.startswith("  ") for x in pieces[1:])
-    hard = T.wrapped_line("x" * 300).split("\n")
+    pieces, hard, same, none = (None if x is None else x.split("\n") for x in got(texts(spark, line, "x" * 300, "a short line\n\nb", None), T.wrapped(F.col("t"))))
+    assert all(len(x) <= 120 for x in pieces) and all(x.startswith("  ") for x in pieces[1:]) and same == ["a short line", "", "b"] and none is None
     assert all(len(x) <= 120 for x in hard) and "".join(x.removesuffix("\\") for x in hard) == "x" * 300
-    assert got(texts(spark, T.wrapped_line(line)), T.rejoined(F.col("t"))) == [line]
-    assert got(texts(spark, line, None), T.wrapped(F.col("t"))) == ["\n".join(pieces), None]
+    assert got(texts(spark, "\n".join(pieces)), T.rejoined(F.col("t"))) == [line]
 
 
 def test_bytes_paths_and_terms(spark):
