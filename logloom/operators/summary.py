@@ -9,7 +9,7 @@ from ..functions import brief as T
 from ..functions import text as X
 from ..sources import messages as M
 from . import blocks as B
-from . import brief, facts
+from . import brief, facts, windows
 
 SHOWN, NAMED = 20, 100
 #: Tools that read or write files, titles in order, and the note at the end.
@@ -20,12 +20,53 @@ RULE = "\n\n---\n\n"
 NOTE = "Use the recall search for prior work, decisions, and context from before this summary. Do not redo work already completed."
 
 
-def touched_files(blocks: DataFrame) -> DataFrame:
-    """session_id, category (Modified, Read), path, first_blk."""
+def touched_files(blocks: DataFrame, host: DataFrame | None = None) -> DataFrame:
+    """session_id, category (Modified, Created, Read), path, first_blk.
+
+    host (session_id, category, path), where the host knows files: they come before those of calls. Only it tells created
+    files; of these the ones that are modified as well go.
+    """
     tool = F.lower("name")
     category = F.when(tool.isin(*WRITES), "Modified").when(tool.isin(*READS), "Read")
     calls = blocks.where("kind = 'tool_call' and path is not null").select("session_id", category.alias("category"), "path", "blk").where("category is not null")
-    return calls.groupBy("session_id", "category", "path").agg(F.min("blk").alias("first_blk"))
+    if host is not None:
+        known = host.where(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").rlike(M.URI))
+        calls = calls.unionByName(known.select("session_id", "category", "path", F.lit(-1).cast("long").alias("blk")))
+    return _created_unmodified(calls.groupBy("session_id", "category", "path").agg(F.min("blk").alias("first_blk")))
+
+
+def _created_unmodified(files: DataFrame) -> DataFrame:
+    modified = files.where("category = 'Modified'").select("session_id", "path", F.lit("Created").alias("category"))
+    return files.join(modified, ["session_id", "path", "category"], "left_anti").select("session_id", "category", "path", "first_blk")
+
+
+def merged_files(previous: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Files (session_id, category, path, first_blk) of a previous summary and a fresh one, each once, previous ones first."""
+    old = previous.select("session_id", "category", "path", F.struct(F.lit(0).alias("side"), "first_blk").alias("at"))
+    new = fresh.select("session_id", "category", "path", F.struct(F.lit(1).alias("side"), "first_blk").alias("at"))
+    once = old.unionByName(new).groupBy("session_id", "category", "path").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("session_id", "category").orderBy("at", "path"))
+    return _created_unmodified(once.select("session_id", "category", "path", place.cast("long").alias("first_blk")))
+
+
+#: The most lines of a merged section.
+MERGED_MOST = {"goals": 8, "commits": 8, "preferences": 15}
+
+
+def merged_sections(previous: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Sections (session_id, goals, commits, blockers, preferences: arrays of lines; brief: text) of a previous summary and a fresh one.
+
+    Lines are kept once, the newest of them, goals with their very first one; fresh blockers replace older ones, which stay
+    where there are none; briefs share one limit of lines, and what either loses is said.
+    """
+    names = ["goals", "commits", "blockers", "preferences", "brief"]
+    old = previous.select("session_id", *[F.col(n).alias(f"old_{n}") for n in names])
+    both = fresh.join(old, "session_id", "full_outer")
+    lines = lambda n: F.transform(F.coalesce(n, F.array().cast("array<string>")), T.collapsed_skill_tags)
+    made = {n: windows.merged_lines(lines(f"old_{n}"), lines(n), most, n == "goals") for n, most in MERGED_MOST.items()}
+    made["blockers"] = F.when(F.size(lines("blockers")) > 0, lines("blockers")).otherwise(lines("old_blockers"))
+    made["brief"] = brief.merged_brief(F.col("old_brief"), F.col("brief"))
+    return both.select("session_id", *[made[n].alias(n) for n in names])
 
 
 def category_lines(files: DataFrame) -> DataFrame:

@@ -205,3 +205,25 @@ def resolved_index(loaded: DataFrame, scanned: DataFrame) -> DataFrame:
 def with_global_index(selected: DataFrame, index: DataFrame) -> DataFrame:
     """selected (session_id, entry_id) with idx, null for ids that are missing or not unique."""
     return selected.join(index, ["session_id", "entry_id"], "left")
+
+
+def active_chain(summaries: DataFrame, entries: DataFrame) -> DataFrame:
+    """session_id, seq, sequence of the segments of each session's chain, where the chain is whole.
+
+    summaries: session_id, seq, append (its details are a valid segment that the entry repeats), chain_start, sequence,
+    first_covered, last_covered, first_kept. entries: session_id, seq, entry_id. The chain begins at the newest start and
+    ends at the newest summary; all between are segments, numbered from 1, each covers entries that the session holds once
+    and in order, keeps what lies after them or nothing, and begins where the one before it stopped keeping.
+    """
+    start = F.max(F.when(F.col("append") & F.col("chain_start"), F.col("seq"))).over(_by_session())
+    rows = summaries.withColumn("start", start).where(F.col("seq") >= F.col("start"))
+    once = entries.where("entry_id is not null").groupBy("session_id", "entry_id").agg(F.count("*").alias("n"), F.min("seq").alias("place")).where("n = 1")
+    for end in ("first_covered", "last_covered", "first_kept"):
+        rows = rows.join(once.select("session_id", F.col("entry_id").alias(end), F.col("place").alias(f"at_{end}")), ["session_id", end], "left")
+    covered = (F.col("at_first_covered") <= F.col("at_last_covered")) & ((F.col("first_kept") == "") | (F.col("at_first_kept") > F.col("at_last_covered")))
+    order = _by_session().orderBy("seq")
+    kept = F.lag("first_kept").over(order)
+    joined = kept.isNull() | (kept == "") | (kept == F.col("first_covered"))
+    ok = F.coalesce(F.col("append") & covered & joined & (F.col("sequence") == F.row_number().over(order)), F.lit(False))
+    checked = rows.withColumn("ok", ok).withColumn("whole", F.bool_and("ok").over(_by_session()))
+    return checked.where("whole").select("session_id", "seq", "sequence")

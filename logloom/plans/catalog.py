@@ -349,11 +349,11 @@ def history_cap(spark, d):
     return windows.newest(table(spark, d, "events"), "user_id", "event_id", 50).select("user_id", "event_id")
 
 
-@query(f"""WITH {ENTRIES}, l AS (SELECT conv_id, list(text[1:20] ORDER BY idx) FILTER (role = 'user') AS p, list(text[1:20] ORDER BY idx) FILTER (role <> 'user') AS f FROM e GROUP BY conv_id),
+@query(f"""WITH {ENTRIES}, l AS (SELECT conv_id, list(text ORDER BY idx) FILTER (role = 'user') AS p, list(text ORDER BY idx) FILTER (role <> 'user') AS f FROM e GROUP BY conv_id),
 u AS (SELECT conv_id, list_concat(coalesce(p, []), list_filter(coalesce(f, []), lambda x: NOT list_contains(coalesce(p, []), x))) AS a FROM l)
 SELECT conv_id, array_to_string(CASE WHEN len(a) <= 4 THEN a ELSE list_concat(a[1:1], a[len(a) - 2:len(a)]) END, '|') AS merged FROM u""")
 def union_distinct_merge(spark, d):
-    rows = entries(spark, d).withColumn("t", F.substring("text", 1, 20)).groupBy("conv_id")
+    rows = entries(spark, d).withColumn("t", F.col("text")).groupBy("conv_id")
     side = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("idx", "t")))), lambda x: x["t"])
     lists = rows.agg(side(F.col("role") == "user").alias("p"), side(F.col("role") != "user").alias("f"))
     return lists.select("conv_id", F.array_join(windows.merged_lines(F.col("p"), F.col("f"), 4, True), "|").alias("merged"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import recall, windows
+from ..operators import recall, search, summary, windows
 from ..sources import messages as M
 from ..sources.sessions import table
 from .catalog import BLOCKS, MESSAGES, PLACED, blocks, query
@@ -142,3 +142,64 @@ def full_context_tokens(spark, d):
         "CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'stop' END AS stop_reason", "CASE WHEN event_id % 3 > 0 THEN concat('m', event_id % 3) END AS model", "CASE WHEN event_id % 11 > 2 THEN event_id % 9000 ELSE 0 END AS context_tokens", "event_id % 50 AS tokens",
     )
     return windows.full_context_tokens(rows, "m1")
+
+
+FILES = """f AS (SELECT user_id AS session_id, CASE event_type WHEN 'purchase' THEN 'Modified' WHEN 'view' THEN 'Read' ELSE 'Created' END AS category, 'p' || event_id % 40 AS path, event_id % 2 AS side, min(event_id) AS first_blk FROM events WHERE event_type IN ('purchase', 'view', 'signup') GROUP BY ALL)"""
+
+
+@query(f"""WITH {FILES}, o AS (SELECT session_id, category, path, min({{'side': side, 'blk': first_blk}}) AS pos FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id, category ORDER BY pos, path) AS first_blk FROM o)
+SELECT session_id, category, path, first_blk FROM r WHERE category <> 'Created' OR NOT EXISTS (FROM r m WHERE m.session_id = r.session_id AND m.path = r.path AND m.category = 'Modified')""")
+def merged_files(spark, d):
+    kind = F.expr("CASE event_type WHEN 'purchase' THEN 'Modified' WHEN 'view' THEN 'Read' ELSE 'Created' END")
+    rows = table(spark, d, "events").where("event_type in ('purchase', 'view', 'signup')").select(F.col("user_id").alias("session_id"), kind.alias("category"), F.concat(F.lit("p"), (F.col("event_id") % 40).cast("string")).alias("path"), (F.col("event_id") % 2).alias("side"), "event_id")
+    of = lambda side: rows.where(F.col("side") == side).groupBy("session_id", "category", "path").agg(F.min("event_id").alias("first_blk"))
+    return summary.merged_files(of(0), of(1))
+
+
+@query("""WITH l AS (SELECT user_id AS session_id, list('line ' || event_id % 23 ORDER BY event_id) FILTER (event_id % 3 = 0) AS p, list('line ' || event_id % 23 ORDER BY event_id) FILTER (event_id % 3 = 1 AND user_id % 4 > 0) AS f FROM events GROUP BY user_id),
+u AS (SELECT session_id, coalesce(p, []) AS p, coalesce(f, []) AS f, list_concat(coalesce(p, []), coalesce(f, [])) AS a FROM l), k AS (SELECT *, list_filter(a, lambda x, i: list_position(a, x) = i) AS d FROM u)
+SELECT session_id, array_to_string(CASE WHEN len(d) <= 8 THEN d ELSE list_concat(d[1:1], d[len(d) - 6:len(d)]) END, '|') AS goals, array_to_string(d[greatest(len(d) - 7, 1):len(d)], '|') AS commits,
+array_to_string(CASE WHEN len(f) > 0 THEN f ELSE p END, '|') AS blockers, array_to_string(d[greatest(len(d) - 14, 1):len(d)], '|') AS preferences FROM k""")
+def merged_sections(spark, d):
+    rows = table(spark, d, "events").selectExpr("user_id AS session_id", "event_id", "concat('line ', event_id % 23) AS line")
+    names = ["goals", "commits", "blockers", "preferences"]
+
+    def side(keep):
+        lines = F.transform(F.array_sort(F.collect_list(F.when(F.expr(keep), F.struct("event_id", "line")))), lambda x: x["line"])
+        per = rows.groupBy("session_id").agg(lines.alias("l"))
+        return per.select("session_id", *[F.col("l").alias(n) for n in names], F.lit("").alias("brief"))
+
+    merged = summary.merged_sections(side("event_id % 3 = 0"), side("event_id % 3 = 1 AND session_id % 4 > 0"))
+    return merged.select("session_id", *[F.array_join(n, "|").alias(n) for n in names])
+
+
+CHAIN = """e AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN conv_id % 11 = 0 THEN 'same' ELSE 'e' || turn END AS entry_id, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+g AS (SELECT session_id, seq, conv_id_mod <> 5 OR seq > 0 AS append, seq = CASE WHEN conv_id_mod = 3 THEN 1 ELSE 0 END AS chain_start, seq + CASE WHEN conv_id_mod = 3 THEN 0 ELSE 1 END + CASE WHEN conv_id_mod = 2 AND seq = 1 THEN 1 ELSE 0 END AS sequence,
+'e' || seq AS first_covered, 'e' || seq AS last_covered, CASE WHEN seq = last OR conv_id_mod = 1 THEN '' WHEN conv_id_mod = 4 AND seq = 1 THEN 'e0' ELSE 'e' || (seq + 1) END AS first_kept FROM (SELECT *, session_id % 7 AS conv_id_mod FROM e))"""
+
+
+@query(f"""WITH {CHAIN}, s AS (SELECT session_id, max(seq) FILTER (append AND chain_start) AS start FROM g GROUP BY session_id), c AS (SELECT g.* FROM g JOIN s USING (session_id) WHERE g.seq >= s.start),
+u AS (SELECT session_id, entry_id, min(seq) AS place FROM e GROUP BY ALL HAVING count(*) = 1),
+o AS (SELECT c.session_id, c.seq, c.sequence, coalesce(c.append AND a.place <= b.place AND (c.first_kept = '' OR k.place > b.place) AND c.sequence = row_number() OVER w AND (lag(c.first_kept) OVER w IS NULL OR lag(c.first_kept) OVER w = '' OR lag(c.first_kept) OVER w = c.first_covered), false) AS ok
+  FROM c LEFT JOIN u a ON a.session_id = c.session_id AND a.entry_id = c.first_covered LEFT JOIN u b ON b.session_id = c.session_id AND b.entry_id = c.last_covered LEFT JOIN u k ON k.session_id = c.session_id AND k.entry_id = c.first_kept WINDOW w AS (PARTITION BY c.session_id ORDER BY c.seq))
+SELECT session_id, seq, sequence FROM o QUALIFY bool_and(ok) OVER (PARTITION BY session_id)""")
+def active_chain(spark, d):
+    rows = table(spark, d, "conversations").selectExpr("conv_id AS session_id", "turn AS seq", "CASE WHEN conv_id % 11 = 0 THEN 'same' ELSE concat('e', turn) END AS entry_id", "max(turn) OVER (PARTITION BY conv_id) AS last", "conv_id % 7 AS k")
+    made = rows.selectExpr(
+        "session_id", "seq", "k <> 5 OR seq > 0 AS append", "seq = CASE WHEN k = 3 THEN 1 ELSE 0 END AS chain_start", "seq + CASE WHEN k = 3 THEN 0 ELSE 1 END + CASE WHEN k = 2 AND seq = 1 THEN 1 ELSE 0 END AS sequence",
+        "concat('e', seq) AS first_covered", "concat('e', seq) AS last_covered", "CASE WHEN seq = last OR k = 1 THEN '' WHEN k = 4 AND seq = 1 THEN 'e0' ELSE concat('e', seq + 1) END AS first_kept",
+    )
+    return windows.active_chain(made, rows.select("session_id", "seq", "entry_id"))
+
+
+READINGS = [(0, r"a \w+ b"), (1, "a xyz b"), (2, r"only \W+ here"), (3, r"A \W+ B"), (4, "none")]
+
+
+_DOCS = ", ".join(f"({i}, '{t}')" for i, t in READINGS)
+
+
+@query(rf"""WITH v(idx, doc) AS (VALUES {_DOCS}), k AS (SELECT idx, regexp_matches(doc, '(?i)a \w+ b') AS p, contains(lower(doc), 'a \w+ b') AS l FROM v)
+SELECT 0::BIGINT AS conv_id, idx::BIGINT AS idx, CASE WHEN p THEN 'pattern' ELSE 'literal' END AS reading FROM k WHERE p OR l""")
+def recall_both_readings(spark, d):
+    rows = spark.createDataFrame([(0, i, t) for i, t in READINGS], "conv_id long, idx long, doc string")
+    return search.both_readings(rows, r"a \w+ b")
