@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
 the next one; all but the last return the columns of documents. No SQL can express language ID, banding and packing, so
-ORACLE_SQL is None. The tests hold near-dedup and one case of line dedup against brute-force versions; language ID is
-tested by accuracy, packing by round trip and padding, mixing by word totals, and the chain by its columns and row count.
+ORACLE_SQL is None. The tests hold line dedup, near-dedup, the windows of packing and the decoding of languages against
+brute-force versions on small rows, mixing against word totals, and the chain against its columns and row count.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm import language, line_dedup, mixing, near_dedup, packing
-from logloom.llm.common import table, written
+from logloom.llm.common import forget, table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
