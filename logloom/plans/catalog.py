@@ -16,7 +16,7 @@ from ..sources.sessions import conversation_entries, event_blocks, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MULTI, SINGLE, PATTERN, PATH = "thing stly reti", "thing", "th[ei]+ng.*stly", r"\w+stly\b"
+MULTI, SINGLE, MIXED, PATTERN, PATH = "thing stly reti", "thing", "th[ei]+ng zq+ stly", "th[ei]+ng.*stly", r"\w+stly\b"
 
 #: Parts of the SQL.
 ENTRIES = "e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, text, concat_ws(' ', role, coalesce(text, ''), '') AS doc FROM conversations)"
@@ -78,7 +78,8 @@ def log_entries(spark: SparkSession, d: str) -> DataFrame:
 def _hits(q: str) -> str:
     """CTEs of all scored hits of a query, with probability and coverage."""
     terms = R.query_terms(q)
-    tf = ", ".join(f"((length(lower(doc)) - length(replace(lower(doc), '{t.lower()}', ''))) / {len(t)})::BIGINT AS tf{i}" for i, t in enumerate(terms))
+    count = lambda t: f"len(regexp_extract_all(doc, '(?i){t}'))" if R.looks_like_regex(t) else f"((length(lower(doc)) - length(replace(lower(doc), '{t.lower()}', ''))) / {len(t)})::BIGINT"
+    tf = ", ".join(f"{count(t)} AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
     part = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0) + 1) * tf{i} * 2.2e0 / (tf{i} + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl)) ELSE 0 END" for i in range(len(terms)))
     total, cover = " + ".join(f"tf{i}" for i in range(len(terms))), " + ".join(f"(tf{i} > 0)::INT" for i in range(len(terms)))
@@ -96,23 +97,37 @@ def _top(q: str, gate: bool, lo: int = 1, hi: int = 50) -> str:
     SELECT rn::INT AS rn, conv_id, idx, round(score, 6) AS score, round(probability, 6) AS probability, coverage::INT AS coverage, total_before_cap FROM t WHERE rn BETWEEN {lo} AND {hi}"""
 
 
+def turn_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose idx is their turn: for a ranking, whose few hits get their place at the end."""
+    return table(spark, d, "conversations").select("conv_id", F.col("turn").alias("idx"), "role", "text", F.concat_ws(" ", "role", F.coalesce("text", F.lit("")), F.lit("")).alias("doc"))
+
+
+def _ranked(spark: SparkSession, d: str, q: str) -> DataFrame:
+    return search.numbered(search.ranks(turn_documents(spark, d), q), table(spark, d, "conversations"))
+
+
 def _shown(ranked: DataFrame) -> DataFrame:
     return ranked.select("rn", "conv_id", "idx", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"), "coverage", "total_before_cap")
 
 
 @query(_top(MULTI, True))
 def recall_multi_term(spark, d):
-    return _shown(search.search(entries(spark, d), MULTI))
+    return _shown(_ranked(spark, d, MULTI))
 
 
 @query(_top(SINGLE, False))
 def recall_single_term(spark, d):
-    return _shown(search.search(entries(spark, d), SINGLE))
+    return _shown(_ranked(spark, d, SINGLE))
+
+
+@query(_top(MIXED, True))
+def recall_pattern_terms(spark, d):
+    return _shown(_ranked(spark, d, MIXED))
 
 
 @query(_top(MULTI, True, 6, 10))
 def recall_page2(spark, d):
-    return _shown(search.page(search.search(entries(spark, d), MULTI), 2))
+    return _shown(search.page(_ranked(spark, d, MULTI), 2))
 
 
 @query(f"WITH {ENTRIES} SELECT conv_id, idx, role FROM e WHERE regexp_matches(doc, '(?i){PATTERN}') ORDER BY conv_id, idx")
@@ -128,12 +143,15 @@ def recall_literal_union(spark, d):
 
 @query(f"WITH {_hits(MULTI)} SELECT n, round(avg_dl, 6) AS avg_dl, df0, df1, df2 FROM s")
 def bm25_corpus_stats(spark, d):
-    return search.corpus_stats(entries(spark, d), R.query_terms(MULTI)).withColumn("avg_dl", F.round("avg_dl", 6))
+    return search.corpus_stats(search.measured(turn_documents(spark, d), R.query_terms(MULTI)), R.query_terms(MULTI)).withColumn("avg_dl", F.round("avg_dl", 6))
 
 
 @query(f"WITH {_hits(MULTI)} SELECT round(alpha, 6) AS alpha, round(beta, 6) AS beta, best::INT AS best FROM a")
 def posterior_params(spark, d):
-    return search.likelihood(search.scored(entries(spark, d), R.query_terms(MULTI))).select(F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), "best")
+    terms = R.query_terms(MULTI)
+    rows = search.measured(turn_documents(spark, d), terms)
+    known = search.likelihood(search.scored(rows, terms, search.corpus_stats(rows, terms).first()))
+    return spark.createDataFrame([(round(known["alpha"], 6), round(known["beta"], 6), known["best"])], "alpha double, beta double, best int")
 
 
 @query(f"WITH {ENTRIES}, s AS (SELECT DISTINCT conv_id FROM e WHERE role = 'system') SELECT e.conv_id, e.idx, e.role FROM e WHERE conv_id IN (SELECT conv_id FROM s)")

@@ -72,3 +72,26 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("counts").collect()] == [("s", 2, 1, 1)]
+
+
+def test_median_without_one_task(spark):
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from logloom.operators import search
+
+    for n in (1, 2, 7, 8, 2499, 2500, 9001, 30000):
+        rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(n // 2 + 1)).cast("double").alias("score"))
+        near = rows.agg(F.percentile_approx("score", [0.4998, 0.5002], search.ACCURACY)).first()[0]
+        assert search.median(rows, "score", n, near) == statistics.median(r[0] for r in rows.collect())
+
+
+def test_terms_of_patterns_and_scripts(spark):
+    from logloom.operators import search
+
+    assert R.query_terms("日本go 語") == ["日", "本go", "語"] and R.query_terms("a 日") == ["日"] and R.query_terms("日+ x") == ["日+"]
+    docs = ["colour and color", "colour", "nothing", "日本 colour"]
+    assert [r.idx for r in search.search(graded(spark, docs), "colou?r zz+").orderBy("rn").collect()][0] == 0
+    assert [(r.idx, r.text) for r in search.search(graded(spark, docs), "日本").collect()] == [(3, docs[3])]
+    assert search.search(graded(spark, []), "colour").count() == 0 and search.search(graded(spark, docs), "").count() == 0
