@@ -74,7 +74,9 @@ def short_path(path: Column) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    """Thousands with one decimal of the exact quotient, ties up; fewer as they are."""
+    tie = F.when(n % 1000 == 250, 1).otherwise(0)  # the one exact tie that rounding to even takes down
+    return F.when(n >= 1000, F.concat(F.replace(F.format_number((n + tie) / 1000, 1), F.lit(",")), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def filesystem_path(args: Column, keys: tuple[str, ...] = ("path", "file_path", "filePath", "file")) -> Column:

@@ -1,7 +1,7 @@
 import pytest
 
 from logloom.functions import relevance as R
-from logloom.plans import catalog, recall, transcripts  # noqa: F401  recall and transcripts add their queries to the catalog
+from logloom.plans import catalog, recall, texts, transcripts  # noqa: F401  all add their queries to the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
