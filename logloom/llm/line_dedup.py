@@ -34,10 +34,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
     key = F.btrim("line", F.lit(BLANKS))
     hashed = lines.where(F.char_length(key) >= min_chars).select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "part", "doc_id", "text_key", "pos")
-    local = hashed.groupBy("h1", "h2", "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("pos", F.struct("doc_id", "pos")).alias("at"))
+    # A place orders by document, then by position; as a decimal its minimum is kept by hash, without a sort.
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
+    local = hashed.groupBy("h1", "h2", "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(place).alias("place"))
     by_hash = Window.partitionBy("h1", "h2")
     streamed = local.repartitionByRange("h1", "h2").select(
-        "h1", "h2", "part", F.first("first").over(by_hash.orderBy("first", "at", "part")).alias("owner"), F.max("last").over(by_hash).alias("other")
+        "h1", "h2", "part", F.first("first").over(by_hash.orderBy("place", "part")).alias("owner"), F.max("last").over(by_hash).alias("other")
     )
     shared = streamed.where("owner < other").select("h1", "h2", "part", "owner")
     lost = hashed.join(shared, ["h1", "h2", "part"]).where("doc_id <> owner")
