@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """session_id (the file), line, entry (VARIANT, null where a line is no JSON), for every line that isn't blank.
 
-    Lines keep their order in the file: each file is read whole by one task, as its place is a row's identity.
+    A file may be read in splits by several tasks: a line's place follows from its split's start and its order there.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("session_id"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
+    split = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("session_id"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("start", "at")) - 1
+    files = split.withColumn("line", place)
     return files.where(~F.col("raw").rlike(r"^\s*$")).select("session_id", "line", F.try_parse_json("raw").alias("entry"))
 
 

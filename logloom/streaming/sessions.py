@@ -23,11 +23,11 @@ def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
 def _grow(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     messages, since, users = state.get if state.exists else (0, 0, 0)
     for part in parts:
-        for kind, role in zip(part["type"], part["role"], strict=True):
-            if kind in ("compaction", "reset_boundary"):
-                since = 0
-            elif kind == "message":
-                messages, since, users = messages + 1, since + 1, users + (role == "user")
+        message = part["type"].eq("message").to_numpy()
+        markers = part["type"].isin(["compaction", "reset_boundary"]).to_numpy().nonzero()[0]
+        users += int((message & part["role"].eq("user").to_numpy()).sum())
+        since = int(message[markers[-1] + 1 :].sum()) if len(markers) else since + int(message.sum())
+        messages += int(message.sum())
     state.update((messages, since, users))
     yield pd.DataFrame({"session_id": [key[0]], "messages": [messages], "since_marker": [since], "users": [users]})
 

@@ -197,3 +197,21 @@ def test_drill_down(spark):
     assert out[3].shown == "--- edit 1 ---\na\n--- becomes ---\n\n\n--- edit 2 ---\n\n--- becomes ---\nb"
     assert (out[4].n_matches, out[5].shown) == (0, None) and ops.count() == 3
     assert drill.file_hits(ops).count() == 3 and [r.n_lines for r in drill.file_hits(ops, "l4").collect()] == [11]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    from logloom.sources.sessions import read_lines
+
+    raws = [f'{{"id": "{i}", "pad": "{"x" * (i % 90)}"}}' if i % 11 else "" if i % 2 else "{broken" for i in range(400)]
+    (tmp_path / "a.jsonl").write_text("\n".join(raws) + "\n")
+    (tmp_path / "b.jsonl").write_text("\r\n".join(raws[:50]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path), lineSep="\n").rdd.getNumPartitions() > 20
+        got = rows.selectExpr("split_part(session_id, '/', -1) f", "line", "try_variant_get(entry, '$.id', 'string') id", "entry is null bad").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(f, i, str(i) if i % 11 else None, i % 11 == 0) for f, n in (("a.jsonl", 400), ("b.jsonl", 50)) for i in range(n) if raws[i]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
