@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, conversation_repair, embedding_dedup, language, license_scan, line_dedup, mixing, near_dedup, packing, quality, url_filters
+from . import chat_format, collocations, conversation_repair, embedding_dedup, language, license_scan, line_dedup, mixing, near_dedup, packing, quality, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_collocations": collocations.op11_collocations,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 
@@ -31,5 +32,6 @@ ORACLES: dict[str, str] = {
     "op8_url_filters": url_filters.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_conversation_repair": conversation_repair.OP12_SQL,
 }
