@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, collocations, conversation_repair, embedding_dedup, language, license_scan, line_dedup, mixing, near_dedup, packing, quality, url_filters
+from . import chat_format, collocations, conversation_repair, embedding_dedup, language, license_scan, line_dedup, mixing, near_dedup, packing, personal_data, quality, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.op10_mixing,
     "op11_collocations": collocations.op11_collocations,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
 ORACLES: dict[str, str] = {
