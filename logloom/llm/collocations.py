@@ -151,13 +151,13 @@ def grow(rows: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[tu
         yield from right((), 0, rows.shape[1])
 
 
-def frequent_phrases(docs: DataFrame, words: DataFrame, seed: int = 0, least: int = LEAST, longest: int = LONGEST, bucket: int = BUCKET) -> DataFrame:
+def frequent_phrases(docs: DataFrame, words: DataFrame, seed: int = 0, least: int = LEAST, longest: int = LONGEST, bucket: int = BUCKET, hot_rows: int | None = None) -> DataFrame:
     """lang, phrase (array of word hashes), f of all phrases of 2 to `longest` words found at least `least` times."""
     spark = docs.sparkSession
     total = words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first().n
     buckets = max(1, -(-total // bucket))
-    # At most HOT_SHARE words.
-    hot = np.sort(words.where(F.col("f") >= max(bucket // 8, hot_from(total))).select("h").toArrow()["h"].to_numpy())
+    # At most HOT_SHARE words, unless hot_rows says otherwise.
+    hot = np.sort(words.where(F.col("f") >= (hot_rows or max(bucket // 8, hot_from(total)))).select("h").toArrow()["h"].to_numpy())
     shared = spark.sparkContext.broadcast((_bitmap(words.where(F.col("f") >= least)), hot))
 
     def projections(batches):
@@ -279,7 +279,7 @@ def ranked(candidates: DataFrame, words: DataFrame, top: int = TOP) -> DataFrame
     return rows.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), F.col("said").alias("phrase"), "a", "l", "r", "n", "score")
 
 
-def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, covered: int = COVERED, bucket: int = BUCKET) -> DataFrame:
+def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, covered: int = COVERED, bucket: int = BUCKET, hot_rows: int | None = None) -> DataFrame:
     """The collocations of docs (lang, text): lang, rank, phrase, a, l, r, n, score."""
     for seed in range(8):
         words = written(counted_words(docs, seed))
@@ -289,7 +289,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     else:
         raise RuntimeError("word hashes met with every seed")
     frequent = words.where(F.col("f") >= least)
-    phrases = written(frequent_phrases(docs, words, seed, least, longest, bucket))
+    phrases = written(frequent_phrases(docs, words, seed, least, longest, bucket, hot_rows))
     found = written(ranked(uncovered(scored(phrases, frequent), covered), words, top))
     forget(words, phrases)
     return found

@@ -97,7 +97,7 @@ def luhn(d: Column) -> Column:
 
 def valid() -> Column:
     """Whether a match of its kind passes the check: parts of at most 255, 13 to 19 digits and Luhn, 9 to 15 digits."""
-    d, part = digits("value"), "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+    d, part = digits("value"), "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
     dots = F.regexp_replace("value", r"[^0-9]+", ".")
     card = F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False)
     return F.when(F.col("kind") == "ip", dots.rlike(rf"^{part}(?:\.{part}){{3}}$")).when(F.col("kind") == "card", card).when(F.col("kind") == "phone", F.length(d).between(9, 15)).otherwise(True)
