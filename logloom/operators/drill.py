@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.relevance import safe_pattern
 from ..functions.text import clip, clip_bytes, line_snippet
 
 PREVIEW_LINES, FULL_BYTES, SNIPPET_MOST = 30, 50 * 1024, 2000
@@ -38,13 +39,20 @@ def expand_files(operations: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("request_id", "n_matches", "paths", F.when(only.isNotNull(), F.col("one.path")).alias("path"), F.when(only.isNotNull(), F.col("one.name")).alias("tool"), F.when(only.isNotNull(), view["total_lines"]).alias("total_lines"), shown.alias("shown"))
 
 
-def file_hits(operations: DataFrame, pattern: str | None = None) -> DataFrame:
-    """File operations whose path or content matches (all without a pattern): session_id, source, path, name, n_lines, snippet."""
+def file_hits(operations: DataFrame, pattern: str | None = None, most: int | None = None) -> DataFrame:
+    """File operations whose path or content matches, whatever its case (all without a pattern): session_id, source, path, name,
+    n_lines, snippet. most: the first so many of each session, in order."""
     if pattern is None:
-        return operations.select("session_id", "source", "path", "name", "n_lines", clip(F.col("searched"), SNIPPET_MOST).alias("snippet"))
-    n = F.size(F.filter(F.split("searched", "\n"), lambda x: x.rlike(pattern) & ~x.rlike(r"^\s*$")))
-    hits = operations.where(F.col("searched").rlike(pattern))
-    return hits.select("session_id", "source", "path", "name", n.alias("n_lines"), clip(F.coalesce(line_snippet(F.col("searched"), pattern, 1), F.col("path")), SNIPPET_MOST).alias("snippet"))
+        hits = operations.select("session_id", "source", "blk", "path", "name", "n_lines", clip(F.col("searched"), SNIPPET_MOST).alias("snippet"))
+    else:
+        found = "(?iu)" + safe_pattern(pattern)
+        n = F.size(F.filter(F.split("searched", "\n"), lambda x: x.rlike(found) & ~x.rlike(r"^\s*$")))
+        snippet = clip(F.coalesce(line_snippet(F.col("searched"), found, 1), F.col("path")), SNIPPET_MOST)
+        hits = operations.where(F.col("searched").rlike(found)).select("session_id", "source", "blk", "path", "name", n.alias("n_lines"), snippet.alias("snippet"))
+    if most is not None:
+        place = F.dense_rank().over(Window.partitionBy("session_id").orderBy("source"))
+        hits = hits.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return hits.drop("blk")
 
 
 def omission_targets(omissions: DataFrame, messages: DataFrame) -> DataFrame:

@@ -192,14 +192,16 @@ def active_chain(spark, d):
     return windows.active_chain(made, rows.select("session_id", "seq", "entry_id"))
 
 
-READINGS = [(0, r"a \w+ b"), (1, "a xyz b"), (2, r"only \W+ here"), (3, r"A \W+ B"), (4, "none")]
+READINGS = r"q\d o"
 
 
-_DOCS = ", ".join(f"({i}, '{t}')" for i, t in READINGS)
-
-
-@query(rf"""WITH v(idx, doc) AS (VALUES {_DOCS}), k AS (SELECT idx, regexp_matches(doc, '(?i)a \w+ b') AS p, contains(lower(doc), 'a \w+ b') AS l FROM v)
-SELECT 0::BIGINT AS conv_id, idx::BIGINT AS idx, CASE WHEN p THEN 'pattern' ELSE 'literal' END AS reading FROM k WHERE p OR l""")
+@query(r"""WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, replace(text, ' the ', CASE WHEN conv_id % 2 = 0 THEN ' q\d ' ELSE ' q7 ' END) AS doc FROM conversations),
+k AS (SELECT conv_id, idx, regexp_matches(doc, '(?i)q\d o') AS p, contains(lower(doc), 'q\d o') AS l FROM e), p AS (SELECT conv_id, idx, row_number() OVER (ORDER BY conv_id, idx) AS rn FROM k WHERE p),
+x AS (SELECT conv_id, idx, row_number() OVER (ORDER BY conv_id, idx) AS rn FROM k WHERE l AND NOT p), n AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM x) AS nx)
+SELECT conv_id, idx, 'pattern' AS reading FROM p, n WHERE rn <= 50 - least(nx, 25) UNION ALL SELECT conv_id, idx, 'literal' FROM x, n WHERE rn <= 50 - least(np, 50 - least(nx, 25))""")
 def recall_both_readings(spark, d):
-    rows = spark.createDataFrame([(0, i, t) for i, t in READINGS], "conv_id long, idx long, doc string")
-    return search.both_readings(rows, r"a \w+ b")
+    """A word of every other conversation is made text that only the literal reading finds, of the others what only the pattern does."""
+    from .catalog import entries
+
+    doc = F.when(F.col("conv_id") % 2 == 0, F.replace("text", F.lit(" the "), F.lit(" q\\d "))).otherwise(F.replace("text", F.lit(" the "), F.lit(" q7 ")))
+    return search.both_readings(entries(spark, d).withColumn("doc", doc), READINGS)
