@@ -32,10 +32,10 @@ def touched_files(blocks: DataFrame, host: DataFrame | None = None) -> DataFrame
     if host is not None:
         known = host.where(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").rlike(M.URI))
         calls = calls.unionByName(known.select("session_id", "category", "path", F.lit(-1).cast("long").alias("blk")))
-    return _created_unmodified(calls.groupBy("session_id", "category", "path").agg(F.min("blk").alias("first_blk")))
+    return created_unmodified(calls.groupBy("session_id", "category", "path").agg(F.min("blk").alias("first_blk")))
 
 
-def _created_unmodified(files: DataFrame) -> DataFrame:
+def created_unmodified(files: DataFrame) -> DataFrame:
     modified = files.where("category = 'Modified'").select("session_id", "path", F.lit("Created").alias("category"))
     return files.join(modified, ["session_id", "path", "category"], "left_anti").select("session_id", "category", "path", "first_blk")
 
@@ -46,7 +46,7 @@ def merged_files(previous: DataFrame, fresh: DataFrame) -> DataFrame:
     new = fresh.select("session_id", "category", "path", F.struct(F.lit(1).alias("side"), "first_blk").alias("at"))
     once = old.unionByName(new).groupBy("session_id", "category", "path").agg(F.min("at").alias("at"))
     place = F.row_number().over(Window.partitionBy("session_id", "category").orderBy("at", "path"))
-    return _created_unmodified(once.select("session_id", "category", "path", place.cast("long").alias("first_blk")))
+    return created_unmodified(once.select("session_id", "category", "path", place.cast("long").alias("first_blk")))
 
 
 #: The most lines of a merged section.

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import brief, drill, summary, windows
+from ..operators import brief, drill, merging, summary, windows
 from ..sources import messages as M
 from ..sources.sessions import table
 from .catalog import BLOCKS, blocks, query
@@ -145,6 +145,54 @@ def file_category_lines(spark, d):
     return summary.category_lines(summary.touched_files(blocks(spark, d)))
 
 
+#: Files of two sides of a session, and the file lines of both as one, with commas in names; each user's side 0 is the previous summary.
+SIDES = r"""v AS (SELECT user_id::VARCHAR AS session_id, event_id AS e, event_id % 2 AS side, CASE event_type WHEN 'purchase' THEN 'Modified' WHEN 'view' THEN 'Read' ELSE 'Created' END AS category,
+  '/repo/src/m' || event_id % 7 || '/f' || event_id % 40 || ',x.py' AS path, CASE event_type WHEN 'click' THEN 'g' ELSE 'n' END || event_id % 29 || ' ' || repeat('word ', (event_id % 40)::INT) || 'end' AS line, event_type AS t FROM events),
+f0 AS (SELECT session_id, side, category, path, min(e) AS e FROM v WHERE t IN ('purchase', 'view', 'signup') GROUP BY ALL),
+f1 AS (SELECT f0.*, row_number() OVER (PARTITION BY session_id, side, category ORDER BY e, path) AS nr FROM f0 WHERE category <> 'Created' OR NOT EXISTS (FROM f0 m WHERE m.session_id = f0.session_id AND m.side = f0.side AND m.path = f0.path AND m.category = 'Modified')),
+f2 AS (SELECT session_id, category, path, min({'side': side, 'nr': nr}) AS pos FROM f1 WHERE nr <= 100 GROUP BY ALL),
+files AS (SELECT f2.session_id, f2.category, f2.path, row_number() OVER (PARTITION BY session_id, category ORDER BY pos, path) AS nr FROM f2 WHERE category <> 'Created' OR NOT EXISTS (FROM f2 m WHERE m.session_id = f2.session_id AND m.path = f2.path AND m.category = 'Modified'))"""
+
+
+def two_sides(spark, d):
+    """session_id, side, t, e, category, path, line of events, as two summaries of each user tell them."""
+    return table(spark, d, "events").selectExpr(
+        "cast(user_id AS string) AS session_id", "event_id % 2 AS side", "event_type AS t", "event_id AS e", "CASE event_type WHEN 'purchase' THEN 'Modified' WHEN 'view' THEN 'Read' ELSE 'Created' END AS category",
+        "concat('/repo/src/m', event_id % 7, '/f', event_id % 40, ',x.py') AS path", "concat(CASE event_type WHEN 'click' THEN 'g' ELSE 'n' END, event_id % 29, ' ', repeat('word ', cast(event_id % 40 AS int)), 'end') AS line",
+    )
+
+
+def told(rows, side):
+    """session_id, summary: what a side's rows say, wrapped as summaries are."""
+    own = rows.where(F.col("side") == side)
+    files = own.where("t IN ('purchase', 'view', 'signup')").groupBy("session_id", "category", "path").agg(F.min("e").alias("first_blk"))
+    listed = lambda kind, title: F.concat(F.lit(f"[{title}]\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") == kind, F.struct("e", "line")))), lambda x: F.concat(F.lit("- "), x["line"])), "\n"))
+    per = own.groupBy("session_id").agg(listed("click", summary.TITLES["goals"]).alias("goals"), listed("error", summary.TITLES["commits"]).alias("commits"), F.count("*").alias("n"))
+    whole = per.join(merging.file_section(summary.created_unmodified(files)), "session_id", "left")
+    text = F.concat(F.concat_ws("\n\n", "goals", "files", "commits"), F.lit(summary.RULE), F.lit("[user]\nstep "), F.col("n").cast("string"))
+    return whole.select("session_id", F.concat(brief.T.wrapped(text), F.lit(summary.RULE + summary.NOTE)).alias("summary"))
+
+
+@query(f"""WITH {SIDES}, l AS (SELECT session_id, side, t, list('- ' || line ORDER BY e) AS l FROM v WHERE t IN ('click', 'error') GROUP BY ALL),
+u AS (SELECT s.session_id, s.t, coalesce(a.l, []) AS a, coalesce(b.l, []) AS b FROM (SELECT DISTINCT session_id, t FROM l) s LEFT JOIN l a ON a.session_id = s.session_id AND a.t = s.t AND a.side = 0 LEFT JOIN l b ON b.session_id = s.session_id AND b.t = s.t AND b.side = 1),
+k AS (SELECT session_id, t, a, b, list_filter(list_concat(a, b), lambda x, i: list_position(list_concat(a, b), x) = i) AS d FROM u),
+m AS (SELECT session_id, t, CASE WHEN len(a) = 0 OR len(b) = 0 THEN list_concat(a, b) WHEN len(d) <= 8 THEN d WHEN t = 'click' THEN list_concat(d[1:1], d[len(d) - 6:len(d)]) ELSE d[len(d) - 7:len(d)] END AS l FROM k),
+r AS (SELECT *, count(*) OVER (PARTITION BY session_id, category) AS n, string_split(path, '/')[4] AS m FROM files), p AS (SELECT session_id, category, CASE WHEN count(*) < 2 THEN '' WHEN count(DISTINCT m) = 1 THEN '/repo/src/' || min(m) || '/' ELSE '/repo/src/' END AS dir FROM r GROUP BY ALL),
+g AS (SELECT session_id, category, min(nr) AS nr, category || CASE WHEN dir <> '' THEN ' (in ' || dir || ')' ELSE '' END || ': ' || string_agg(replace(substr(path, length(dir) + 1), ',', chr(92) || ','), ', ' ORDER BY nr) AS line FROM r JOIN p USING (session_id, category) WHERE nr <= 20 GROUP BY session_id, category, dir
+UNION ALL SELECT session_id, category, min(nr), category || ' (+' || count(*) || ' more under /repo/src/' || m || '/): ' || string_agg(replace(string_split(path, '/')[5], ',', chr(92) || ','), ', ' ORDER BY nr) FROM r WHERE nr BETWEEN 21 AND 100 GROUP BY session_id, category, m
+UNION ALL SELECT session_id, category, 101, category || ' (+' || (n - 100) || ' more)' FROM r WHERE nr = 101),
+c AS (SELECT session_id, string_agg('- ' || line, '|' ORDER BY category <> 'Modified', category, nr) AS files FROM g GROUP BY session_id),
+n AS (SELECT session_id, string_agg('[user]' || chr(10) || 'step ' || n, chr(10) || chr(10) ORDER BY side) AS brief FROM (SELECT session_id, side, count(*) AS n FROM v GROUP BY ALL) GROUP BY session_id)
+SELECT n.session_id, coalesce(array_to_string(x.l, '|'), '') AS goals, coalesce(c.files, '') AS files, coalesce(array_to_string(y.l, '|'), '') AS commits, brief
+FROM n LEFT JOIN c USING (session_id) LEFT JOIN m x ON x.session_id = n.session_id AND x.t = 'click' LEFT JOIN m y ON y.session_id = n.session_id AND y.t = 'error'""")
+def merged_summaries(spark, d):
+    """Two rendered summaries of each user, read back from their text, merged, and read back once more."""
+    rows = two_sides(spark, d)
+    merged = merging.merged_summaries(told(rows, 0), told(rows, 1))
+    part = lambda name: F.array_join(merging.bullets(merging.section(F.col("summary"), summary.TITLES[name])), "|")
+    return merged.select("session_id", part("goals").alias("goals"), part("files").alias("files"), part("commits").alias("commits"), merging.brief_of(summary.without_note(F.col("summary"))).alias("brief"))
+
+
 @query()
 def ranked_selection(spark, d):
     return brief.selected(held(spark, d))
