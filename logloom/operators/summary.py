@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import brief as T
 from ..functions import text as X
 from ..sources import messages as M
+from ..sources.shared import written
 from . import blocks as B
-from . import brief, facts, windows
+from . import brief, facts, many, windows
 
 SHOWN, NAMED = 20, 100
 #: Tools that read or write files, titles in order, and the note at the end.
 READS = ("read", "read_file", "view")
 WRITES = ("edit", "write", "edit_file", "write_file", "multiedit", "quick_edit", "target_edit", "apply_patch")
 TITLES = {"goals": "Session Goal", "files": "Files And Changes", "commits": "Commits", "blockers": "Outstanding Context", "preferences": "User Preferences"}
+PROBES = ("goal", "file", "problem")
 RULE = "\n\n---\n\n"
 NOTE = "Use the recall search for prior work, decisions, and context from before this summary. Do not redo work already completed."
 
@@ -142,20 +144,37 @@ def section_of(summary: Column, title: str) -> Column:
     return F.when(found != "", X.trim_blank(found))
 
 
+def entry_documents(messages: DataFrame) -> DataFrame:
+    """session_id, idx, doc: what a search reads of each message (session_id, seq, message): role, text, and the files of its calls."""
+    m = F.col("message")
+    files = F.filter(F.transform(M.parts(m, "toolCall"), lambda p: M.file_path(F.try_variant_get(p, "$.arguments", "variant"))), lambda p: p.isNotNull())
+    return messages.select("session_id", F.col("seq").alias("idx"), F.concat_ws(" ", M.rendered(m)["role"], M.search_document(m), F.array_join(files, " ")).alias("doc"))
+
+
+def probe_queries(told: DataFrame) -> DataFrame:
+    """session_id, label, query: what the first goal, file and blocker of a session (session_id, goals, file, blockers) would be searched by."""
+    probes = {"goal": F.try_element_at("goals", F.lit(1)), "file": F.col("file"), "problem": F.try_element_at("blockers", F.lit(1))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), X.query_of(X.trim_blank(F.coalesce(v, F.lit("")))).alias("query")) for k, v in probes.items()]))
+    return told.select("session_id", each.alias("p")).select("session_id", "p.*").where("query <> ''")
+
+
 def reports(messages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per session: messages, roles, block kinds, sizes before and after, their ratio, sections, and for the first goal,
-    file and blocker the query it gives and whether the summary mentions all its terms.
+    """Per session: messages, roles, block kinds, sizes before and after, their ratio, sections, and for the first goal, file
+    and blocker the query it gives, whether the summary mentions all its terms, and how many entries a search by it finds.
     """
     count = lambda k: F.count_if(F.col("kind") == k)
     kinds = blocks.groupBy("session_id").agg(count("user").alias("user_blocks"), count("assistant").alias("assistant_blocks"), count("tool_call").alias("calls"), count("tool_result").alias("results"), F.min_by("path", F.when(F.col("path").isNotNull(), F.col("blk"))).alias("file"))
     use = M.usage(messages).select("session_id", F.col("n").alias("messages"), "users", "assistants", (F.col("input_chars") + F.col("output_chars")).alias("chars_before"))
-    rows = use.join(kinds, "session_id").join(summaries(blocks), "session_id").withColumn("summary", F.coalesce("summary", F.lit("")))
-    after = F.char_length("summary")
-    probes = {"goal": F.try_element_at("goals", F.lit(1)), "file": F.col("file"), "problem": F.try_element_at("blockers", F.lit(1))}
-    asked = {k: F.nullif(X.query_of(F.coalesce(v, F.lit(""))), F.lit("")) for k, v in probes.items()}
+    # The summary's plan is large: it is cut here, and read by the probes and the report.
+    told = written(kinds.join(summaries(blocks), "session_id").withColumn("summary", F.coalesce("summary", F.lit(""))))
+    asked = probe_queries(told)
+    probes = asked.join(many.hit_counts(entry_documents(messages), asked), ["session_id", "label"]).groupBy("session_id").agg(
+        *[F.max(F.when(F.col("label") == k, F.col(c))).alias(f"{k}_{n}") for k in PROBES for c, n in (("query", "query"), ("n_hits", "hits"))]
+    )
+    rows, after = use.join(told, "session_id").join(probes, "session_id", "left"), F.char_length("summary")
     return rows.select(
         "session_id", "messages", "users", "assistants", "user_blocks", "assistant_blocks", "calls", "results", "chars_before", after.alias("chars_after"),
         F.when(after > 0, F.round(F.col("chars_before") / after, 2)).otherwise(0).alias("ratio"), sum([(F.size(c) > 0).cast("int") for c in TITLES], F.lit(0)).alias("n_sections"),
         F.size("goals").alias("n_goals"), F.size("blockers").alias("n_blockers"), "brief_lines",
-        *[c for k, q in asked.items() for c in (q.alias(f"{k}_query"), X.holds_terms(F.col("summary"), q).alias(f"{k}_mentioned"))],
+        *[c for k in PROBES for c in (F.col(f"{k}_query"), X.holds_terms(F.col("summary"), F.col(f"{k}_query")).alias(f"{k}_mentioned"), F.col(f"{k}_hits"))],
     )

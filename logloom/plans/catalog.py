@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import relevance as R
 from ..functions import text as T
 from ..operators import blocks as B
-from ..operators import facts, search, windows
+from ..operators import facts, many, search, windows
 from ..sources.sessions import conversation_entries, event_blocks, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,33 @@ def recall_literal_union(spark, d):
     return search.both_readings(entries(spark, d), PATH)
 
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(R.STOPWORDS)) + "]"
+
+
+@query(rf"""WITH e AS (SELECT conv_id AS session_id, turn AS idx, concat_ws(' ', role, coalesce(text, ''), '') AS doc FROM conversations), x AS (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM conversations GROUP BY conv_id),
+q0 AS (SELECT c.conv_id AS session_id, unnest(CASE WHEN turn = a AND turn = b THEN ['first', 'last'] WHEN turn = a THEN ['first'] ELSE ['last'] END) AS label, regexp_extract_all(text, '[\p{{L}}\p{{N}}_./-]{{3,}}')[1:6] AS w FROM conversations c JOIN x ON x.conv_id = c.conv_id AND c.turn IN (a, b)),
+q AS (SELECT session_id, label, CASE WHEN len(list_filter(w, lambda t: NOT list_contains({_STOP}, lower(t)))) > 0 THEN list_filter(w, lambda t: NOT list_contains({_STOP}, lower(t))) ELSE w END AS w FROM q0 WHERE len(w) > 0),
+u AS (SELECT session_id, label, len(list_distinct(list_transform(w, lambda t: lower(t)))) > 1 AS several, unnest(w) AS term FROM q), t AS (SELECT session_id, label, several, term, count(*) AS times FROM u GROUP BY ALL),
+d AS (SELECT *, len(regexp_extract_all(doc, '[\p{{L}}\p{{N}}_]+')) AS dl FROM e), s AS (SELECT session_id, count(*) AS n, avg(dl) AS avg_dl FROM d GROUP BY session_id),
+p AS (SELECT d.session_id, d.idx, d.dl, k.term, ((length(lower(doc)) - length(replace(lower(doc), lower(term), ''))) / length(term))::BIGINT AS tf FROM d JOIN (SELECT DISTINCT session_id, term FROM t) k ON k.session_id = d.session_id AND contains(lower(d.doc), lower(k.term))),
+f AS (SELECT session_id, term, count(*) AS df FROM p GROUP BY ALL),
+h AS (SELECT p.session_id, t.label, t.several, p.idx, dl / avg_dl AS ratio, sum(times * (ln((n - df * times + 0.5e0) / (df * times + 0.5e0) + 1) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl)))) AS score, sum(times * tf) AS tf, count(DISTINCT lower(p.term)) AS coverage
+  FROM p JOIN t ON t.session_id = p.session_id AND t.term = p.term JOIN f ON f.session_id = p.session_id AND f.term = p.term JOIN s ON s.session_id = p.session_id GROUP BY p.session_id, t.label, t.several, p.idx, dl, avg_dl),
+a AS (SELECT session_id, label, CASE WHEN stddev_pop(score) FILTER (score > 0) > 0 THEN 1 / stddev_pop(score) FILTER (score > 0) ELSE 1 END AS alpha, coalesce(median(score) FILTER (score > 0), 0) AS beta, max(coverage) AS best FROM h GROUP BY ALL),
+k AS (SELECT h.*, best, 1 / (1 + exp(-alpha * (score - beta))) AS l, greatest(0.1e0, least(0.9e0, 0.7e0 * (0.2e0 + 0.7e0 * least(1, tf / 10)) + 0.3e0 * (0.3e0 + 0.6e0 * (1 - least(1, abs(ratio - 0.5e0) * 2))))) AS pr, row_number() OVER (PARTITION BY h.session_id, h.label ORDER BY round(score, 9) DESC, idx) AS rk FROM h JOIN a ON a.session_id = h.session_id AND a.label = h.label),
+g AS (SELECT * FROM k WHERE NOT several OR rk = 1 OR l * pr / (l * pr + (1 - l) * (1 - pr)) >= 0.5 OR coverage >= best)
+SELECT q.session_id, q.label, least(count(g.idx), 50)::BIGINT AS n_hits FROM q LEFT JOIN g ON g.session_id = q.session_id AND g.label = q.label GROUP BY ALL""")
+def probe_hits(spark, d):
+    """Every conversation searched by the words of its first and of its last turn, all in one job."""
+    from pyspark.sql import Window
+
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), "text", F.concat_ws(" ", "role", F.coalesce("text", F.lit("")), F.lit("")).alias("doc"))
+    per = Window.partitionBy("session_id")
+    ends = turns.withColumn("a", F.min("idx").over(per)).withColumn("b", F.max("idx").over(per))
+    label = F.explode(F.concat(F.when(F.col("idx") == F.col("a"), F.array(F.lit("first"))).otherwise(F.array().cast("array<string>")), F.when(F.col("idx") == F.col("b"), F.array(F.lit("last"))).otherwise(F.array().cast("array<string>"))))
+    return many.hit_counts(turns, ends.select("session_id", label.alias("label"), T.query_of(F.col("text")).alias("query")).where("query <> ''"))
+
+
 @query(f"WITH {_hits(MULTI)} SELECT n, round(avg_dl, 6) AS avg_dl, df0, df1, df2 FROM s")
 def bm25_corpus_stats(spark, d):
     return search.corpus_stats(search.measured(turn_documents(spark, d), R.query_terms(MULTI)), R.query_terms(MULTI)).withColumn("avg_dl", F.round("avg_dl", 6))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from ..functions import text as T
 from ..operators import brief, drill, merging, summary, windows
 from ..sources import messages as M
 from ..sources.sessions import table
+from ..sources.shared import written
 from .catalog import BLOCKS, blocks, query
 
 PLACES = "v AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS source, event_id AS e, event_type AS t FROM events)"
@@ -32,8 +32,8 @@ def parsed(spark, d):
 
 
 def held(spark, d):
-    """Blocks for queries that read them many times: parsed once and kept on disk, computed anew where an executor is lost."""
-    return parsed(spark, d).persist(StorageLevel.DISK_ONLY)
+    """Blocks for queries that read them many times: parsed once, as a table, where the query's plan begins anew."""
+    return written(parsed(spark, d))
 
 
 @query(f"WITH {PARSED} SELECT session_id, source, row_number() OVER (PARTITION BY session_id ORDER BY source, pos) - 1 AS blk, kind, text, name, path, command, exit_code::INT AS exit_code FROM x")
