@@ -146,9 +146,9 @@ def section_of(summary: Column, title: str) -> Column:
 
 def entry_documents(messages: DataFrame) -> DataFrame:
     """session_id, idx, doc: what a search reads of each message (session_id, seq, message): role, text, and the files of its calls."""
-    m = F.col("message")
+    m, raw = F.col("message"), F.col("raw") if "raw" in messages.columns else None
     files = F.filter(F.transform(M.parts(m, "toolCall"), lambda p: M.file_path(F.try_variant_get(p, "$.arguments", "variant"))), lambda p: p.isNotNull())
-    return messages.select("session_id", F.col("seq").alias("idx"), F.concat_ws(" ", M.rendered(m)["role"], M.search_document(m), F.array_join(files, " ")).alias("doc"))
+    return messages.select("session_id", F.col("seq").alias("idx"), F.concat_ws(" ", M.rendered(m)["role"], M.search_document(m, raw=raw), F.array_join(files, " ")).alias("doc"))
 
 
 def probe_queries(told: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..sources import messages as M
 from ..sources.sessions import table
 from .catalog import BLOCKS, MESSAGES, PLACED, blocks, query
 from .catalog import messages as turns
-from .transcripts import PATH, PLACES, messages
+from .transcripts import PATH, PLACES, WRITTEN, messages
 
 REQUESTS = ["#42", "#42:full", "#42:30", "#42:30:20", "#7:text", "#7:text:full", "#7:text:5:2", "#42:auth.ts", "#42:auth.ts:full", "#42:src/a:b.ts:10", "#42:auth.ts:10:5", "#x", "plain words", "#12 more", "#3:", "#9:text:", ""]
 _LISTED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(REQUESTS))
@@ -50,24 +50,23 @@ CALL = f"CASE t WHEN 'view' THEN 'read' ELSE 'edit' END || '(path=' || {PATH} ||
 CASE t WHEN 'signup' THEN 'please fix the parser of step ' || e WHEN 'click' THEN 'Hmm, step ' || e || ' is done' WHEN 'purchase' THEN {CALL}
   WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN '[edit] ok ' || e ELSE {CALL} END ELSE '$ ' || {SHELL} || chr(10) || 'line ' || e END AS summary FROM v""")
 def rendered_messages(spark, d):
-    return messages(spark, d).select("session_id", "seq", M.rendered(F.col("message")).alias("r")).select("session_id", "seq", "r.*")
+    return messages(spark, d).select("session_id", "seq", M.rendered(F.col("message"), raw=F.col("raw")).alias("r")).select("session_id", "seq", "r.*")
 
 
 @query(f"""WITH {PLACES} SELECT session_id, source AS seq, CASE t WHEN 'signup' THEN 'please fix the parser of step ' || e WHEN 'click' THEN 'Hmm, step ' || e || ' is done' || chr(10) || 't' || e
-  WHEN 'purchase' THEN CASE WHEN e % 2 = 0 THEN 'b' || chr(10) || 'c' || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || {PATH} ELSE 'y' || chr(10) || 'x' || chr(10) || 'z' || chr(10) || chr(10) || 'w' || chr(10) || {PATH} END
+  WHEN 'purchase' THEN {PATH} || chr(10) || CASE WHEN e % 2 = 0 THEN 'a' || chr(10) || chr(10) || 'b' || chr(10) || 'c' || chr(10) ELSE 'x' || chr(10) || 'y' || chr(10) || 'z' || chr(10) || chr(10) || 'w' END
   WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN 'ok ' || e ELSE {PATH} END ELSE {SHELL} || ' line ' || e END AS doc FROM v""")
 def search_documents(spark, d):
-    return messages(spark, d).select("session_id", "seq", M.search_document(F.col("message")).alias("doc"))
+    return messages(spark, d).select("session_id", "seq", M.search_document(F.col("message"), raw=F.col("raw")).alias("doc"))
 
 
 @query(f"""WITH {PLACES} SELECT session_id, source AS seq, CASE t WHEN 'signup' THEN 'please fix the parser of step ' || e || CASE WHEN e % 5 = 0 THEN chr(10) || '[image:image/png]' ELSE '' END WHEN 'click' THEN '[thinking]' || chr(10) || 'Hmm, step ' || e || ' is done'
   WHEN 'purchase' THEN '[toolCall:edit]' WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN 'ok ' || e ELSE '[toolCall:read]' END ELSE '' END AS preview,
 CASE t WHEN 'signup' THEN ceil(length('please fix the parser of step ' || e) / 4) + CASE WHEN e % 5 = 0 THEN 1200 ELSE 0 END WHEN 'click' THEN ceil(length('t' || e) / 4) + ceil(length('Hmm, step ' || e || ' is done') / 4)
-  WHEN 'error' THEN ceil((length({SHELL}) + 1 + length('line ' || e)) / 4) WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN ceil(length('ok ' || e) / 4) ELSE ceil((4 + length('{{"file_path":""}}') + length({PATH})) / 4) END END::BIGINT AS tokens FROM v WHERE t <> 'purchase'""")
+  WHEN 'error' THEN ceil((length({SHELL}) + 1 + length('line ' || e)) / 4) WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN ceil(length('ok ' || e) / 4) ELSE ceil((4 + length({WRITTEN})) / 4) END WHEN 'purchase' THEN ceil((4 + length({WRITTEN})) / 4) END::BIGINT AS tokens FROM v""")
 def message_estimates(spark, d):
     m = F.col("message")
-    edits = F.exists(M.parts(m, "toolCall"), lambda p: F.coalesce(M.text_at(p, "$.name") == "edit", F.lit(False)))
-    return messages(spark, d).where(~edits).select("session_id", "seq", M.preview(m).alias("preview"), M.message_tokens(m).alias("tokens"))
+    return messages(spark, d).select("session_id", "seq", M.preview(m).alias("preview"), M.message_tokens(m, F.col("raw")).alias("tokens"))
 
 
 @query("""WITH e AS (SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, text FROM conversations),

@@ -14,6 +14,8 @@ from .catalog import BLOCKS, blocks, query
 
 PLACES = "v AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS source, event_id AS e, event_type AS t FROM events)"
 PATH = "'/repo/src/m' || e % 7 || '/f' || e % 40 || '.py'"
+#: The arguments of calls as the log writes them.
+WRITTEN = rf"""CASE t WHEN 'view' THEN '{{"file_path":"' || {PATH} || '"}}' ELSE '{{"path":"' || {PATH} || CASE WHEN e % 2 = 0 THEN '","oldText":"a\n","newText":"b\nc\n"}}' ELSE '","edits":[{{"oldText":"x","newText":"y"}},{{"newText":"z\n\nw"}}]}}' END END"""
 PARSED = f"""{PLACES}, x AS (SELECT session_id, source, 0 AS pos, 'user' AS kind, 'please fix the parser of step ' || e AS text, NULL AS name, NULL AS path, NULL AS command, NULL AS exit_code FROM v WHERE t = 'signup'
   UNION ALL SELECT session_id, source, 1, 'user', '[image: image/png]', NULL, NULL, NULL, NULL FROM v WHERE t = 'signup' AND e % 5 = 0
   UNION ALL SELECT session_id, source, 0, 'thinking', 't' || e, NULL, NULL, NULL, NULL FROM v WHERE t = 'click'
@@ -45,9 +47,11 @@ def normalized_blocks(spark, d):
 count(*) FILTER (t = 'purchase' OR t = 'view' AND e % 3 <> 0) AS tool_calls, coalesce(string_agg(DISTINCT CASE WHEN t = 'click' THEN 'm' || e % 3 END, ',' ORDER BY CASE WHEN t = 'click' THEN 'm' || e % 3 END), '') AS models,
 sum(CASE WHEN t = 'signup' THEN length('please fix the parser of step ' || e) + CASE WHEN e % 5 = 0 THEN 4800 ELSE 0 END WHEN t = 'view' AND e % 3 = 0 THEN length('ok ' || e)
   WHEN t = 'error' THEN length(['npm test', 'git commit -m x', 'ls -la', 'make'][e % 4 + 1]) + 1 + length('line ' || e) ELSE 0 END)::BIGINT AS input_chars,
-sum(CASE WHEN t = 'click' THEN e % 50 ELSE 0 END)::BIGINT AS input_tokens, sum(CASE WHEN t = 'click' THEN e % 7 ELSE 0 END)::BIGINT AS output_tokens FROM v GROUP BY session_id""")
+sum(CASE WHEN t = 'click' THEN length('t' || e) + length('Hmm, step ' || e || ' is done') WHEN t = 'purchase' OR t = 'view' AND e % 3 <> 0 THEN 4 + length({WRITTEN}) ELSE 0 END)::BIGINT AS output_chars,
+sum(CASE WHEN t = 'click' THEN e % 50 ELSE 0 END)::BIGINT AS input_tokens, sum(CASE WHEN t = 'click' THEN e % 7 ELSE 0 END)::BIGINT AS output_tokens, sum(CASE WHEN t = 'click' THEN e % 11 ELSE 0 END)::BIGINT AS cache_read,
+sum(CASE WHEN t = 'click' THEN e % 13 ELSE 0 END)::BIGINT AS cache_write, max(e * 7) FILTER (t = 'click') - min(e * 7) FILTER (t = 'click') AS span_ms FROM v GROUP BY session_id""")
 def usage_stats(spark, d):
-    return M.usage(messages(spark, d)).drop("span_ms", "output_chars", "cache_read", "cache_write")
+    return M.usage(messages(spark, d))
 
 
 @query(f"""WITH {PLACES}, m AS (SELECT session_id, source AS seq, CASE WHEN source % 11 = 0 THEN '' WHEN source % 7 = 0 THEN 'twice' ELSE 'm' || source END AS id, t = 'error' OR t = 'view' AND e % 3 = 0 AS output,

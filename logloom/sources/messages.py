@@ -1,6 +1,7 @@
 """Messages of a log (VARIANT) as blocks, file operations and usage figures.
 
 A message that lacks a part, or holds something else where text is expected, loses that part and never fails a job.
+Functions on arguments take the message's own text as `raw`, where it is at hand: it keeps their order and length.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, nonblank_lines, sanitize, script_tokens
+from . import arguments as A
 
 #: Keys that hold a path, in the order they are tried.
 PATH_KEYS = ("path", "file_path", "filePath", "file")
@@ -119,16 +121,27 @@ def file_operations(blocks: DataFrame) -> DataFrame:
     )
 
 
-def content_chars(message: Column) -> Column:
+def content_parts(message: Column, raw: Column | None, *kinds: str) -> Column:
+    """All parts of a message's content as p with their texts as w (arguments.field), or those of the given types."""
+    listed = F.coalesce(F.try_variant_get(message, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+    found = A.pairs(listed, raw)
+    return F.filter(found, lambda x: F.coalesce(text_at(x["p"], "$.type").isin(*kinds), F.lit(False))) if kinds else found
+
+
+def content_chars(message: Column, raw: Column | None = None) -> Column:
     """Estimated characters of a message's content: text, thinking, names and arguments of calls, a fixed number an image."""
     size = lambda c: F.char_length(F.coalesce(c, F.lit("")))
-    each = F.transform(parts(message, "text", "thinking", "toolCall", "image"), lambda p: (
-        F.when(text_at(p, "$.type") == "text", size(text_at(p, "$.text"))).when(text_at(p, "$.type") == "thinking", size(text_at(p, "$.thinking")))
-        .when(text_at(p, "$.type") == "image", F.lit(IMAGE_CHARS)).otherwise(size(text_at(p, "$.name")) + size(F.to_json(F.try_variant_get(p, "$.arguments", "variant"))))
+    each = F.transform(content_parts(message, raw, "text", "thinking", "toolCall", "image"), lambda x: (
+        F.when(text_at(x["p"], "$.type") == "text", size(text_at(x["p"], "$.text"))).when(text_at(x["p"], "$.type") == "thinking", size(text_at(x["p"], "$.thinking")))
+        .when(text_at(x["p"], "$.type") == "image", F.lit(IMAGE_CHARS)).otherwise(size(text_at(x["p"], "$.name")) + size(A.field(x, "arguments")))
     ))
     return size(text_at(message, "$.content")) + F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def _raw(messages: DataFrame) -> Column | None:
+    return F.col("raw") if "raw" in messages.columns else None
+
+
 def outputs(messages: DataFrame) -> DataFrame:
     """messages (session_id, seq, id, message) as output_projection takes them: session_id, seq, id, output, done, tokens."""
     m = F.col("message")
@@ -149,7 +162,7 @@ def usage(messages: DataFrame) -> DataFrame:
     number = lambda path: F.coalesce(F.try_variant_get(m, path, "long"), F.lit(0)).cast("long")
     rows = messages.select(
         "session_id", role.alias("role"), F.when(text_at(m, "$.model") != "", text_at(m, "$.model")).alias("model"), F.try_variant_get(m, "$.timestamp", "long").alias("ts"),
-        F.when(role == "bashExecution", shell).otherwise(content_chars(m)).alias("chars"), F.size(parts(m, "toolCall")).alias("calls"),
+        F.when(role == "bashExecution", shell).otherwise(content_chars(m, _raw(messages))).alias("chars"), F.size(parts(m, "toolCall")).alias("calls"),
         *[number(f"$.usage.{k}").alias(k) for k in ("input", "output", "cacheRead", "cacheWrite")],
     )
     spoken = F.col("role") == "assistant"
@@ -162,17 +175,17 @@ def usage(messages: DataFrame) -> DataFrame:
 
 
 def event_messages(events: DataFrame) -> DataFrame:
-    """session_id, seq, message: events seen as messages of a session, through JSON text as a log would hold them."""
+    """session_id, seq, raw, message: events seen as messages of a session, through JSON text (raw) as a log would hold them."""
     raw = F.expr(r"""CASE event_type
       WHEN 'signup' THEN concat('{"role":"user","content":[{"type":"text","text":"please fix the parser of step ', event_id, '"}', CASE WHEN event_id % 5 = 0 THEN ',{"type":"image","mimeType":"image/png"}' ELSE '' END, ']}')
-      WHEN 'click' THEN concat('{"role":"assistant","model":"m', event_id % 3, '","usage":{"input":', event_id % 50, ',"output":', event_id % 7, '},"content":[{"type":"thinking","thinking":"t', event_id, '"},{"type":"text","text":"Hmm, step ', event_id, ' is done"}]}')
+      WHEN 'click' THEN concat('{"role":"assistant","model":"m', event_id % 3, '","timestamp":', event_id * 7, ',"usage":{"input":', event_id % 50, ',"output":', event_id % 7, ',"cacheRead":', event_id % 11, ',"cacheWrite":', event_id % 13, '},"content":[{"type":"thinking","thinking":"t', event_id, '"},{"type":"text","text":"Hmm, step ', event_id, ' is done"}]}')
       WHEN 'purchase' THEN concat('{"role":"assistant","content":[{"type":"toolCall","name":"edit","arguments":{"path":"/repo/src/m', event_id % 7, '/f', event_id % 40, '.py",',
         CASE WHEN event_id % 2 = 0 THEN '"oldText":"a\\n","newText":"b\\nc\\n"' ELSE '"edits":[{"oldText":"x","newText":"y"},{"newText":"z\\n\\nw"}]' END, '}}]}')
       WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN concat('{"role":"toolResult","toolName":"edit","content":[{"type":"text","text":"ok ', event_id, '"}]}')
         ELSE concat('{"role":"assistant","content":[{"type":"toolCall","name":"read","arguments":{"file_path":"/repo/src/m', event_id % 7, '/f', event_id % 40, '.py"}}]}') END
       ELSE concat('{"role":"bashExecution","command":"', element_at(array('npm test', 'git commit -m x', 'ls -la', 'make'), cast(event_id % 4 + 1 as int)), '","output":"line ', event_id, '","exitCode":', event_id % 2, '}') END""")
     seq = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
-    return events.select(F.col("user_id").alias("session_id"), seq.alias("seq"), F.try_parse_json(raw).alias("message"))
+    return events.select(F.col("user_id").alias("session_id"), seq.alias("seq"), raw.alias("raw"), F.try_parse_json(raw).alias("message"))
 
 
 # Messages as text: what a search reads, what a listing shows, and what they cost.
@@ -195,24 +208,10 @@ def thoughts(message: Column) -> Column:
     return F.array_join(F.filter(each, lambda x: x != ""), "\n")
 
 
-def _strings(value: Column) -> Column:
-    """The strings directly within a value: itself, or those of an object in the order of its keys."""
-    values = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-    return F.when(F.schema_of_variant(value) == "STRING", F.array(F.try_variant_get(value, "$", "string"))).otherwise(F.coalesce(F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>")))
-
-
-def argument_strings(args: Column) -> Column:
-    """All strings of a call's arguments, one level deep in lists, joined by LF; arguments in the order of their keys."""
-    values = F.map_values(F.try_variant_get(args, "$", "map<string,variant>"))
-    listed = lambda v: F.coalesce(F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), _strings)), F.array().cast("array<string>"))
-    own = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(listed(v))
-    return F.coalesce(F.array_join(F.flatten(F.transform(values, own)), "\n"), F.lit(""))
-
-
-def arguments_text(message: Column, without: tuple[str, ...] = ()) -> Column:
-    """argument_strings of all calls but those of some tools, clipped together."""
-    calls = F.filter(parts(message, "toolCall"), lambda p: ~F.lower(_or_empty(p, "$.name")).isin(list(without)) if without else F.lit(True))
-    each = F.transform(calls, lambda p: argument_strings(F.try_variant_get(p, "$.arguments", "variant")))
+def arguments_text(message: Column, without: tuple[str, ...] = (), raw: Column | None = None) -> Column:
+    """All strings of the arguments of all calls but those of some tools, one level deep in lists, joined by LF, clipped together."""
+    calls = F.filter(content_parts(message, raw, "toolCall"), lambda x: ~F.lower(_or_empty(x["p"], "$.name")).isin(list(without)) if without else F.lit(True))
+    each = F.transform(calls, lambda x: F.array_join(A.strings(A.field(x, "arguments")), "\n"))
     return clip(F.array_join(F.filter(each, lambda x: x != ""), "\n"), ARGS_MOST)
 
 
@@ -233,31 +232,31 @@ def message_text(message: Column) -> Column:
     return F.coalesce(shape_text(message), content_text(message))
 
 
-def search_document(message: Column, own_tool: str = "recall") -> Column:
+def search_document(message: Column, own_tool: str = "recall", raw: Column | None = None) -> Column:
     """What a search reads: text, thinking and arguments; of shell, python and file mentions their own; nothing of the calls
     and results of the tool that searches."""
     role = _or_empty(message, "$.role")
-    said = _joined(content_text(message), thoughts(message), arguments_text(message, (own_tool,)))
+    said = _joined(content_text(message), thoughts(message), arguments_text(message, (own_tool,), raw))
     own = (role == "toolResult") & (F.lower(_or_empty(message, "$.toolName")) == own_tool)
     return F.when(role.isin("bashExecution", "pythonExecution", "fileMention"), shape_text(message, " ")).when(own, "").otherwise(said)
 
 
-def argument_summary(args: Column) -> Column:
-    """path, command or query of a call, else the names of its arguments in order."""
+def argument_summary(part: Column) -> Column:
+    """path, command or query of a call (of content_parts), else the names of its arguments in order."""
+    args = F.try_variant_get(part["p"], "$.arguments", "variant")
     told = lambda k: F.concat(F.lit(f"{k}="), text_at(args, f"$.{k}"))
-    names = F.array_join(F.map_keys(F.try_variant_get(args, "$", "map<string,variant>")), ", ")
-    return F.coalesce(F.concat(F.lit("path="), file_path(args)), told("command"), told("query"), names, F.lit(""))
+    return F.coalesce(F.concat(F.lit("path="), file_path(args)), told("command"), told("query"), F.array_join(A.names(A.field(part, "arguments")), ", "))
 
 
-def rendered(message: Column, full: bool = False) -> Column:
+def rendered(message: Column, full: bool = False, raw: Column | None = None) -> Column:
     """struct of role and summary, as a listing shows a message; full: unclipped, with thinking and arguments."""
     role = _or_empty(message, "$.role")
     cut = lambda x, most=LISTED_MOST: x if full else clip(x, most)
     text, thinking = cut(content_text(message)), thoughts(message)
-    calls = F.array_join(F.transform(parts(message, "toolCall"), lambda p: F.concat(_or_empty(p, "$.name"), F.lit("("), argument_summary(F.try_variant_get(p, "$.arguments", "variant")), F.lit(")"))), ", ")
+    calls = F.array_join(F.transform(content_parts(message, raw, "toolCall"), lambda x: F.concat(_or_empty(x["p"], "$.name"), F.lit("("), argument_summary(x), F.lit(")"))), ", ")
     base = F.when(calls != "", F.concat(calls, F.lit("\n"), text)).otherwise(text)
     titled = lambda title, x: F.when(x != "", F.concat(F.lit(f"[{title}]\n"), x)).otherwise("")
-    said = _joined(titled("thinking", thinking), base, titled("tool args", arguments_text(message)), by="\n\n") if full else base
+    said = _joined(titled("thinking", thinking), base, titled("tool args", arguments_text(message, raw=raw)), by="\n\n") if full else base
     ran = lambda mark, k: cut(F.concat(F.lit(mark), _or_empty(message, f"$.{k}"), F.lit("\n"), _or_empty(message, "$.output")))
     only_thought = (text == "") & (calls == "") & (thinking != "")
     shown = lambda name, x: F.struct(F.lit(name).alias("role") if isinstance(name, str) else name.alias("role"), x.alias("summary"))
@@ -280,15 +279,14 @@ def preview(message: Column, most: int = LISTED_MOST) -> Column:
     return F.substring(F.coalesce(text_at(message, "$.content"), F.array_join(each, "\n")), 1, most)
 
 
-def message_tokens(message: Column) -> Column:
+def message_tokens(message: Column, raw: Column | None = None) -> Column:
     """Estimated tokens of a message, by script, part by part."""
-    listed = F.coalesce(F.try_variant_get(message, "$.content", "array<variant>"), F.array().cast("array<variant>"))
-    raw = lambda p, path: F.coalesce(text_at(p, path), F.to_json(F.try_variant_get(p, path, "variant")), F.lit(""))
-    kind = lambda p: _or_empty(p, "$.type")
-    args = lambda p: F.coalesce(*[F.nullif(raw(p, k), F.lit("")) for k in ("$.arguments", "$.input")], F.lit(""))
-    each = F.transform(listed, lambda p: (
-        F.when(kind(p) == "thinking", script_tokens(_or_empty(p, "$.thinking"))).when(kind(p) == "toolCall", script_tokens(F.concat(_or_empty(p, "$.name"), args(p))))
-        .when(kind(p) == "toolResult", script_tokens(raw(p, "$.content"))).when(kind(p) == "image", F.lit(IMAGE_CHARS // 4).cast("long")).otherwise(script_tokens(_or_empty(p, "$.text")))
+    kind = lambda x: _or_empty(x["p"], "$.type")
+    told = lambda x, name: F.coalesce(A.field(x, name), F.lit(""))
+    args = lambda x: F.coalesce(*[F.nullif(told(x, k), F.lit("")) for k in ("arguments", "input")], F.lit(""))
+    each = F.transform(content_parts(message, raw), lambda x: (
+        F.when(kind(x) == "thinking", script_tokens(_or_empty(x["p"], "$.thinking"))).when(kind(x) == "toolCall", script_tokens(F.concat(_or_empty(x["p"], "$.name"), args(x))))
+        .when(kind(x) == "toolResult", script_tokens(told(x, "content"))).when(kind(x) == "image", F.lit(IMAGE_CHARS // 4).cast("long")).otherwise(script_tokens(_or_empty(x["p"], "$.text")))
     ))
     whole = F.coalesce(shape_text(message), text_at(message, "$.content"))
     return F.when(whole.isNotNull(), script_tokens(whole)).otherwise(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x))

@@ -11,14 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """session_id (the file), line, entry (VARIANT, null where a line is no JSON), for every line that isn't blank.
+    """session_id (the file), line, entry (VARIANT, null where a line is no JSON), raw (its text), for every line that isn't blank.
 
     A file may be read in splits by several tasks: a line's place follows from its split's start and its order there.
     """
     split = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("session_id"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("raw"))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("start", "at")) - 1
     files = split.withColumn("line", place)
-    return files.where(~F.col("raw").rlike(r"^\s*$")).select("session_id", "line", F.try_parse_json("raw").alias("entry"))
+    return files.where(~F.col("raw").rlike(r"^\s*$")).select("session_id", "line", F.try_parse_json("raw").alias("entry"), "raw")
 
 
 def parse_errors(lines: DataFrame) -> DataFrame:
@@ -26,11 +26,11 @@ def parse_errors(lines: DataFrame) -> DataFrame:
 
 
 def typed_entries(lines: DataFrame) -> DataFrame:
-    """session_id, seq, entry_id, type, role, first_kept, summary, message of every entry."""
+    """session_id, seq, entry_id, type, role, first_kept, summary, message, raw (its text) of every entry."""
     get = lambda path, kind="string": F.try_variant_get("entry", path, kind)
     return lines.where("entry is not null").select(
         "session_id", F.col("line").cast("long").alias("seq"), get("$.id").alias("entry_id"), get("$.type").alias("type"), get("$.message.role").alias("role"),
-        get("$.firstKeptEntryId").alias("first_kept"), get("$.summary").alias("summary"), F.try_variant_get("entry", "$.message", "variant").alias("message"),
+        get("$.firstKeptEntryId").alias("first_kept"), get("$.summary").alias("summary"), F.try_variant_get("entry", "$.message", "variant").alias("message"), F.get_json_object("raw", "$.message").alias("raw"),
     )
 
 

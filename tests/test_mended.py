@@ -70,3 +70,36 @@ def test_file_hits_in_any_case_and_capped(spark):
     assert len(hits) == 55 and {r.n_lines for r in hits} == {2} and "Login here" in hits[0].snippet
     assert sorted(r.source for r in drill.file_hits(ops, "LOGIN", 50).collect()) == list(range(50)) == sorted(r.source for r in drill.file_hits(ops, None, 50).collect())
     assert [r.path for r in drill.file_hits(ops, "é.TS").collect()] == ["/r/É.ts"] and [r.source for r in drill.file_hits(ops, "(a+)+").collect()] == [55]
+
+
+def test_arguments_as_written(spark):
+    """Order and length are the log's, whatever else the content holds."""
+    args = [{"z": "last", "a": "first", "n": 3, "list": ["x", {"q": "1", "b": "2", "c": 3}, ["deep"], None], "o": {"k": "v"}, "é": 'ü\n"q"'}, {}, {"b": []}]
+    found = [{"role": "assistant", "content": [None, 5, {"type": "toolCall", "name": "grep", "arguments": a}, {"type": "text", "text": "said"}]} for a in args]
+    raws = [json.dumps(m, ensure_ascii=False, indent=k) for k, m in enumerate(found)] + ['{"role":"user","content":"x"}', "{broken"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "seq long, raw string").withColumn("message", F.try_parse_json("raw"))
+    m, raw = F.col("message"), F.col("raw")
+    rows = df.select(M.content_chars(m, raw).alias("c"), M.message_tokens(m, raw).alias("t"), M.rendered(m, raw=raw)["summary"].alias("s"), M.search_document(m, raw=raw).alias("d")).collect()
+    for r, a in zip(rows, args, strict=False):
+        text = json.dumps(a, ensure_ascii=False, separators=(",", ":"))
+        assert r.c == len("grep") + len(text) + 4 and r.t == -(-(4 + len(text)) // 4) + 1
+        assert r.s == f"grep({', '.join(a)})\nsaid"
+    assert rows[0].d == 'said\nlast\nfirst\nx\n1\n2\nü\n"q"' and rows[1].d == rows[2].d == "said" and (rows[3].c, rows[3].t, rows[3].d) == (1, 1, "x")
+
+
+def test_responses(spark):
+    from logloom.operators import responses
+
+    asked = spark.createDataFrame([(1, "Head", 1000), (2, None, 0), (3, "Only", 50), (4, "H" * 90, 60)], "request_id long, header string, most long")
+    parts = spark.createDataFrame([(1, 0, None, "a" * 100), (1, 1, "#7", "b" * 900), (1, 2, None, "c" * 900), (2, 0, None, "d" * 9000), (2, 1, None, None), (4, 0, "page 2", "e" * 10)], "request_id long, at int, label string, text string")
+    got = {r.request_id: r.response for r in responses.capped(asked, parts).collect()}
+    share = (1000 - 4 - 600) // 3
+    assert got[1] == "\n\n".join(["Head", "a" * 100, "b" * share, "c" * share, "--- recall response capped at 1000 characters; omitted entrys: #7, entry 3 ---"])
+    assert got[2] == "d" * 9000 and got[3] == "Only" and got[4] == "H" * 90 + "\n\n--- recall response capped at 60 characters; omitted entry: page 2 ---"
+    pages = spark.createDataFrame([(1, "q", 1, "lineage", "hybrid", 2), (2, "q", 9, "all", "file", 3), (3, "none", 1, "lineage", "hybrid", 0)], "request_id long, query string, page long, scope string, mode string, total long")
+    hits = spark.createDataFrame([(1, k, f"h{k}", False) for k in (1, 2)] + [(2, k, f"h{k}", False) for k in (1, 2, 3)], "request_id long, rn long, shown string, clipped boolean")
+    got = {r.request_id: r.response for r in responses.pages(pages, hits, 2).collect()}
+    assert got[1] == '2 matches for "q":\n\nh1\n\nh2' and got[3] == 'No matches for "none" in session history.'
+    assert got[2] == "Page 9 is outside the available range 1-2 (3 matches (scope: all)). Use a page between 1 and 2 with mode:'file', or refine your query."
+    paths = spark.createDataFrame([(p,) for p in ("/w/src/a.ts", "/x/y/z/b.ts", "c.ts", "C:\\a\\b\\c\\d.ts", "/wide/a")], "p string").select(responses.display_path(F.col("p"), "/w")).collect()
+    assert [r[0] for r in paths] == ["./src/a.ts", ".../y/z/b.ts", "c.ts", ".../b/c/d.ts", "/wide/a"]
