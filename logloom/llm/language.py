@@ -7,12 +7,12 @@ where the runner-up is close, the text is flagged as ambiguous. Up to five langu
 more have random balanced bits, of which the draw with the greatest least distance between codewords is taken.
 
 The fit uses a bounded sample: of each language at most `per_language` rows and an equal part of `most_rows`, least hash
-of doc_id first, whole texts. Only rows with a known language and crc32(doc_id) mod 4 other than 2 are used. Beyond
+of doc_id and text first, whole texts. Only rows with a known language and crc32(doc_id) mod 4 other than 2 are used. Beyond
 `most_rows` languages the most frequent ones are learned.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and ambiguous; without fitting rows
 every text is `und`; with one language every text with a letter has it; repeated rows are judged one by one, and of rows
-that repeat a doc_id the fit takes those with the least text hash first; other columns are carried by with_language()
+that repeat a doc_id and text the fit takes one; other columns are carried by with_language()
 and left out of the query.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -48,7 +48,7 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1 if (k >> i) & 1 else -1 for k in range(1, 2 ** (n - 1))] for i in range(n)], float).reshape(n, -1)
     bits, draw = 12 * int(np.ceil(np.log2(n))), np.random.default_rng(6)
     half = np.where(np.arange(n) < n // 2, -1.0, 1.0)
-    best = max((np.stack([draw.permutation(half) for _ in range(bits)], axis=1) for _ in range(DRAWS if n <= 200 else 1)), key=least_distance)
+    best = max((np.stack([draw.permutation(half) for _ in range(bits)], axis=1) for _ in range(DRAWS)), key=least_distance)
     if not least_distance(best):
         raise ValueError("two languages have the same codeword")
     return best
@@ -105,43 +105,33 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
     """Model of the languages of docs, from at most most_rows rows, and per_language of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("th"))
+    known = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.xxhash64(F.lit(1), "text").alias("th"))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()
     quota = {r["lang"]: min(r["count"], per_language, max(1, most_rows // len(sizes))) for r in sizes}
-    # Hashes are even, so a bound on them gives about four times the rows wanted: few enough to be seen by the driver.
-    last, share = {}, {r["lang"]: 4 * quota[r["lang"]] / r["count"] for r in sizes}
-    while open_langs := [x for x in quota if x not in last]:
-        below = _bounds(docs.sparkSession, {x: (int(min(1, share[x]) * (2**64 - 1)) - 2**63, 2**63 - 1) for x in open_langs})
-        seen: dict[str, list[tuple[int, int]]] = {x: [] for x in open_langs}
-        for r in _below(known, below).select("lang", "h", "th").collect():
-            seen[r.lang].append((r.h, r.th))
-        for x, found in seen.items():
-            if len(found) >= quota[x]:
-                last[x] = sorted(found)[quota[x] - 1]
-            share[x] *= 4
 
     @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: counts(t).astype(np.float16).tobytes())
 
-    # Exact repeats of a row count once.
-    chosen = _below(known, _bounds(docs.sparkSession, last)).dropDuplicates(["lang", "h", "th"]).select("lang", "h", "th", vectors("text").alias("x"))
-    rows = [(r.lang, bytes(r.x)) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, r.th))]
+    # Hashes of different rows are even, so below the bound lie about four times the rows wanted; only where many rows repeat
+    # one another are there too few, and the bound rises for that language. At most its quota of rows reaches the driver.
+    rows, share = [], {r["lang"]: 4 * quota[r["lang"]] / r["count"] for r in sizes}
+    while share:
+        bounds = docs.sparkSession.createDataFrame([(x, int(min(1, p) * (2**64 - 1)) - 2**63, quota[x]) for x, p in share.items()], "lang string, bound long, quota int")
+        below = known.join(F.broadcast(bounds), "lang").where("h <= bound").dropDuplicates(["lang", "h", "th"])
+        near = below.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "th"))).where("nth <= quota")
+        found: dict[str, list] = {x: [] for x in share}
+        for r in near.select("lang", "h", "th", vectors("text").alias("x")).collect():
+            found[r.lang].append((r.lang, r.h, r.th, bytes(r.x)))
+        done = [x for x in share if len(found[x]) == quota[x] or share[x] >= 1]
+        rows += [(x, vector) for lang in done for x, _, _, vector in sorted(found[lang])]
+        share = {x: 4 * p for x, p in share.items() if x not in done}
     langs = sorted({r[0] for r in rows})
     place = {x: i for i, x in enumerate(langs)}
     x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BUCKETS + 1), np.float32)
     return Model(langs, x, np.array([place[r[0]] for r in rows], int))
 
 
-def _bounds(spark: SparkSession, last: dict[str, tuple[int, int]]) -> DataFrame:
-    """lang, bh, bth: at most MOST_ROWS small rows."""
-    return spark.createDataFrame([(x, *b) for x, b in last.items()], "lang string, bh long, bth long")
-
-
-def _below(known: DataFrame, bounds: DataFrame) -> DataFrame:
-    return known.join(F.broadcast(bounds), "lang").where("h < bh or (h = bh and th <= bth)")
-
-
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """docs with its columns under `doc`, and lang_pred, score, ambiguous."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS rows, a column for each bit

@@ -253,3 +253,25 @@ def test_reliabilities_follow_the_votes():
 def test_no_python_in_the_plan_of_spans(spark, private_rows):
     plan = personal_data.candidates(docs_of(spark, private_rows[:3]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("ExistingRDD", "")) and F is not None
+
+
+# --- language ID: what the fit sends to the driver ---
+
+
+def test_fit_of_many_rows_without_id_or_with_equal_text(spark, monkeypatch):
+    """Rows with a null or equal doc_id, and rows that repeat one text, never send more than their quota."""
+    from pyspark.sql import DataFrame
+
+    from logloom.llm import language
+
+    sent, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (rows := collect(self), sent.append(len(rows)))[0])
+    ids, (a, b) = spark.range(6000), [i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    one = ids.selectExpr("cast(null AS long) AS doc_id", "concat('the text of row ', id) AS text", "'en' AS lang")
+    two = ids.selectExpr(f"{a}L AS doc_id", "concat('der satz der zeile ', id) AS text", "'de' AS lang")
+    same = ids.selectExpr(f"{b}L AS doc_id", "concat('la ligne ', id % 30, ' du texte') AS text", "'fr' AS lang")
+    docs = one.unionByName(two).unionByName(same)
+    model = language.fit(docs, per_language=50, most_rows=150)
+    assert model.langs == ["de", "en", "fr"] and max(sent) <= 150 and sum(sent) <= 3 + 3 * 150
+    assert [x[0] for x in model.predict(["the text of a row", "der satz", "la ligne du texte", "12"])] == ["en", "de", "fr", "und"]
+    assert [len(language.fit(d, 50, 150).langs) for d in (docs.limit(0), same)] == [0, 1]
