@@ -1,15 +1,18 @@
 """License scans: which documents hold which license notice.
 
 Texts become words (A-Z in lower case, .,;:()"' as blanks) and 5-word shingles (fewer for templates of under 5 words:
-such a template is one shingle of its own length). MinHash bands over overlapping windows of shingles find candidates:
-a template's windows hold WINDOW shingles, or all it has where these are fewer, and start at every shingle, and so do a
-document's, so any exact copy of a template has a window equal to a template window and meets it in every band; BANDS
-bands of one minimum each let windows of similarity 0.5 meet with probability 0.94, and a noisy copy has several windows.
+such a template is one shingle of its own length). Windows of shingles, one from every shingle on, are signed by MINIMA
+least hashes; each pair of these is a band, and a document's window that shares a band key with a template's window makes that
+template a candidate. Windows of similarity s share a band with probability 3 s^2 - 2 s^3 (0.90 at 0.8), equal windows always.
+
+The window's size guarantees equal windows: an edit within a template costs at least 4 shingles, so a copy that keeps 80 % of n
+shingles has at most n / 20 edits and a run of 0.8 n / (n / 20 + 1) shingles without one. That is at least 8 from n = 20 on and at least
+4 from n = 7 on; smaller templates lose one shingle at most, at an end. So templates of 20 shingles and more have windows of
+8 (12 words), of 4 and more windows of 4 and the others windows of 1: every copy that is to be found, of one piece, is found.
 Then the document's whole shingle set is compared: a match holds at least 80 % of the template's shingles.
 
-A band key is the window's least shingle under the band's order, so a document without a shingle of any template has no
-candidate: where the templates have at most LISTED shingles, documents keep these shingles alone and only those that
-have any make windows. Nothing of the text is shuffled then. With more templates, keys are joined and candidates' texts read again.
+Where the templates have at most LISTED band keys and shingles, documents keep the band keys that are among them without
+a shuffle; with more, keys are joined and candidates' texts read again. Both give the same rows.
 
 Defined cases: null or short texts match nothing; repeated rows of a doc_id give one row per text that matches; a null
 doc_id is matched like any other; no templates, templates without words or an empty table give no rows; other columns
@@ -21,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 
 WIDTH, LEAST = 5, 0.8
-WINDOW, BANDS = 4, 4
-#: Bound on the templates' shingles up to which they are a list in the plan; beyond it nothing is broadcast by hint.
-LISTED = 5_000
+#: Least hashes of a window; sizes of windows, and from how many shingles on a template has them.
+MINIMA, WINDOWS = 3, {8: 20, 4: 4, 1: 1}
+#: Bound on the templates' band keys, and on their shingles, up to which they are lists in the plan; beyond it they are joined.
+LISTED = 20_000
 
 #: Sentences and whole texts of widely used public licenses.
 TEMPLATES = [
@@ -72,61 +76,88 @@ def _hashes(text: Column) -> Column:
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
-def _keys(sh: Column, width: int, size: int) -> Column:
-    """tag and key of all bands of the windows of `size` shingles: running minima under each band's order."""
-    found = []
-    for band in range(BANDS if size > 1 else 1):
-        ranks = F.transform(sh, lambda x: F.xxhash64(F.lit(band), x))  # noqa: B023
-        run = ranks
-        for k in range(1, size):
-            run = F.zip_with(run, _from(ranks, k), lambda a, b: F.least(a, b))
-        found.append(F.transform(_whole(sh, run, size), lambda x: F.struct(F.lit(100 * width + 10 * size + band).alias("tag"), x.alias("key"))))  # noqa: B023
-    return F.concat(*found)
+def _banded(rows: DataFrame, widths: list[int], sizes: list[int]) -> DataFrame:
+    """rows with an array of band keys for each width of shingles (column sh<width>) and size of window: k<width>_<size>.
+
+    Step by step, since what a later column uses twice would be computed twice: minima of 2, 4 and 8 places from those of half as many.
+    """
+    kept = rows.columns
+    for w in widths:
+        own = [f"m{w}_{i}" for i in range(MINIMA)] if max(sizes) > 1 else []
+        rows = rows.select("*", *[F.transform(f"sh{w}", lambda x: F.xxhash64(F.lit(i), x)).alias(m) for i, m in enumerate(own)])  # noqa: B023
+        for size in (1, 2, 4, 8):
+            if size > max(sizes):
+                break
+            if size > 1:
+                half = size // 2
+                rows = rows.select(*[c for c in rows.columns if c not in own], *[F.zip_with(m, _from(F.col(m), half), lambda a, b: F.least(a, b)).alias(m) for m in own])
+            if size in sizes:
+                tag = F.lit(100 * w + size)
+                pairs = [(a, b) for k, a in enumerate(own) for b in own[k + 1 :]]
+                keys = [F.transform(f"sh{w}", lambda x: F.xxhash64(tag, x))] if size == 1 else [_whole(F.col(f"sh{w}"), F.zip_with(a, b, lambda x, y: F.xxhash64(tag, F.lit(k), x, y)), size) for k, (a, b) in enumerate(pairs)]  # noqa: B023
+                rows = rows.select("*", F.concat(*keys).alias(f"k{w}_{size}"))
+        kept = [*kept, *[c for c in rows.columns if c.startswith(f"k{w}_")]]
+        rows = rows.select(*kept)
+    return rows
+
+
+def _of_templates(templates: DataFrame) -> DataFrame:
+    """name, width, size (of windows), want (shingles, each once), keys (of all bands); a small table of its own."""
+    # Written at each step: filters on made columns would be pushed down and make them over and over.
+    read = written(templates.where("text is not null").select("name", _hashes(F.col("text")).alias("hashes")))
+    rows = read.where("size(hashes) > 0").withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH)))
+    parts = None
+    for w in range(1, WIDTH + 1):
+        own = rows.where(F.col("width") == w).select("name", "width", _shingles(F.col("hashes"), w).alias(f"sh{w}"))
+        size = F.coalesce(*[F.when(F.size(f"sh{w}") >= least, n) for n, least in WINDOWS.items()])
+        keys = F.coalesce(*[F.when(F.col("size") == n, F.col(f"k{w}_{n}")) for n in WINDOWS])
+        own = _banded(own.withColumn("size", size), [w], list(WINDOWS)).select("name", "width", "size", F.array_distinct(f"sh{w}").alias("want"), F.array_distinct(keys).alias("keys"))
+        parts = own if parts is None else parts.unionByName(own)
+    known = written(parts)
+    forget(read)
+    return known
 
 
 def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, template, n_shingles of the template, n_found, containment. templates: name, text."""
-    # Templates are written at each step: filters on made columns would be pushed down and make them over and over.
-    read = written(templates.where("text is not null").select("name", _hashes(F.col("text")).alias("hashes")))
-    read = read.where("size(hashes) > 0").withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH)))
-    by_width = [read.where(F.col("width") == w).select("name", "width", _shingles(F.col("hashes"), w).alias("sh")) for w in range(1, WIDTH + 1)]
-    known = by_width[0]
-    for other in by_width[1:]:
-        known = known.unionByName(other)
-    known = written(known.select("name", "width", "sh", F.least(F.size("sh"), F.lit(WINDOW)).alias("window"), F.array_distinct("sh").alias("want")))
-    # At most WIDTH * WINDOW kinds of windows, and at most LISTED + 1 shingles: the bound on what is listed and broadcast.
-    kinds = sorted((r.width, r.window) for r in known.select("width", "window").distinct().collect())
-    listed = [r.x for r in known.select(F.explode("want").alias("x")).limit(LISTED + 1).collect()]
-    few, listed = len(listed) <= LISTED, sorted(set(listed))
+    known = _of_templates(templates)
+    # At most WIDTH * len(WINDOWS) kinds of windows.
+    kinds = sorted((r.width, r.size) for r in known.select("width", "size").distinct().collect())
+    if not kinds:
+        forget(known)
+        return docs.limit(0).select("doc_id", F.lit("").alias("template"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"), F.lit(0.0).alias("containment"))
+    total = known.agg(F.sum(F.size("keys")).alias("k"), F.sum(F.size("want")).alias("s")).first()
+    few = max(total.k, total.s) <= LISTED
     widths = sorted({w for w, _ in kinds})
-    keys = [known.where((F.col("width") == w) & (F.col("window") == n)).select("name", F.explode(_keys(F.col("sh"), w, n)).alias("k")) for w, n in kinds]
     signed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), _hashes(F.col("text")).alias("hashes"))
     signed = signed.select("doc_id", "of", *[_shingles(F.col("hashes"), w).alias(f"sh{w}") for w in widths])
-    whole = F.concat(*[F.col(f"sh{w}") for w in widths]) if widths else F.array().cast("array<long>")
-    if few:
-        signed = signed.withColumn("found", F.array_intersect(whole, F.array(*map(F.lit, listed)).cast("array<long>")))
-    if not kinds:
-        return docs.limit(0).select("doc_id", F.lit("").alias("template"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"), F.lit(0.0).alias("containment"))
-    made = F.concat(*[_keys(F.col(f"sh{w}"), w, n) for w, n in kinds])
-    # An outer generator and no filter on `found`: the optimizer would push such a filter, and with it all hashing, below itself.
-    made = F.when(F.size("found") > 0, made) if few else made
-    asked = signed.select("doc_id", "of", *(["found"] if few else []), F.explode_outer(made).alias("k")).select("*", "k.*").drop("k")
-    of_template = keys[0]
-    for other in keys[1:]:
-        of_template = of_template.unionByName(other)
-    of_template = of_template.select("name", "k.*").distinct()
-    wanted = known.select("name", "want")
+    whole = F.concat(*[F.col(f"sh{w}") for w in widths])
+    keyed = _banded(signed, widths, sorted({n for _, n in kinds})).withColumn("keys", F.concat(*[F.col(f"k{w}_{n}") for w, n in kinds]))
     if few:
-        candidates = asked.join(F.broadcast(of_template), ["tag", "key"]).select("doc_id", "found", "name").distinct()
+        rows = known.select("name", "want", "keys").collect()
+        forget(known)
+        names: dict[int, set[str]] = {}
+        for r in rows:
+            for k in r["keys"]:
+                names.setdefault(k, set()).add(r["name"])
+        listed = F.array(*map(F.lit, names)).cast("array<long>")
+        by_key = F.map_from_arrays(listed, F.array(*[F.array(*map(F.lit, sorted(n))) for n in names.values()]))
+        met = keyed.select("doc_id", "of", whole.alias("found"), F.array_intersect("keys", listed).alias("met"))
+        named = F.when(F.size("met") > 0, F.array_distinct(F.flatten(F.transform("met", lambda k: F.element_at(by_key, k)))))
+        # An outer generator and no filter on `met`: the optimizer would push such a filter, and with it all hashing, below itself.
+        candidates = met.select("doc_id", "of", "found", F.explode_outer(named).alias("name"))
+        wanted = docs.sparkSession.createDataFrame([(r["name"], r["want"]) for r in rows], "name string, want array<bigint>")
         full = candidates.join(F.broadcast(wanted), "name")
     else:
-        candidates = asked.join(of_template, ["tag", "key"]).select(F.col("doc_id").alias("own_id"), F.col("of").alias("own_of"), "name").distinct()
-        texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("of") == F.col("own_of")))
-        texts = texts.select("doc_id", "name", _hashes(F.col("text")).alias("hashes"))
-        full = texts.select("doc_id", "name", F.concat(*[_shingles(F.col("hashes"), w) for w in widths]).alias("found")).join(wanted, "name")
-    counted = full.select("doc_id", "name", F.size("want").cast("long").alias("n_shingles"), F.size(F.array_intersect("want", "found")).cast("long").alias("n_found"))
+        asked = keyed.select(F.col("doc_id").alias("own_id"), F.col("of").alias("own_of"), F.explode_outer(F.array_distinct("keys")).alias("key"))
+        met = asked.join(known.select("name", F.explode("keys").alias("key")), "key").select("own_id", "own_of", "name").distinct()
+        texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), "text").join(met, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("of") == F.col("own_of")))
+        texts = texts.select("doc_id", "of", "name", _hashes(F.col("text")).alias("hashes"))
+        full = texts.select("doc_id", "of", "name", F.concat(*[_shingles(F.col("hashes"), w) for w in widths]).alias("found")).join(known.select("name", "want"), "name")
+    counted = full.select("doc_id", "of", "name", F.size("want").cast("long").alias("n_shingles"), F.size(F.array_intersect("want", "found")).cast("long").alias("n_found"))
     match = F.col("n_found") / F.col("n_shingles")
-    return counted.where(match >= least).select("doc_id", F.col("name").alias("template"), "n_shingles", "n_found", F.round(match, 6).alias("containment")).distinct()
+    found = counted.where(match >= least).select("doc_id", "of", F.col("name").alias("template"), "n_shingles", "n_found", F.round(match, 6).alias("containment"))
+    return found.distinct().drop("of")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,12 +260,11 @@ def test_no_python_in_the_plan_of_spans(spark, private_rows):
 
 def test_fit_of_many_rows_without_id_or_with_equal_text(spark, monkeypatch):
     """Rows with a null or equal doc_id, and rows that repeat one text, never send more than their quota."""
-    from pyspark.sql import DataFrame
-
     from logloom.llm import language
 
-    sent, collect = [], DataFrame.collect
-    monkeypatch.setattr(DataFrame, "collect", lambda self: (rows := collect(self), sent.append(len(rows)))[0])
+    frame = type(spark.range(1))
+    sent, collect = [], frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (rows := collect(self), sent.append(len(rows)))[0])
     ids, (a, b) = spark.range(6000), [i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
     one = ids.selectExpr("cast(null AS long) AS doc_id", "concat('the text of row ', id) AS text", "'en' AS lang")
     two = ids.selectExpr(f"{a}L AS doc_id", "concat('der satz der zeile ', id) AS text", "'de' AS lang")
@@ -275,3 +274,51 @@ def test_fit_of_many_rows_without_id_or_with_equal_text(spark, monkeypatch):
     assert model.langs == ["de", "en", "fr"] and max(sent) <= 150 and sum(sent) <= 3 + 3 * 150
     assert [x[0] for x in model.predict(["the text of a row", "der satz", "la ligne du texte", "12"])] == ["en", "de", "fr", "und"]
     assert [len(language.fit(d, 50, 150).langs) for d in (docs.limit(0), same)] == [0, 1]
+
+
+# --- license scans: what bands of windows retrieve ---
+
+
+def plain_licenses(docs, templates, least=0.8):
+    def words(t):
+        table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:()\"'\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz" + " " * 13)
+        return [w for w in t.translate(table).split(" ") if w]
+
+    def shingles(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    out = []
+    for doc_id, text in docs:
+        for name, t in templates:
+            w = words(t)
+            want = shingles(w, min(5, len(w))) if w else set()
+            n = len(want & shingles(words(text or ""), min(5, len(w))))
+            if want and n / len(want) >= least:
+                out.append((doc_id, name, len(want), n))
+    return out
+
+
+@pytest.mark.parametrize("listed", [20_000, 3])
+def test_every_copy_of_a_license_is_found(spark, monkeypatch, listed):
+    """Templates of 1 to 130 words, copied with edits that keep about 80 % of their shingles, in texts of other words."""
+    from logloom.llm import license_scan
+
+    monkeypatch.setattr(license_scan, "LISTED", listed)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    templates = [(f"t{n}", " ".join(word() for _ in range(n))) for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 19, 22, 23, 24, 25, 30, 40, 60, 90, 130]]
+    docs = []
+    for k in range(160):
+        text = [word() for _ in range(rng.randrange(30))]
+        for _, t in rng.sample(templates, 3):
+            w = t.split(" ")
+            for _ in range(rng.randrange(len(w) // 20 + 2)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+            text += [*w, word()]
+        docs.append((k % 100, " ".join(text)))  # some ids hold two texts
+    docs += [(None, templates[9][1]), (7, templates[5][1]), (7, "x " + templates[5][1]), (8, None), (8, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.template, r.n_shingles, r.n_found) for r in license_scan.scan(frame, spark.createDataFrame(templates, "name string, text string")).collect())
+    want = sorted((repr(i), *rest) for i, *rest in plain_licenses(docs, templates))
+    assert got == want and len(want) > 200
