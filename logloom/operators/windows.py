@@ -207,6 +207,19 @@ def with_global_index(selected: DataFrame, index: DataFrame) -> DataFrame:
     return selected.join(index, ["session_id", "entry_id"], "left")
 
 
+def scoped(entries: DataFrame, branch: DataFrame) -> DataFrame:
+    """session_id, entry_id, idx of the entries that a search of the active branch reads: entries (session_id, seq, entry_id, type),
+    branch (session_id, entry_id).
+
+    A session's branch names its entries; where it has none all of the session's ids count; a branch whose entries have no
+    ids names nothing. The index is an entry's place among all messages, made before anything is filtered.
+    """
+    named = branch.groupBy("session_id").agg(F.lit(True).alias("branched"))
+    ids = branch.where("entry_id <> ''").select("session_id", "entry_id", F.lit(True).alias("inside")).distinct()
+    rows = global_index(entries).join(named, "session_id", "left").join(ids, ["session_id", "entry_id"], "left")
+    return rows.where("branched is null or inside").select("session_id", "entry_id", "idx")
+
+
 def active_chain(summaries: DataFrame, entries: DataFrame) -> DataFrame:
     """session_id, seq, sequence of the segments of each session's chain, where the chain is whole.
 

@@ -204,3 +204,16 @@ def recall_both_readings(spark, d):
 
     doc = F.when(F.col("conv_id") % 2 == 0, F.replace("text", F.lit(" the "), F.lit(" q\\d "))).otherwise(F.replace("text", F.lit(" the "), F.lit(" q7 ")))
     return search.both_readings(entries(spark, d).withColumn("doc", doc), READINGS)
+
+
+BRANCHED = """m AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN turn % 5 = 4 THEN 'twice' ELSE 'e' || turn END AS entry_id, role FROM conversations WHERE role <> 'system'),
+g AS (SELECT session_id, entry_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS idx, count(*) OVER (PARTITION BY session_id, entry_id) AS n FROM m)"""
+
+
+@query(f"WITH {BRANCHED} SELECT session_id, entry_id, idx FROM g WHERE n = 1 AND (session_id % 4 = 1 OR session_id % 4 IN (0, 3) AND entry_id IN (SELECT 'e' || k FROM (SELECT unnest(range(0, 1000, 2)) AS k)))")
+def branch_scope(spark, d):
+    """Sessions with a branch of even entries, without a branch, and with one that names no ids."""
+    turns = table(spark, d, "conversations").where("role <> 'system'")
+    rows = turns.selectExpr("conv_id AS session_id", "turn AS seq", "CASE WHEN turn % 5 = 4 THEN 'twice' ELSE concat('e', turn) END AS entry_id", "'message' AS type")
+    branch = turns.where("conv_id % 4 <> 1").selectExpr("conv_id AS session_id", "CASE WHEN conv_id % 4 = 2 THEN '' WHEN turn % 2 = 0 THEN concat('e', turn) END AS entry_id")
+    return windows.scoped(rows, branch)

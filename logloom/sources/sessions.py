@@ -10,15 +10,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """session_id (the file), line, entry (VARIANT, null where a line is no JSON), raw (its text), for every line that isn't blank.
 
-    A file may be read in splits by several tasks: a line's place follows from its split's start and its order there.
+    A file is read in splits by several tasks. A line's place is its split's start, a sum over the splits before it, and
+    its order within the split; no task sees more than a split, however large the file.
     """
     split = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("session_id"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("raw"))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("start", "at")) - 1
-    files = split.withColumn("line", place)
-    return files.where(~F.col("raw").rlike(r"^\s*$")).select("session_id", "line", F.try_parse_json("raw").alias("entry"), "raw")
+    sizes = split.groupBy("session_id", "start").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("session_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("session_id", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("session_id", "start").orderBy("at")) - 1
+    files = split.withColumn("nth", within).where(~F.col("raw").rlike(r"^\s*$")).join(starts, ["session_id", "start"])
+    return files.select("session_id", (F.col("first") + F.col("nth")).cast("long").alias("line"), F.try_parse_json("raw").alias("entry"), "raw")
+
+
+def scan(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """read_lines of the given files, and of each the outcome: path, missing, n_lines (not blank), n_errors (of these, no JSON).
+
+    A file that isn't there is an outcome; any other failure to read one ends the job with its error. An unreadable line is counted.
+    """
+    there = {p: _path(spark, p) for p in dict.fromkeys(paths)}
+    found = [names[0] for names in there.values() if names]
+    named = spark.createDataFrame([(p, names and names[1]) for p, names in there.items()], "path string, session_id string")
+    lines = read_lines(spark, found) if found else spark.createDataFrame([], "session_id string, line long, entry variant, raw string")
+    told = named.join(parse_errors(lines), "session_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return lines, told.select("path", F.col("session_id").isNull().alias("missing"), zero("n_lines"), zero("n_errors"))
+
+
+def _path(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """A file's full name, and the same as input_file_name() gives it; none where it doesn't exist."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.getFileStatus(own).getPath() if fs.exists(own) else None
+    return full and (full.toString(), full.toUri().toString())
 
 
 def parse_errors(lines: DataFrame) -> DataFrame:
