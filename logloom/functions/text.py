@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANK = r"[\s   -     　﻿]"
@@ -143,6 +143,24 @@ def holds_terms(text: Column, query: Column) -> Column:
     return F.forall(F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != ""), lambda t: F.contains(F.lower(text), t))
 
 
+def all_terms(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """item_id, doc_id of documents that hold every term of an item: runs (doc_id, run: blank-free, lower case), asked (item_id,
+    term). The least common character triple of a term finds the distinct runs that may hold it; terms are counted down by item.
+    """
+    triples = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    words, terms = runs.select("run").where("run <> ''").distinct(), asked.select("term").distinct()
+    grams = words.select("run", F.explode(F.array_distinct(triples("run"))).alias("g"))
+    common = grams.groupBy("g").agg(F.count("*").alias("n"))
+    # Terms of under three characters have no triple: they lie in a run's starts of one or two characters at any place.
+    short = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.array(F.substring(c, i, F.lit(1)), F.substring(c, i, F.lit(2)))))
+    few = terms.where(F.char_length("term") < 3).join(words.select("run", F.explode(F.array_distinct(short("run"))).alias("term")), "term").select("term", "run")
+    long = terms.where(F.char_length("term") >= 3).select("term", F.explode(F.array_distinct(triples("term"))).alias("g")).join(common, "g").groupBy("term").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    held = grams.join(long, "g").where(F.contains(F.col("run"), F.col("term"))).select("term", "run").unionByName(few)
+    per = runs.join(held, "run").select("doc_id", "term").distinct()
+    counted = asked.withColumn("n", F.count("*").over(Window.partitionBy("item_id"))).join(per, "term").groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("k"))
+    return counted.where("k = n").select("item_id", "doc_id")
+
+
 def tokens_of_chars(chars: Column, per_token: Column) -> Column:
     return F.ceil(chars / per_token).cast("long")
 

@@ -12,34 +12,33 @@ from .catalog import BLOCKS, MESSAGES, PLACED, blocks, query
 from .catalog import messages as turns
 from .transcripts import PATH, PLACES, WRITTEN, messages
 
-REQUESTS = ["#42", "#42:full", "#42:30", "#42:30:20", "#7:text", "#7:text:full", "#7:text:5:2", "#42:auth.ts", "#42:auth.ts:full", "#42:src/a:b.ts:10", "#42:auth.ts:10:5", "#x", "plain words", "#12 more", "#3:", "#9:text:", ""]
-_LISTED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(REQUESTS))
+#: A request made of each turn: references of all forms, and the turn's own words.
+ASKED = "CASE conv_id % 9 WHEN 0 THEN '#' || turn WHEN 1 THEN '#' || turn || ':full' WHEN 2 THEN '#' || conv_id || ':' || turn || ':20' WHEN 3 THEN '#' || turn || ':text:' || conv_id WHEN 4 THEN '#' || turn || ':src/' || conv_id || '.ts' WHEN 5 THEN '#' || conv_id || ':a:' || turn || '.ts:10:' || turn WHEN 6 THEN '#' || turn || ':text:full' WHEN 7 THEN text ELSE '#' || turn || ' ' || role END"
 
 
-@query(rf"""WITH q(i, q) AS (VALUES {_LISTED}), k AS (SELECT *, CASE WHEN regexp_full_match(q, '#\d+(:(full|\d+(:\d+)?))?') THEN 'entry' WHEN regexp_full_match(q, '#\d+:text(:(full|\d+(:\d+)?))?') THEN 'text'
+@query(rf"""WITH q AS (SELECT conv_id AS c, turn AS i, {ASKED} AS q FROM conversations), k AS (SELECT *, CASE WHEN regexp_full_match(q, '#\d+(:(full|\d+(:\d+)?))?') THEN 'entry' WHEN regexp_full_match(q, '#\d+:text(:(full|\d+(:\d+)?))?') THEN 'text'
   WHEN regexp_full_match(q, '#\d+:.+') THEN 'file' ELSE 'search' END AS kind FROM q),
 s AS (SELECT *, CASE kind WHEN 'entry' THEN regexp_extract(q, '^#\d+:(.*)$', 1) WHEN 'text' THEN regexp_extract(q, '^#\d+:text:(.*)$', 1) WHEN 'file' THEN regexp_extract(q, '^#\d+:.+?:(full|\d+(?::\d+)?)$', 1) END AS suffix FROM k)
-SELECT i::INT AS i, kind, TRY_CAST(regexp_extract(q, '^#(\d+)', 1) AS BIGINT) AS index, CASE WHEN kind = 'file' THEN CASE WHEN suffix = '' THEN substr(q, strpos(q, ':') + 1) ELSE substr(q, strpos(q, ':') + 1, length(q) - strpos(q, ':') - length(suffix) - 1) END END AS pattern,
+SELECT c AS conv_id, i AS turn, kind, TRY_CAST(regexp_extract(q, '^#(\d+)', 1) AS BIGINT) AS index, CASE WHEN kind = 'file' THEN CASE WHEN suffix = '' THEN substr(q, strpos(q, ':') + 1) ELSE substr(q, strpos(q, ':') + 1, length(q) - strpos(q, ':') - length(suffix) - 1) END END AS pattern,
 CASE WHEN kind <> 'search' THEN suffix = 'full' END AS "full", TRY_CAST(string_split(suffix, ':')[1] AS BIGINT) AS "offset", TRY_CAST(string_split(suffix, ':')[2] AS BIGINT) AS "limit" FROM s""")
 def recall_references(spark, d):
-    asked = spark.createDataFrame(list(enumerate(REQUESTS)), "i int, q string")
-    return asked.select("i", recall.reference(F.col("q")).alias("r")).select("i", "r.*")
+    return table(spark, d, "conversations").select("conv_id", "turn", recall.reference(F.expr(ASKED)).alias("r")).select("conv_id", "turn", "r.*")
 
 
-TEXTS = ["auth scope:all mode:file page:3 login", "Scope:LINEAGE  page:2 page:5", "mode:touched", "telescope:all xmode:file", "page:0 a", "keep:3 do it keep:5", "  fix  it ", "keep:x", ""]
-_TEXTS = ", ".join(f"({i}, '{q}')" for i, q in enumerate(TEXTS))
+#: Options put before, within and behind each turn's first words.
+OPTED = "CASE conv_id % 7 WHEN 0 THEN 'scope:all ' ELSE '' END || CASE turn % 3 WHEN 0 THEN 'Mode:file ' WHEN 1 THEN 'mode:touched  ' ELSE '' END || substr(text, 1, 30) || CASE conv_id % 5 WHEN 0 THEN ' page:' || turn WHEN 1 THEN '  keep:3 and keep:' || turn WHEN 2 THEN ' telescope:all keep:x' ELSE '' END"
 
 
-@query(rf"""WITH q(i, q) AS (VALUES {_TEXTS}), w AS (SELECT i, q, list_filter(string_split_regex(q, '\s+'), lambda x: x <> '') AS w FROM q),
+@query(rf"""WITH q AS (SELECT conv_id AS c, turn AS i, {OPTED} AS q FROM conversations), w AS (SELECT c, i, q, list_filter(string_split_regex(q, '\s+'), lambda x: x <> '') AS w FROM q),
 l AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l FROM w)
-SELECT i::INT AS i, array_to_string(list_filter(w, lambda x: NOT regexp_full_match(lower(x), '(scope:(lineage|all|active)|mode:(hybrid|touched|file)|page:\d+)')), ' ') AS query,
+SELECT c AS conv_id, i AS turn, array_to_string(list_filter(w, lambda x: NOT regexp_full_match(lower(x), '(scope:(lineage|all|active)|mode:(hybrid|touched|file)|page:\d+)')), ' ') AS query,
 CASE WHEN list_contains(l, 'scope:all') THEN 'all' ELSE 'lineage' END AS scope, coalesce(substr(list_filter(l, lambda x: regexp_full_match(x, 'mode:(hybrid|touched|file)'))[1], 6), 'hybrid') AS mode,
 greatest(coalesce(substr(list_filter(l, lambda x: regexp_full_match(x, 'page:\d+'))[1], 6)::BIGINT, 1), 1) AS page,
 array_to_string(list_filter(CASE WHEN len(list_filter(l, lambda x: regexp_full_match(x, 'keep:\d+'))) > 0 THEN list_filter(w, lambda x: NOT regexp_full_match(lower(x), 'keep:\d+')) ELSE [trim(q)] END, lambda x: x <> ''), ' ') AS prompt,
 substr(list_filter(l, lambda x: regexp_full_match(x, 'keep:\d+'))[-1], 6)::BIGINT AS keep FROM l""")
 def recall_options(spark, d):
-    asked = spark.createDataFrame(list(enumerate(TEXTS)), "i int, q string")
-    return asked.select("i", recall.options(F.col("q")).alias("o"), recall.keep_options(F.col("q")).alias("k")).select("i", "o.*", "k.prompt", "k.keep")
+    asked = table(spark, d, "conversations").select("conv_id", "turn", F.expr(OPTED).alias("q"))
+    return asked.select("conv_id", "turn", recall.options(F.col("q")).alias("o"), recall.keep_options(F.col("q")).alias("k")).select("conv_id", "turn", "o.*", "k.prompt", "k.keep")
 
 
 SHELL = "['npm test', 'git commit -m x', 'ls -la', 'make'][e % 4 + 1]"

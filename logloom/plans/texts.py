@@ -1,44 +1,21 @@
-"""Queries on text functions and facts: texts of known make, so that their SQL states results without the same patterns.
-
-Cases are dealt to the rows of a table by their id, so that each query covers its whole table.
-"""
+"""Queries on text functions and facts: texts of the tables, marked by rule where a function needs more than prose, and SQL that finds the results its own way."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import brief as W
 from ..functions import relevance as R
 from ..functions import text as T
-from ..operators import facts, summary
+from ..operators import facts, merging, summary
+from ..sources import messages as M
 from ..sources.sessions import table
 from .catalog import query
 
 ESC = "\x1b"
 
 
-def literal(value: object) -> str:
-    """A value as SQL."""
-    if isinstance(value, (list, tuple)):
-        return "[" + ", ".join(map(literal, value)) + "]::VARCHAR[]"
-    return "NULL" if value is None else str(value) if isinstance(value, (bool, int)) else "'" + value.replace("'", "''") + "'"
-
-
-def values(rows: list[tuple]) -> str:
-    return "VALUES " + ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(rows))
-
-
-def dealt(spark, d, cases: list[str]):
-    """event_id and the text of its case."""
-    rows = spark.createDataFrame(list(enumerate(cases)), "k long, text string")
-    return table(spark, d, "events").select("event_id", (F.col("event_id") % len(cases)).alias("k")).join(F.broadcast(rows), "k").select("event_id", "text")
-
-
-def expected(results: list) -> str:
-    return f"SELECT event_id, r FROM events JOIN ({values([(r,) for r in results])}) c(k, r) ON event_id % {len(results)} = k"
-
-
 @query("SELECT doc_id, text || chr(10) || 'end' AS clean FROM documents")
 def sanitized(spark, d):
     dirty = F.concat(F.lit(f"{ESC}[31m{ESC}]0;title\x07"), "text", F.lit(f"{ESC}[0;1m\r\n\x00e\x08nd\x1f{ESC}[K"))
@@ -51,173 +28,163 @@ def first_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_line(F.col("text"), 40).alias("line"))
 
 
-PATTERNS = [
-    ("auth.ts", False, "auth.ts"), ("a|b", True, "a|b"), (".", True, "."), ("[a", True, r"\[a"), ("(a+)+$", True, r"\(a\+\)\+\$"), (r"(\w*)*", True, r"\(\\w\*\)\*"), ("(ab)+c*", True, "(ab)+c*"),
-    ("x{2,}", True, "x{2,}"), ("(x{2,3})+", True, "(x{2,3})+"), ("([a-z]+)*y", True, r"\(\[a\-z\]\+\)\*y"), ("plain words", False, "plain words"), ("(?:a|b+)?", True, "(?:a|b+)?"), ("*a", True, r"\*a"),
-]
+#: A pattern or plain text about each item's first two words.
+PATTERN = "CASE item_id % 8 WHEN 0 THEN a || '.ts' WHEN 1 THEN a || '|' || b WHEN 2 THEN '[' || a WHEN 3 THEN '(' || a || '+)+$' WHEN 4 THEN '(' || a || ')+' || b || '*' WHEN 5 THEN a || '{2,}' WHEN 6 THEN '((' || a || '|' || b || '+)*)*' ELSE a || ' ' || b END"
+ITEMS = r"w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark), i AS (SELECT item_id, w[1] AS a, w[2] AS b FROM w WHERE len(w) > 1)"
 
 
-@query(f"SELECT k::INT AS i, p AS pattern, r AS is_pattern, s AS safe FROM ({values(PATTERNS)}) c(k, p, r, s)")
+@query(rf"""WITH {ITEMS}, p AS (SELECT item_id, a, b, {PATTERN} AS pattern FROM i)
+SELECT item_id, pattern, regexp_matches(pattern, '[|*+?{{}}()\[\]\\^$]') AS is_pattern, CASE WHEN item_id % 8 IN (2, 3, 6) THEN regexp_replace(pattern, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g') ELSE pattern END AS safe FROM p""")
 def query_patterns(spark, d):
-    rows = [(i, p, R.looks_like_regex(p), R.safe_pattern(p)) for i, (p, *_) in enumerate(PATTERNS)]
-    return spark.createDataFrame(rows, "i int, pattern string, is_pattern boolean, safe string")
+    """What doesn't compile, or nests quantifiers, is escaped; the parser of patterns is Python's, so it runs on Arrow batches."""
+
+    @F.pandas_udf("is_pattern boolean, safe string")
+    def told(patterns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"is_pattern": patterns.map(R.looks_like_regex), "safe": patterns.map(R.safe_pattern)})
+
+    words = table(spark, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where("size(w) > 1")
+    asked = words.selectExpr("item_id", "w[0] AS a", "w[1] AS b").select("item_id", F.expr(PATTERN).alias("pattern"))
+    return asked.select("item_id", "pattern", told("pattern").alias("t")).select("item_id", "pattern", "t.*")
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON doc_id % 50 = item_id % 50 WHERE list_bool_and(list_transform(string_split(lower(b.text), ' ')[1:3], lambda t: contains(lower(d.text), t)))")
+@query(r"""WITH q AS (SELECT item_id, string_split_regex(lower(text), '\s+') AS w FROM benchmark), t AS (SELECT item_id, unnest(list_distinct(list_filter(w, lambda x: x <> ''))) AS t, len(list_distinct(list_filter(w, lambda x: x <> ''))) AS n FROM q),
+d AS (SELECT doc_id, lower(text) AS text FROM documents), v AS (SELECT DISTINCT t FROM t), m AS (SELECT doc_id, v.t FROM d JOIN v ON contains(d.text, v.t))
+SELECT t.item_id, m.doc_id FROM t JOIN m ON m.t = t.t GROUP BY t.item_id, t.n, m.doc_id HAVING count(*) = t.n""")
 def documents_with_terms(spark, d):
-    asked = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(asked), F.col("doc_id") % 50 == F.col("item_id") % 50).where(T.holds_terms(F.col("text"), F.col("q"))).select("item_id", "doc_id")
+    """Every item against every document, all terms: a document that holds a term holds it within one of its own blank-free
+    runs, so the distinct runs are matched with the distinct terms, and items are counted down by equi-joins."""
+    asked = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("run"))
+    return T.all_terms(docs, asked.select("item_id", F.explode("t").alias("term")))
 
 
-@query("SELECT doc_id, 'head' || chr(10) || chr(10) || 'two words' || chr(10) || doc_id AS flat FROM documents")
+@query(r"""WITH t AS (SELECT doc_id, replace(replace(text, ' ', ' ' || chr(9) || ' '), chr(10), ' ' || chr(13) || chr(10) || chr(10) || chr(10)) || chr(13) AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t\v\f ]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^[\s\v]+|[\s\v]+$', '', 'g') AS flat FROM t""")
 def squeezed_texts(spark, d):
-    text = F.concat(F.lit("\n  head\r\n\r\n\n\n two\t\t words \r"), F.col("doc_id").cast("string"), F.lit(" \n\n"))
-    # Blanks beside a line's end become one blank, not none: they are taken off here.
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(W.squeezed(text), " *\n *", "\n").alias("flat"))
+    dirty = F.concat(F.replace(F.replace("text", F.lit(" "), F.lit(" \t ")), F.lit("\n"), F.lit(" \r\n\n\n")), F.lit("\r"))
+    return table(spark, d, "documents").select("doc_id", W.squeezed(dirty).alias("flat"))
 
 
-#: n words that count, w1 to wn, each behind one that doesn't.
-NUMBERED = "array_join(transform(sequence(1, n), x -> concat('the w', x)), ' ')"
+_FREE = "[" + ", ".join(f"'{w}'" for w in W.FREE_WORDS) + "]"
+_WORD = r"[\p{L}\p{N}_]+(?:[''.’][\p{L}\p{N}_]+)*"
 
 
-@query("""WITH n AS (SELECT doc_id, doc_id % 40 + 1 AS n FROM documents), s AS (SELECT doc_id, n, list_transform(range(1, n + 1), lambda x: 'the w' || x) AS l FROM n)
-SELECT doc_id, CASE WHEN n <= 20 THEN array_to_string(l, ' ') ELSE array_to_string(l[1:20], ' ') || ' the...(truncated)' END AS first_words,
-CASE WHEN n <= 20 THEN array_to_string(l, ' ') ELSE array_to_string(l[1:12], ' ') || chr(10) || '...(middle truncated)...' || chr(10) || 'w' || (n - 7) || ' ' || array_to_string(l[n - 6:n], ' ') END AS ends FROM s""")
+@query(rf"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\t\v\f ]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^[\s\v]+|[\s\v]+$', '', 'g') AS t FROM documents),
+p AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, string_split_regex(t, '{_WORD}') AS g FROM f),
+c AS (SELECT *, list_filter(list_transform(w, lambda x, i: CASE WHEN regexp_matches(x, '[\p{{L}}\p{{N}}]') AND NOT list_contains({_FREE}, lower(x)) THEN i END), lambda i: i IS NOT NULL) AS ix FROM p)
+SELECT doc_id, CASE WHEN len(ix) <= 20 THEN t ELSE regexp_replace(array_to_string(list_transform(range(1, ix[21]), lambda i: g[i] || w[i]), '') || g[ix[21]], '[\s\v]+$', '') || '...(truncated)' END AS first_words,
+CASE WHEN len(ix) <= 20 THEN t ELSE array_to_string(list_transform(range(1, ix[12] + 1), lambda i: g[i] || w[i]), '') || chr(10) || '...(middle truncated)...' || chr(10) || array_to_string(list_transform(range(ix[len(ix) - 7], len(w) + 1), lambda i: w[i] || g[i + 1]), '') END AS ends FROM c""")
 def word_limits(spark, d):
-    text = F.expr(NUMBERED)
-    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40 + 1).alias("n"))
-    return rows.select("doc_id", W.first_words(text, 20).alias("first_words"), W.ends_of_words(text, 12, 8).alias("ends"))
+    return table(spark, d, "documents").select("doc_id", W.first_words(F.col("text"), 20).alias("first_words"), W.ends_of_words(F.col("text"), 12, 8).alias("ends"))
 
 
-SCRIPTS = [
-    ("cat > /tmp/pr.md <<'EOF'\n## Summary\n- a long line\nEOF\ngh pr create --body-file /tmp/pr.md", "cat > /tmp/pr.md <<'EOF'; gh pr create --body-file /tmp/pr.md"),
-    ("python3 - <<'PY'\nimport csv\ntotal = sum(1 for _ in f)\nprint(total)\nPY", "python3 - <<'PY' total = sum(1 for _ in f)"),
-    ("sqlite3 app.db <<'SQL'\nSELECT count(*) FROM users;\nSQL", "sqlite3 app.db <<'SQL' SELECT count(*) FROM users;"),
-    ("n=$((1<<10))\ngit commit -m shift", "n=$((1<<10)); git commit -m shift"),
-    ('echo "see <<NOTE for details"\nnpm run build', 'echo "see <<NOTE for details"; npm run build'),
-    ("set -e\ncd /app\nexport A=1\nnpm test | tail -5 | head -2", "npm test"), ("cd /app && make all", "make all"), ("pwd", "pwd"), ("x" * 300, "x" * 237 + "..."),
-]
+#: Three of a turn's own words, as names of programs and files.
+THREE = "w AS (SELECT conv_id, turn, role, text, regexp_extract_all(text, '[a-zA-Z]{3,}') AS w FROM conversations), t AS (SELECT *, lower(w[1]) AS a, lower(w[2]) AS b, lower(w[3]) AS c FROM w WHERE len(w) > 2)"
 
 
-@query(expected([r for _, r in SCRIPTS]))
-def short_scripts(spark, d):
-    return dealt(spark, d, [s for s, _ in SCRIPTS]).select("event_id", W.short_commands(F.col("text")).alias("r"))
+def three_words(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), F.lit(0)).alias("w")).where("size(w) > 2")
+    return rows.selectExpr("conv_id", "turn", "role", "text", "lower(w[0]) AS a", "lower(w[1]) AS b", "lower(w[2]) AS c")
 
 
-SCAFFOLDS = [("set -e\nnpm publish", False), ("cd /a\nls\npwd", True), ("", True), ("ls -la", True), ("echo hi\nsleep 2", True), ("cat > f <<'E'\nbody\nE", False), ("# note\n. ./env", True), ("lsof -i", False), ("echoes x", False), ("source a.sh\nmake", False)]
+SCRIPT = "CASE turn % 4 WHEN 0 THEN concat('set -e\ncd /', a, ' && x', b, ' ', c, ' | sort | tail -5\n') WHEN 1 THEN concat('cat > ', a, ' <<EOF\n', b, '\nEOF\nrun', c) WHEN 2 THEN concat('cd /', a, '\nexport ', b, '=1\n# ', c) ELSE concat('x', a, ' - <<PY\nimport ', b, '\n', c, '(1)\nPY\nls ', b) END"
 
 
-@query(expected([r for _, r in SCAFFOLDS]))
-def scaffold_scripts(spark, d):
-    return dealt(spark, d, [s for s, _ in SCAFFOLDS]).select("event_id", W.only_scaffolding(F.col("text")).alias("r"))
+@query(rf"""WITH {THREE} SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'x' || b || ' ' || c WHEN 1 THEN 'cat > ' || a || ' <<EOF; run' || c WHEN 2 THEN 'cd /' || a ELSE 'x' || a || ' - <<PY ' || c || '(1); ls ' || b END AS r FROM t""")
+def short_scripts(spark, d):
+    return three_words(spark, d).select("conv_id", "turn", W.short_commands(F.expr(SCRIPT)).alias("r"))
 
 
-TALK = [
-    ("Okay, I found the root cause.", "I found the root cause."), ("Hmm, wait, it works", "it works"), ("Let me check the logs.", "Let me check the logs."), ("Well so ok then", "ok then"), ("Sound of silence", "Sound of silence"),
-    ('<skill name="review" path="/x">\nlong\n</skill>\nGo on', "[skill: review]\nGo on"), ('before <skill name="a">never closed', "before [skill: a]"),
-]
+@query(rf"WITH {THREE} SELECT conv_id, turn, turn % 4 = 2 AS r FROM t")
+def scaffold_scripts(spark, d):
+    return three_words(spark, d).select("conv_id", "turn", W.only_scaffolding(F.expr(SCRIPT)).alias("r"))
 
 
-@query(expected([r for _, r in TALK]))
+@query(rf"""WITH {THREE}, n AS (SELECT *, regexp_matches(text, '^\s*(?i:hmm|wait|actually|oh|okay|ok|well|so)[,.!\s-]') AS talks FROM t)
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || ' [skill: ' || a || '] ' || c ELSE c || ' [skill: ' || a || ']' END AS r FROM n WHERE NOT talks""")
 def plain_speech(spark, d):
-    return dealt(spark, d, [s for s, _ in TALK]).select("event_id", W.collapsed_skills(W.without_self_talk(F.col("text"))).alias("r"))
+    said = F.expr("""CASE turn % 3 WHEN 0 THEN concat('Okay, hmm - ', text) WHEN 1 THEN concat('Well. ', text, ' <skill name="', a, '" x>', b, '\n</skill> ', c) ELSE concat('so ', c, ' <skill name="', a, '">', text) END""")
+    rows = three_words(spark, d).where(~F.col("text").rlike(r"^\s*(?i:hmm|wait|actually|oh|okay|ok|well|so)[,.!\s-]"))
+    return rows.select("conv_id", "turn", W.collapsed_skills(W.without_self_talk(said)).alias("r"))
 
 
-#: Words of five places, after a bullet: 23 fit in the first line, 23 behind an indent of two.
-@query("""WITH n AS (SELECT doc_id, list_transform(range(1, doc_id % 90 + 2), lambda x: right('0000' || x, 4)) AS w FROM documents)
-SELECT doc_id, '- ' || array_to_string(list_transform(range(0, (len(w) + 22) // 23), lambda k: array_to_string(w[k * 23 + 1:k * 23 + 23], ' ')), chr(10) || '  ') AS lines, '- ' || array_to_string(w, ' ') AS back FROM n""")
+@query(r"""WITH l AS (SELECT doc_id, '- ' || trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')) AS l FROM documents) SELECT doc_id, l AS back, true AS fits FROM l WHERE length(l) > 2""")
 def wrapped_lines(spark, d):
-    text = F.expr("concat('- ', array_join(transform(sequence(1, doc_id % 90 + 1), x -> lpad(x, 4, '0')), ' '))")
-    return table(spark, d, "documents").select("doc_id", W.wrapped(text).alias("lines")).withColumn("back", W.rejoined(F.col("lines")))
+    """First lines wrapped, no line over the limit, and read back."""
+    lines = table(spark, d, "documents").select("doc_id", F.concat(F.lit("- "), F.trim(F.regexp_replace(F.element_at(F.split("text", "\n"), 1), r"\s+", " "))).alias("l")).where(F.char_length("l") > 2)
+    rows = lines.select("doc_id", W.wrapped(F.col("l")).alias("w"))
+    return rows.select("doc_id", F.array_join(merging.joined_lines(F.col("w")), "\n").alias("back"), F.forall(F.split("w", "\n"), lambda x: F.char_length(x) <= W.LINE_MOST).alias("fits"))
 
 
-@query("SELECT event_id, 'a' || chr(92) || ',' || event_id || '.py' AS escaped, ['a,' || event_id || '.py', 'b', 'c,d,'] AS paths, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE 'b/c/' || event_id END AS short FROM events")
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:4], lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, array_to_string(list_transform(l, lambda x: replace(x, ',', chr(92) || ',')), ', ') AS escaped, l AS paths, CASE WHEN len(l) > 0 THEN array_to_string(string_split('/' || replace(l[1], ' ', '/'), '/')[-3:], '/') END AS short FROM l""")
 def path_lists(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.array(F.concat(F.lit("a,"), F.col("event_id").cast("string"), F.lit(".py")), F.lit("b"), F.lit("c,d,")).alias("p"))
-    path = F.when(F.col("event_id") % 2 == 0, "x").otherwise(F.concat(F.lit("/a/b/c/"), F.col("event_id").cast("string")))
-    return rows.select("event_id", T.escape_commas(F.col("p")[0]).alias("escaped"), T.split_escaped(F.array_join(F.transform("p", T.escape_commas), ", ")).alias("paths"), T.short_path(path).alias("short"))
+    """Lines as paths, commas and all: listed, and read back from the list."""
+    lines = F.filter(F.transform(F.slice(F.split("text", "\n"), 1, 4), lambda x: F.trim(x)), lambda x: x != "")
+    rows = table(spark, d, "documents").select("doc_id", lines.alias("p")).withColumn("escaped", F.array_join(F.transform("p", T.escape_commas), ", "))
+    return rows.select("doc_id", "escaped", T.split_escaped(F.col("escaped")).alias("paths"), F.when(F.size("p") > 0, T.short_path(F.concat(F.lit("/"), F.replace(F.get("p", F.lit(0)), F.lit(" "), F.lit("/"))))).alias("short"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id < 1000 THEN event_id::VARCHAR ELSE CASE WHEN event_id % 1000 = 250 THEN event_id // 1000 || '.3k' ELSE printf('%.1fk', event_id / 1000) END END AS shown, repeat('é', least(event_id % 30, 10)::INT) AS cut,
-greatest(3, event_id % 10) AS at_least, 7::BIGINT AS missing FROM events""")
+@query("""SELECT doc_id, CASE WHEN n_chars < 1000 THEN n_chars::VARCHAR ELSE CASE WHEN n_chars % 1000 = 250 THEN n_chars // 1000 || '.3k' ELSE printf('%.1fk', n_chars / 1000) END END AS shown,
+text[1:list_max(list_filter(range(0, 51), lambda k: strlen(text[1:k]) <= 50))] AS cut, greatest(3, n_chars % 10) AS at_least, 7::BIGINT AS missing FROM documents WHERE text IS NOT NULL""")
 def numbers_and_bytes(spark, d):
-    e = F.col("event_id")
-    return table(spark, d, "events").select("event_id", T.format_tokens(e).alias("shown"), T.clip_bytes(F.repeat(F.lit("é"), (e % 30).cast("int")), 21).alias("cut"), T.positive_or((e % 10).cast("double"), 3, 7).alias("at_least"), T.positive_or(F.lit(float("nan")), 3, 7).alias("missing"))
+    n = F.col("n_chars")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.format_tokens(n).alias("shown"), T.clip_bytes(F.col("text"), 50).alias("cut"), T.positive_or((n % 10).cast("double"), 3, 7).alias("at_least"), T.positive_or(F.lit(float("nan")), 3, 7).alias("missing"))
+
 
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, array_to_string(list_transform(l[1:2], lambda x: '- ' || x), '|') AS goal, array_to_string(list_transform(l[3:4], lambda x: '- ' || x), '|') AS commits, '' AS blockers FROM l WHERE len(l) > 3""")
+def summary_sections(spark, d):
+    """Sections of lines of the texts, wrapped as a summary is, and read back."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    rows = table(spark, d, "documents").select("doc_id", lines.alias("l")).where("size(l) > 3")
+    part = lambda title, lo: F.concat(F.lit(f"[{summary.TITLES[title]}]\n"), F.array_join(F.transform(F.slice("l", lo, 2), lambda x: F.concat(F.lit("- "), x)), "\n"))
+    text = W.wrapped(F.concat(part("goals", 1), F.lit("\n\n"), part("commits", 3), F.lit(summary.RULE + "[user]\n"), F.element_at("l", -1), F.lit(summary.RULE + summary.NOTE)))
+    read = rows.select("doc_id", summary.without_note(text).alias("s"))
+    return read.select("doc_id", *[F.array_join(merging.bullets(merging.section(F.col("s"), summary.TITLES[t])), "|").alias(n) for t, n in (("goals", "goal"), ("commits", "commits"), ("blockers", "blockers"))])
 
-SUMMARY = "'[Session Goal]' || chr(10) || '- goal ' || doc_id || chr(10) || chr(10) || '[Commits]' || chr(10) || '- one' || chr(10) || '- two'"
 
+@query(rf"""WITH {THREE} SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ['Fix the ' || a || ' of ' || b, 'Add a test for ' || c] WHEN 1 THEN ['Deploy ' || a || ' now'] WHEN 2 THEN [] ELSE ['[skill: ' || a || ']', 'Update ' || c || ' docs'] END AS r FROM t""")
+def goal_candidates(spark, d):
+    said = F.expr(r"""CASE turn % 4 WHEN 0 THEN concat('Fix the ', a, ' of ', b, '\nok\n\n- Add a test for ', c, '\n/etc/', a) WHEN 1 THEN concat('https://', b, '.example/x\nDeploy ', a, ' now\nFor each issue:\nRead ', c)
+      WHEN 2 THEN concat('[', a, '] output\nDo NOT implement ', b, ' yet\nRefactor ', c) ELSE concat('- <skill name="', a, '">\n', b, ' and more\n</skill>\n* Update ', c, ' docs\n<skill name="', a, '">\nbody\n</skill>') END""")
+    return three_words(spark, d).select("conv_id", "turn", facts.goal_lines(said).alias("r"))
 
-@query(f"SELECT doc_id, {SUMMARY} AS top, '- goal ' || doc_id AS goal, '- one' || chr(10) || '- two' AS commits, NULL::VARCHAR AS blockers FROM documents")
-def summary_sections(spark, d):
-    top = F.concat(F.lit("[Session Goal]\n- goal "), F.col("doc_id").cast("string"), F.lit("\n\n[Commits]\n- one\n- two"))
-    rows = table(spark, d, "documents").select("doc_id", W.wrapped(F.concat(top, F.lit(summary.RULE + summary.NOTE))).alias("s"))
-    return rows.select("doc_id", summary.without_note(F.col("s")).alias("top"), *[summary.section_of(F.col("s"), summary.TITLES[t]).alias(n) for t, n in (("goals", "goal"), ("commits", "commits"), ("blockers", "blockers"))])
 
+#: A log of each conversation: turns say what facts are made of, with words and hashes of their own text.
+LOGGED = r"""CASE WHEN turn % 6 = 0 THEN named_struct('role', 'user', 'content', concat('Thanks\nplease use ', a, ' for ', b, '\nDo you prefer ', c, '?')) WHEN turn % 6 = 1 THEN named_struct('role', 'assistant', 'content', concat('The ', a, ' build is still failing on ', b, '\n- It failed again with ', c))
+  WHEN turn % 6 = 2 THEN named_struct('role', 'user', 'content', concat('<system-reminder>never push ', a, '</system-reminder>', CASE WHEN conv_id % 2 = 0 THEN '' ELSE concat(' Look at ', b) END)) WHEN turn % 6 = 3 THEN named_struct('role', 'user', 'content', 'Continue from where you left off.')
+  ELSE named_struct('role', 'assistant', 'content', 'Nothing to add') END"""
+SHELL = r"""named_struct('role', 'bashExecution', 'command', concat('cd /', a, ' && git commit -am "', b, ' \\"', c, '\\""\ncat > x <<EOF\ngit commit -m no\nEOF'), 'output', concat('[main ', substring(md5(text), 1, 8), '] ', b), 'exitCode', 0)"""
+BLOCK_PLACES = f"{THREE}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS blk FROM t)"
 
-GOALS = [
-    ("Fix the login bug\n\n- add a test\n1. update docs", ["Fix the login bug", "add a test", "update docs"]), ("ok", []), ("Fix the parser now\nFor each issue:\nRead the code first", ["Fix the parser now"]),
-    ("Read the issue in full, including all comments\nImplement it well", ["Implement it well"]), ("Output:", []), ("```code\nWrite a parser", ["Write a parser"]), ("https://x.example/y\nDeploy the thing", ["Deploy the thing"]),
-    ("Do NOT implement anything yet\nRefactor it", []), ("Do not stop\nconst x = 1\nsure!", ["Do not stop"]), ("[log] output\n/etc/hosts is odd\nshort", []),
-]
 
+def logged_blocks(spark, d):
+    """Blocks parsed from messages of each conversation's turns."""
+    raw = F.expr(f"CASE WHEN turn % 6 = 5 THEN to_json({SHELL}) ELSE to_json({LOGGED}) END")
+    rows = three_words(spark, d).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), raw.alias("raw"))
+    return M.as_blocks(rows.withColumn("message", F.try_parse_json("raw")))
 
-@query(expected([r for _, r in GOALS]))
-def goal_candidates(spark, d):
-    return dealt(spark, d, [s for s, _ in GOALS]).select("event_id", facts.goal_lines(F.col("text")).alias("r"))
-
-
-#: kind, tool, text, command; then what is found: preference, blocker, text without noise, commit message, its hash.
-_USER, _TOLD = ("user", None), ("assistant", None)
-BLOCKS = [
-    (*_USER, "please use bun instead of node", None, "please use bun instead of node", None, "please use bun instead of node", None, None),
-    (*_USER, "Thanks\nI prefer tabs over spaces", None, "I prefer tabs over spaces", None, "Thanks\nI prefer tabs over spaces", None, None),
-    (*_USER, "Do you prefer tabs?", None, None, None, "Do you prefer tabs?", None, None),
-    (*_TOLD, "I always use best practices", None, None, None, "I always use best practices", None, None),
-    (*_USER, "PLEASE USE bun instead of node", None, "PLEASE USE bun instead of node", None, "PLEASE USE bun instead of node", None, None),
-    (*_TOLD, "The build is still failing on CI", None, None, "The build is still failing on CI", "The build is still failing on CI", None, None),
-    (*_USER, "Login is broken after the update", None, None, "[user] Login is broken after the update", "Login is broken after the update", None, None),
-    (*_TOLD, "- It failed again in the list", None, None, None, "- It failed again in the list", None, None),
-    (*_TOLD, "it failed again in lower case", None, None, None, "it failed again in lower case", None, None),
-    ("tool_call", "TodoWrite", None, None, None, None, None, None, None),
-    (*_USER, "<system-reminder>never use this</system-reminder>", None, "<system-reminder>never use this</system-reminder>", None, None, None, None),
-    (*_USER, "Continue from where you left off.", None, None, None, None, None, None),
-    (*_USER, "<ide_opened_file>a.py</ide_opened_file>Look at the file", None, None, None, "Look at the file", None, None),
-    ("bash", None, "[main abc1234] add parser", 'git commit -m "add parser"', None, None, "[main abc1234] add parser", "add parser", "abc1234"),
-    ("bash", None, "", "cat > N.md <<'EOF'\nExample: git commit -m \"wip\"\nEOF\ngit commit -m \"real\"", None, None, "", "real", None),
-    ("bash", None, "done", 'echo "git commit -m wip"', None, None, "done", None, None),
-    ("bash", None, "abc1234..def5678", "git add . && git commit -am 'fix: two'", None, None, "abc1234..def5678", "fix: two", "def5678"),
-    ("tool_result", "edit", "ok", None, None, None, "ok", None, None),
-]
-DEALT = f"""b AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS blk, c.* FROM events
-  JOIN ({values(BLOCKS)}) c(k, kind, name, text, command, preference, blocker, kept, message, hash) ON event_id % {len(BLOCKS)} = k)"""
-
-
-def dealt_blocks(spark, d):
-    rows = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(BLOCKS)], "k long, kind string, name string, text string, command string")
-    places = table(spark, d, "events").select(F.col("user_id").alias("session_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("blk"), (F.col("event_id") % len(BLOCKS)).alias("k"))
-    return places.join(F.broadcast(rows), "k").drop("k")
-
-
-@query(f"""WITH {DEALT}, o AS (SELECT session_id, arg_min(preference, blk) AS line, min(blk) AS blk FROM b WHERE preference IS NOT NULL GROUP BY session_id, lower(preference))
-SELECT session_id, line, row_number() OVER (PARTITION BY session_id ORDER BY blk)::INT AS nth FROM o QUALIFY nth <= 10""")
+
+@query(f"""WITH {BLOCK_PLACES}, p AS (SELECT conv_id, blk, CASE turn % 6 WHEN 0 THEN 'please use ' || a || ' for ' || b WHEN 2 THEN '<system-reminder>never push ' || a || '</system-reminder>' || CASE WHEN conv_id % 2 = 0 THEN '' ELSE ' Look at ' || b END END AS line FROM n),
+o AS (SELECT conv_id AS session_id, arg_min(line, blk) AS line, min(blk) AS blk FROM p WHERE line IS NOT NULL GROUP BY conv_id, lower(line)) SELECT session_id, line, row_number() OVER (PARTITION BY session_id ORDER BY blk)::INT AS nth FROM o QUALIFY nth <= 10""")
 def preferences(spark, d):
-    return facts.preferences(dealt_blocks(spark, d))
+    return facts.preferences(logged_blocks(spark, d))
 
 
-@query(f"""WITH {DEALT}, t AS (SELECT session_id, blk, blocker, row_number() OVER (PARTITION BY session_id ORDER BY blk DESC) AS back FROM b),
-o AS (SELECT session_id, blocker AS line, min(blk) AS blk FROM t WHERE back <= 20 AND blocker IS NOT NULL GROUP BY ALL)
-SELECT session_id, line, row_number() OVER (PARTITION BY session_id ORDER BY blk)::INT AS nth FROM o QUALIFY nth <= 5""")
+@query(f"""WITH {BLOCK_PLACES}, l AS (SELECT conv_id AS session_id, blk, turn, row_number() OVER (PARTITION BY conv_id ORDER BY blk DESC) AS back, 'The ' || a || ' build is still failing on ' || b AS line FROM n),
+o AS (SELECT session_id, line, min(blk) AS blk FROM l WHERE back <= 20 AND turn % 6 = 1 GROUP BY ALL) SELECT session_id, line, row_number() OVER (PARTITION BY session_id ORDER BY blk)::INT AS nth FROM o QUALIFY nth <= 5""")
 def blockers(spark, d):
-    return facts.blockers(dealt_blocks(spark, d))
+    return facts.blockers(logged_blocks(spark, d))
 
 
-@query(f"WITH {DEALT} SELECT session_id, blk, kind, kept AS text FROM b WHERE kept IS NOT NULL")
+@query(f"""WITH {BLOCK_PLACES} SELECT conv_id AS session_id, blk, CASE turn % 6 WHEN 1 THEN 'assistant' WHEN 4 THEN 'assistant' WHEN 5 THEN 'bash' ELSE 'user' END AS kind,
+CASE turn % 6 WHEN 0 THEN 'Thanks' || chr(10) || 'please use ' || a || ' for ' || b || chr(10) || 'Do you prefer ' || c || '?' WHEN 1 THEN 'The ' || a || ' build is still failing on ' || b || chr(10) || '- It failed again with ' || c WHEN 2 THEN 'Look at ' || b WHEN 4 THEN 'Nothing to add' END AS text
+FROM n WHERE turn % 6 <> 3 AND (turn % 6 <> 2 OR conv_id % 2 = 1)""")
 def without_noise(spark, d):
-    return facts.without_noise(dealt_blocks(spark, d)).select("session_id", "blk", "kind", "text")
+    return facts.without_noise(logged_blocks(spark, d)).select("session_id", "blk", "kind", "text")
 
 
-@query(f"WITH {DEALT} SELECT session_id, blk, hash, message FROM b WHERE message IS NOT NULL")
+@query(f"""WITH {BLOCK_PLACES} SELECT conv_id AS session_id, blk, md5(text)[1:8] AS hash, b || ' "' || c || '"' AS message FROM n WHERE turn % 6 = 5""")
 def commits(spark, d):
-    return facts.commits(dealt_blocks(spark, d))
+    return facts.commits(logged_blocks(spark, d))
