@@ -81,6 +81,32 @@ def with_chain(messages: DataFrame, segments: DataFrame) -> DataFrame:
     return plain.unionByName(swapped)
 
 
+#: What stands before and behind a summary that a model reads as a message.
+FRAME_OPEN = "Prior model work/tool state available.\nMUST build on prior work; NEVER duplicate prior work.\n\n<summary>\n"
+FRAME_CLOSE = "\n</summary>"
+SUMMARIES = ("compactionSummary", "branchSummary")
+
+
+def projected(messages: DataFrame, segments: DataFrame, chains: DataFrame) -> DataFrame:
+    """session_id, place, part, role, text of messages (session_id, place, role, text) with the one summary of each chain replaced.
+
+    chains (session_id, trailing): the newest summary's text. The message with a summary's role and exactly that text gives way to
+    the chain's segments (session_id, sequence, summary) and the trailing text, one frame around them all, as hidden
+    messages. Where no message or several have it, nothing changes; so a second pass changes nothing either.
+    """
+    told = chains.where("trailing <> ''").groupBy("session_id").agg(F.max("trailing").alias("trailing"))
+    rows = messages.join(told, "session_id", "left").withColumn("hit", F.coalesce(F.col("role").isin(*SUMMARIES) & (F.col("text") == F.col("trailing")), F.lit(False)))
+    rows = rows.withColumn("one", F.count_if("hit").over(Window.partitionBy("session_id")) == 1)
+    plain = rows.where("not (hit and one)").select("session_id", "place", F.lit(0).cast("long").alias("part"), "role", "text")
+    at = rows.where("hit and one").select("session_id", "place", "trailing")
+    first = F.row_number().over(Window.partitionBy("session_id").orderBy("sequence")) == 1
+    lead = segments.select("session_id", F.col("sequence").cast("long").alias("part"), F.when(first, F.concat(F.lit(FRAME_OPEN), "summary")).otherwise(F.col("summary")).alias("text"))
+    any_ = segments.select("session_id").distinct().withColumn("some", F.lit(True))
+    last = at.join(any_, "session_id", "left").select("session_id", "place", F.lit(2**62).alias("part"), F.lit("append-trailing").alias("role"), F.concat(F.when(F.col("some"), "").otherwise(FRAME_OPEN), "trailing", F.lit(FRAME_CLOSE)).alias("text"))
+    swapped = at.select("session_id", "place").join(lead, "session_id").select("session_id", "place", "part", F.lit("append-segment").alias("role"), "text")
+    return plain.unionByName(swapped).unionByName(last)
+
+
 def allotted(rows: DataFrame, key: str, text: str, most: int = RESPONSE_MOST) -> DataFrame:
     """rows with shown and cut: every text of a key gets an equal share of the response, less an overhead for each."""
     n = F.count("*").over(Window.partitionBy(key))

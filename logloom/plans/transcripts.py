@@ -25,6 +25,10 @@ PARSED = f"""{PLACES}, x AS (SELECT session_id, source, 0 AS pos, 'user' AS kind
   UNION ALL SELECT session_id, source, 0, 'bash', NULL, NULL, NULL, ['npm test', 'git commit -m x', 'ls -la', 'make'][e % 4 + 1], e % 2 FROM v WHERE t = 'error')"""
 
 
+def _quoted(text: str) -> str:
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n"))
+
+
 def messages(spark, d):
     return M.event_messages(table(spark, d, "events"))
 
@@ -132,6 +136,23 @@ def context_chain(spark, d):
     return drill.with_chain(rows, turns.where("role = 'assistant'").selectExpr("conv_id AS session_id", "turn AS sequence", "text AS summary"))
 
 
+@query(f"""WITH m AS (SELECT conv_id AS session_id, turn AS place, CASE WHEN role = 'system' THEN 'compactionSummary' WHEN conv_id % 5 = 0 AND turn = 1 THEN 'branchSummary' ELSE role END AS role, text FROM conversations),
+c AS (SELECT session_id, max(text) FILTER (role = 'compactionSummary') AS told FROM m GROUP BY session_id), h AS (SELECT m.*, c.told, coalesce(m.role IN ('compactionSummary', 'branchSummary') AND m.text = c.told, false) AS hit FROM m JOIN c USING (session_id)),
+o AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY session_id) = 1 AND hit AS swap FROM h), g AS (SELECT session_id, place AS part, text, row_number() OVER (PARTITION BY session_id ORDER BY place) AS nth FROM m WHERE role = 'assistant' AND session_id % 3 > 0)
+SELECT session_id, place, 0::BIGINT AS part, role, text FROM o WHERE NOT swap
+UNION ALL SELECT o.session_id, o.place, g.part, 'append-segment', CASE WHEN g.nth = 1 THEN {_quoted(drill.FRAME_OPEN)} ELSE '' END || g.text FROM o JOIN g ON g.session_id = o.session_id WHERE o.swap
+UNION ALL SELECT session_id, place, 4611686018427387904, 'append-trailing', CASE WHEN EXISTS (FROM g WHERE g.session_id = o.session_id) THEN '' ELSE {_quoted(drill.FRAME_OPEN)} END || told || {_quoted(drill.FRAME_CLOSE)} FROM o WHERE swap""")
+def projected_context(spark, d):
+    """Conversations whose system turn is the newest summary, with a chain of their assistants' turns or none, projected twice."""
+    turns = table(spark, d, "conversations")
+    rows = turns.selectExpr("conv_id AS session_id", "turn AS place", "CASE WHEN role = 'system' THEN 'compactionSummary' WHEN conv_id % 5 = 0 AND turn = 1 THEN 'branchSummary' ELSE role END AS role", "text")
+    segments = rows.where("role = 'assistant' and session_id % 3 > 0").selectExpr("session_id", "place AS sequence", "text AS summary")
+    chains = rows.where("role = 'compactionSummary'").groupBy("session_id").agg(F.max("text").alias("trailing"))
+    once = drill.projected(rows, segments, chains)
+    again = drill.projected(once.select("session_id", F.struct("place", "part").alias("place"), "role", "text"), segments, chains)
+    return again.select("session_id", "place.place", "place.part", "role", "text")
+
+
 @query("""WITH s AS (SELECT conv_id, turn, text, floor(greatest(900 - 200 * count(*) OVER (PARTITION BY conv_id), 0) / count(*) OVER (PARTITION BY conv_id))::INT AS share FROM conversations)
 SELECT conv_id, turn, text[1:share] AS shown, length(text) > share AS cut FROM s""")
 def recall_allotment(spark, d):
