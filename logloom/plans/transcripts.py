@@ -223,11 +223,47 @@ def ranked_selection(spark, d):
     return brief.selected(held(spark, d))
 
 
-@query()
+BRIEF = f"""{PARSED}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY source, pos) - 1 AS blk FROM x),
+i AS (SELECT *, sum((kind IN ('tool_call', 'user'))::INT) OVER (PARTITION BY session_id ORDER BY blk) AS island FROM b), c AS (SELECT session_id, island, name FROM i WHERE kind = 'tool_call'),
+r AS (SELECT i.session_id, i.island, arg_min(i.source, i.blk) AS result FROM i JOIN c ON c.session_id = i.session_id AND c.island = i.island AND c.name = i.name WHERE i.kind = 'tool_result' GROUP BY ALL),
+s AS (SELECT i.session_id, i.blk, CASE WHEN kind IN ('user', 'bash') THEN '[user]' ELSE '[assistant]' END AS header, kind = 'tool_call' AS tool, CASE kind WHEN 'user' THEN text || ' (#' || source || ')' WHEN 'bash' THEN '$ ' || command || ' (#' || source || ')'
+  WHEN 'assistant' THEN substr(text, 6) || ' (#' || source || ')' ELSE '* ' || name || ' "' || path || '"' END AS line, CASE WHEN kind = 'tool_call' THEN list_filter(['#' || source, 'result #' || result], lambda z: z IS NOT NULL) END AS refs
+  FROM i LEFT JOIN r ON r.session_id = i.session_id AND r.island = i.island AND i.kind = 'tool_call' WHERE kind NOT IN ('thinking', 'tool_result')),
+f AS (SELECT *, coalesce(lag(header) OVER w <> header, true) AS fresh, lag(tool) OVER w AND lag(line) OVER w = line AND tool AS same FROM s WINDOW w AS (PARTITION BY session_id ORDER BY blk)),
+g AS (SELECT *, sum(fresh::INT) OVER w AS section, sum((fresh OR NOT coalesce(same, false))::INT) OVER w AS run FROM f WINDOW w AS (PARTITION BY session_id ORDER BY blk)),
+m AS (SELECT session_id, section, run, any_value(header) AS header, any_value(tool) AS tool, any_value(line) AS line, count(*) AS times, flatten(list(refs ORDER BY blk) FILTER (tool)) AS refs FROM g GROUP BY session_id, section, run),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id, section, tool ORDER BY run DESC) AS back, count(*) OVER (PARTITION BY session_id, section, tool) AS calls FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id, section ORDER BY run) = 1 AS first FROM k WHERE NOT tool OR back <= 8),
+z AS (SELECT session_id, run, list_concat(CASE WHEN first AND section > 1 THEN ['', header] WHEN first THEN [header] ELSE [] END, CASE WHEN tool AND back = 8 AND calls > 8 THEN ['* (' || (calls - 8) || ' earlier tool-call entries omitted)'] ELSE [] END,
+  [CASE WHEN tool THEN line || ' (' || array_to_string(list_filter(refs, lambda y, j: list_position(refs, y) = j), ', ') || ')' || CASE WHEN times > 1 THEN ' x' || times ELSE '' END ELSE line END]) AS l FROM o),
+e AS (SELECT session_id, run, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM z)"""
+
+
+@query(f"WITH {BRIEF} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY run, k) AS n, line, count(*) OVER (PARTITION BY session_id) AS total FROM e")
 def brief_transcript(spark, d):
     return brief.lines(held(spark, d))
 
 
+@query(f"""WITH {BRIEF}, n AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY run, k) AS n, line, count(*) OVER (PARTITION BY session_id) AS total FROM e),
+t AS (SELECT *, min(n) FILTER (regexp_matches(line, '^\\[.+\\]')) OVER (PARTITION BY session_id) AS start FROM n WHERE n > total - 120),
+br AS (SELECT session_id, CASE WHEN max(total) > count(*) THEN '...(' || (max(total) - count(*)) || ' earlier lines omitted)' || chr(10) || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY n) AS brief FROM t WHERE total <= 120 OR start IS NULL OR n >= start GROUP BY session_id),
+u AS (SELECT session_id, min(source) AS lo, max(source) AS hi, arg_min(text, source) AS first, arg_max(text, source) AS last FROM x WHERE kind = 'user' AND pos = 0 GROUP BY session_id),
+go AS (SELECT session_id, '- ' || first || CASE WHEN hi > lo THEN '|- [Scope change]|- ' || last ELSE '' END AS goals FROM u), co AS (SELECT DISTINCT session_id, '- x' AS commits FROM x WHERE command = 'git commit -m x'),
+fl AS (SELECT session_id, CASE name WHEN 'edit' THEN 'Modified' ELSE 'Read' END AS category, path, min(source) AS first_blk FROM x WHERE kind = 'tool_call' GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY session_id, category ORDER BY first_blk, path) AS nr, count(*) OVER (PARTITION BY session_id, category) AS cnt, string_split(path, '/')[4] AS m FROM fl),
+fp AS (SELECT session_id, category, CASE WHEN count(*) < 2 THEN '' WHEN count(DISTINCT m) = 1 THEN '/repo/src/' || min(m) || '/' ELSE '/repo/src/' END AS dir FROM fr GROUP BY ALL),
+fg AS (SELECT session_id, category, min(nr) AS nr, category || CASE WHEN dir <> '' THEN ' (in ' || dir || ')' ELSE '' END || ': ' || string_agg(substr(path, length(dir) + 1), ', ' ORDER BY nr) AS line FROM fr JOIN fp USING (session_id, category) WHERE nr <= 20 GROUP BY session_id, category, dir
+UNION ALL SELECT session_id, category, min(nr), category || ' (+' || count(*) || ' more under /repo/src/' || m || '/): ' || string_agg(string_split(path, '/')[5], ', ' ORDER BY nr) FROM fr WHERE nr BETWEEN 21 AND 100 GROUP BY session_id, category, m
+UNION ALL SELECT session_id, category, 101, category || ' (+' || (cnt - 100) || ' more)' FROM fr WHERE nr = 101), fi AS (SELECT session_id, string_agg('- ' || line, '|' ORDER BY category, nr) AS files FROM fg GROUP BY session_id)
+SELECT s.session_id, coalesce(goals, '') AS goals, coalesce(files, '') AS files, coalesce(commits, '') AS commits, '' AS blockers, coalesce(brief, '') AS brief
+FROM (SELECT DISTINCT session_id FROM x) s LEFT JOIN go USING (session_id) LEFT JOIN fi USING (session_id) LEFT JOIN co USING (session_id) LEFT JOIN br USING (session_id)""")
+def whole_summaries(spark, d):
+    """Summaries with whole briefs, wrapped and with their note, taken apart again."""
+    made = summary.summaries(held(spark, d), ranked=False).select("session_id", summary.without_note(F.col("summary")).alias("s"))
+    part = lambda name: F.array_join(merging.bullets(merging.section(F.col("s"), summary.TITLES[name])), "|")
+    return made.select("session_id", *[part(n).alias(n) for n in ("goals", "files", "commits", "blockers")], merging.brief_of(F.col("s")).alias("brief"))
+
+
 @query()
 def compact_summary(spark, d):
     return summary.summaries(held(spark, d)).select("session_id", "summary", "brief_lines")
