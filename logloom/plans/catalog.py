@@ -144,8 +144,9 @@ def recall_literal_union(spark, d):
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(R.STOPWORDS)) + "]"
 
 
-@query(rf"""WITH e AS (SELECT conv_id AS session_id, turn AS idx, concat_ws(' ', role, coalesce(text, ''), '') AS doc FROM conversations), x AS (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM conversations GROUP BY conv_id),
-q0 AS (SELECT c.conv_id AS session_id, unnest(CASE WHEN turn = a AND turn = b THEN ['first', 'last'] WHEN turn = a THEN ['first'] ELSE ['last'] END) AS label, regexp_extract_all(text, '[\p{{L}}\p{{N}}_./-]{{3,}}')[1:6] AS w FROM conversations c JOIN x ON x.conv_id = c.conv_id AND c.turn IN (a, b)),
+def many_hits(parts: str) -> str:
+    """Hits of every query among its session's entries; parts: CTEs e (session_id, idx, doc) and q0 (session_id, label, w: words)."""
+    return rf"""WITH {parts},
 q AS (SELECT session_id, label, CASE WHEN len(list_filter(w, lambda t: NOT list_contains({_STOP}, lower(t)))) > 0 THEN list_filter(w, lambda t: NOT list_contains({_STOP}, lower(t))) ELSE w END AS w FROM q0 WHERE len(w) > 0),
 u AS (SELECT session_id, label, len(list_distinct(list_transform(w, lambda t: lower(t)))) > 1 AS several, unnest(w) AS term FROM q), t AS (SELECT session_id, label, several, term, count(*) AS times FROM u GROUP BY ALL),
 d AS (SELECT *, len(regexp_extract_all(doc, '[\p{{L}}\p{{N}}_]+')) AS dl FROM e), s AS (SELECT session_id, count(*) AS n, avg(dl) AS avg_dl FROM d GROUP BY session_id),
@@ -156,7 +157,11 @@ h AS (SELECT p.session_id, t.label, t.several, p.idx, dl / avg_dl AS ratio, sum(
 a AS (SELECT session_id, label, CASE WHEN stddev_pop(score) FILTER (score > 0) > 0 THEN 1 / stddev_pop(score) FILTER (score > 0) ELSE 1 END AS alpha, coalesce(median(score) FILTER (score > 0), 0) AS beta, max(coverage) AS best FROM h GROUP BY ALL),
 k AS (SELECT h.*, best, 1 / (1 + exp(-alpha * (score - beta))) AS l, greatest(0.1e0, least(0.9e0, 0.7e0 * (0.2e0 + 0.7e0 * least(1, tf / 10)) + 0.3e0 * (0.3e0 + 0.6e0 * (1 - least(1, abs(ratio - 0.5e0) * 2))))) AS pr, row_number() OVER (PARTITION BY h.session_id, h.label ORDER BY round(score, 9) DESC, idx) AS rk FROM h JOIN a ON a.session_id = h.session_id AND a.label = h.label),
 g AS (SELECT * FROM k WHERE NOT several OR rk = 1 OR l * pr / (l * pr + (1 - l) * (1 - pr)) >= 0.5 OR coverage >= best)
-SELECT q.session_id, q.label, least(count(g.idx), 50)::BIGINT AS n_hits FROM q LEFT JOIN g ON g.session_id = q.session_id AND g.label = q.label GROUP BY ALL""")
+SELECT q.session_id, q.label, least(count(g.idx), 50)::BIGINT AS n_hits FROM q LEFT JOIN g ON g.session_id = q.session_id AND g.label = q.label GROUP BY ALL"""
+
+
+@query(many_hits(r"""e AS (SELECT conv_id AS session_id, turn AS idx, concat_ws(' ', role, coalesce(text, ''), '') AS doc FROM conversations), x AS (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM conversations GROUP BY conv_id),
+q0 AS (SELECT c.conv_id AS session_id, unnest(CASE WHEN turn = a AND turn = b THEN ['first', 'last'] WHEN turn = a THEN ['first'] ELSE ['last'] END) AS label, regexp_extract_all(text, '[\p{L}\p{N}_./-]{3,}')[1:6] AS w FROM conversations c JOIN x ON x.conv_id = c.conv_id AND c.turn IN (a, b))"""))
 def probe_hits(spark, d):
     """Every conversation searched by the words of its first and of its last turn, all in one job."""
     from pyspark.sql import Window

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import recall, search, summary, windows
+from ..operators import facts, many, recall, search, summary, windows
 from ..sources import messages as M
 from ..sources.sessions import table
-from .catalog import BLOCKS, MESSAGES, PLACED, blocks, query
+from .catalog import BLOCKS, MESSAGES, PLACED, blocks, many_hits, query
 from .catalog import messages as turns
-from .transcripts import PATH, PLACES, WRITTEN, messages
+from .transcripts import PATH, PLACES, WRITTEN, messages, parsed
 
 #: A request made of each turn: references of all forms, and the turn's own words.
 ASKED = "CASE conv_id % 9 WHEN 0 THEN '#' || turn WHEN 1 THEN '#' || turn || ':full' WHEN 2 THEN '#' || conv_id || ':' || turn || ':20' WHEN 3 THEN '#' || turn || ':text:' || conv_id WHEN 4 THEN '#' || turn || ':src/' || conv_id || '.ts' WHEN 5 THEN '#' || conv_id || ':a:' || turn || '.ts:10:' || turn WHEN 6 THEN '#' || turn || ':text:full' WHEN 7 THEN text ELSE '#' || turn || ' ' || role END"
@@ -52,9 +52,12 @@ def rendered_messages(spark, d):
     return messages(spark, d).select("session_id", "seq", M.rendered(F.col("message"), raw=F.col("raw")).alias("r")).select("session_id", "seq", "r.*")
 
 
-@query(f"""WITH {PLACES} SELECT session_id, source AS seq, CASE t WHEN 'signup' THEN 'please fix the parser of step ' || e WHEN 'click' THEN 'Hmm, step ' || e || ' is done' || chr(10) || 't' || e
+DOCUMENT = f"""CASE t WHEN 'signup' THEN 'please fix the parser of step ' || e WHEN 'click' THEN 'Hmm, step ' || e || ' is done' || chr(10) || 't' || e
   WHEN 'purchase' THEN {PATH} || chr(10) || CASE WHEN e % 2 = 0 THEN 'a' || chr(10) || chr(10) || 'b' || chr(10) || 'c' || chr(10) ELSE 'x' || chr(10) || 'y' || chr(10) || 'z' || chr(10) || chr(10) || 'w' END
-  WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN 'ok ' || e ELSE {PATH} END ELSE {SHELL} || ' line ' || e END AS doc FROM v""")
+  WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN 'ok ' || e ELSE {PATH} END ELSE {SHELL} || ' line ' || e END"""
+
+
+@query(f"""WITH {PLACES} SELECT session_id, source AS seq, {DOCUMENT} AS doc FROM v""")
 def search_documents(spark, d):
     return messages(spark, d).select("session_id", "seq", M.search_document(F.col("message"), raw=F.col("raw")).alias("doc"))
 
@@ -216,3 +219,15 @@ def branch_scope(spark, d):
     rows = turns.selectExpr("conv_id AS session_id", "turn AS seq", "CASE WHEN turn % 5 = 4 THEN 'twice' ELSE concat('e', turn) END AS entry_id", "'message' AS type")
     branch = turns.where("conv_id % 4 <> 1").selectExpr("conv_id AS session_id", "CASE WHEN conv_id % 4 = 2 THEN '' WHEN turn % 2 = 0 THEN concat('e', turn) END AS entry_id")
     return windows.scoped(rows, branch)
+
+
+@query(many_hits(rf"""{PLACES}, e AS (SELECT session_id, source AS idx, CASE t WHEN 'signup' THEN 'user' WHEN 'error' THEN 'bash' WHEN 'view' THEN CASE WHEN e % 3 = 0 THEN 'tool_result' ELSE 'assistant' END ELSE 'assistant' END || ' ' || {DOCUMENT} || ' '
+  || CASE WHEN t = 'purchase' OR t = 'view' AND e % 3 <> 0 THEN {PATH} ELSE '' END AS doc FROM v),
+told AS (SELECT session_id, 'goal' AS label, arg_min('please fix the parser of step ' || e, source) AS text FROM v WHERE t = 'signup' GROUP BY session_id UNION ALL SELECT session_id, 'file', arg_min({PATH}, source) FROM v WHERE t = 'purchase' OR t = 'view' AND e % 3 <> 0 GROUP BY session_id),
+q0 AS (SELECT session_id, label, regexp_extract_all(text, '[\p{{L}}\p{{N}}_./-]{{3,}}')[1:6] AS w FROM told)"""))
+def report_probes(spark, d):
+    """Each session searched by its first goal and its first file, as its report does."""
+    b = parsed(spark, d)
+    file = b.where("kind = 'tool_call'").groupBy("session_id").agg(F.min_by("path", "blk").alias("file"))
+    told = facts.goals(b).join(file, "session_id", "full_outer").withColumn("blockers", F.array().cast("array<string>"))
+    return many.hit_counts(summary.entry_documents(messages(spark, d)), summary.probe_queries(told))
