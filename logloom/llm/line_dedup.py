@@ -1,8 +1,8 @@
 """Line dedup: a line that several documents hold stays only in the document with the smallest id.
 
 A line's key is the line without blanks at its ends, A-Z in lower case; its 128-bit hash stands for it. Documents are
-dealt to PARTS parts by a hash of their id, and each part tells of a line's hash its first place (document, position) and
-its last document. Those rows, at most PARTS of a hash whatever its frequency, are range-partitioned by hash and sorted
+dealt to parts by a hash of their id, PARTS of them and more as the documents grow, and each part tells of a line's hash its first place (document, position) and
+its last document. Those rows, one a part at most of a hash whatever its frequency, are range-partitioned by hash and sorted
 by document and position, so that each hash's first occurrence streams past. The verdict goes back to the lines by hash
 and part, so no task gets all rows of a frequent line. What comes back per document is a compressed keep bitmap, no
 text: words of 64 lines, of which the lowest bit is the first line, and only the words that lack a line.
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, table
 
-MIN_CHARS, BITS, PARTS = 10, 64, 1024
+MIN_CHARS, BITS = 10, 64
+#: Parts at least, and documents in a part at most.
+PARTS, PART_ROWS = 1024, 100_000
 
 
 def _lines(text):
@@ -29,8 +31,9 @@ def _lines(text):
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text_key, keep (array of word, bits) of every document that loses lines."""
+    parts = max(PARTS, -(-docs.count() // PART_ROWS))
     lines = docs.where("doc_id is not null and text is not null").select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), F.posexplode_outer(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
+        "doc_id", F.xxhash64("text").alias("text_key"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.posexplode_outer(_lines(ascii_lower(F.col("text")))).alias("pos", "line")
     )
     key = F.btrim("line", F.lit(BLANKS))
     hashed = lines.where(F.char_length(key) >= min_chars).select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "part", "doc_id", "text_key", "pos")

@@ -15,6 +15,8 @@ result; other columns are left out of plan_mix(). The windows over all sources s
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from .common import WORD, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Buckets of one source: hexadecimal digits of the key, 4096 buckets.
-DIGITS = 3
+#: Buckets of one source: hexadecimal digits of the key, 4096 buckets at least, and rows in one of a source that has them all.
+DIGITS, BUCKET_ROWS = 3, 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -49,7 +51,8 @@ def plan_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("text").cast("string")))
     key = F.md5(F.concat_ws(":", F.lit(seed), own))
     sizes = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")))
-    sizes = sizes.withColumn("bucket", F.substring("key", 1, DIGITS))
+    digits = max(DIGITS, ceil(log(max(1, sizes.count() / BUCKET_ROWS), 16)))
+    sizes = sizes.withColumn("bucket", F.substring("key", 1, digits))
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     starts = sums.select("source", "bucket", (F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).alias("start"))
     per_bucket = starts.alias("b").join(source_targets(sizes, weights, most).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))

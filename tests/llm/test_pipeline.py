@@ -141,6 +141,23 @@ def test_stages(spark, corpus):
         assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and x[-1][0] + x[-1][1] <= 4096
 
 
+@pytest.mark.parametrize("rows", [1, 7])
+def test_more_parts_and_buckets_change_no_row(spark, corpus, monkeypatch, rows):
+    """Parts of line dedup and buckets of mixing follow the number of documents: here many of a few rows each."""
+    from logloom.llm import line_dedup, mixing
+
+    def made():
+        lines = sorted(map(repr, line_dedup.dedup_lines(corpus).collect()))
+        return lines, sorted(map(repr, mixing.plan_mix(corpus.where("doc_id < 200")).collect()))
+
+    want = made()
+    monkeypatch.setattr(line_dedup, "PARTS", 1)
+    monkeypatch.setattr(line_dedup, "PART_ROWS", rows)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+    assert made() == want
+
+
 def _lengths(pieces):
     out = Counter()
     for p in pieces:
