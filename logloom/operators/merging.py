@@ -22,15 +22,9 @@ BARE_COUNT = r"\s*\(\+\d+ more\)\s*\z"
 
 def joined_lines(text: Column) -> Column:
     """Lines with their continuations: an indented line joins the one before it, in place of a backslash at its end or after a blank."""
-    none = F.array().cast("array<string>")
-
-    def read(out: Column, line: Column) -> Column:
-        size = F.size(out)
-        last, bare = F.element_at(out, F.when(size > 0, -1).otherwise(F.lit(None).cast("int"))), F.regexp_replace(line, r"^\s+|\s+\z", "")
-        longer = F.when(last.endswith("\\"), F.concat(F.substring(last, F.lit(1), F.char_length(last) - 1), bare)).otherwise(F.concat(last, F.lit(" "), bare))
-        return F.when((size > 0) & line.rlike(r"^\s+\S"), F.concat(F.slice(out, F.lit(1), F.greatest(size - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(line)))
-
-    return F.aggregate(F.split(text, "\n"), none, read)
+    bare = F.regexp_replace(text, r"(\n[^\S\n]+\S[^\n]*?)[^\S\n]+(?=\n|\z)", "$1")
+    hard = F.regexp_replace(bare, r"\\\n[^\S\n]+(?=\S)", "")
+    return F.split(F.regexp_replace(hard, r"\n[^\S\n]+(?=\S)", " "), "\n")
 
 
 def section(text: Column, title: str) -> Column:

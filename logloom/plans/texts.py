@@ -108,12 +108,20 @@ def plain_speech(spark, d):
     return rows.select("conv_id", "turn", W.collapsed_skills(W.without_self_talk(said)).alias("r"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, '- ' || trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')) AS l FROM documents) SELECT doc_id, l AS back, true AS fits FROM l WHERE length(l) > 2""")
+#: Each line of each text is cut step by step: at the last blank that the room holds, or, where that lies in the first half, a place before its end.
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, row_number() OVER () AS k, coalesce(string_split(text, chr(10)), [NULL]::VARCHAR[]) AS l FROM documents),
+l AS (SELECT doc_id, k, unnest(list_transform(l, lambda x: '- ' || trim(regexp_replace(x, '[\s\v]+', ' ', 'g'), ' '))) AS rest, generate_subscripts(l, 1) AS n FROM t),
+w AS (SELECT doc_id, k, n, 0 AS i, NULL::VARCHAR AS piece, rest, '' AS lead FROM l UNION ALL
+SELECT doc_id, k, n, i + 1, CASE WHEN length(rest) <= room THEN lead || rest WHEN cut >= room // 2 THEN lead || rtrim(substr(rest, 1, cut), ' ') ELSE lead || substr(rest, 1, room - 1) || chr(92) END,
+CASE WHEN length(rest) <= room THEN NULL WHEN cut >= room // 2 THEN ltrim(substr(rest, cut + 1), ' ') ELSE substr(rest, room) END, '  '
+FROM (SELECT *, 120 - length(lead) AS room, length(regexp_extract(substr(rest, 1, 121 - length(lead)), '(?s)^(.*) ', 1)) AS cut FROM w WHERE rest IS NOT NULL)),
+d AS (SELECT any_value(doc_id) AS doc_id, string_agg(piece, chr(10) ORDER BY n, i) AS lines, bool_and(length(piece) <= 120) AS fits FROM w GROUP BY k)
+SELECT doc_id, lines, replace(replace(lines, chr(92) || chr(10) || '  ', ''), chr(10) || '  ', ' ') AS back, fits FROM d""")
 def wrapped_lines(spark, d):
-    """First lines wrapped, no line over the limit, and read back."""
-    lines = table(spark, d, "documents").select("doc_id", F.concat(F.lit("- "), F.trim(F.regexp_replace(F.element_at(F.split("text", "\n"), 1), r"\s+", " "))).alias("l")).where(F.char_length("l") > 2)
-    rows = lines.select("doc_id", W.wrapped(F.col("l")).alias("w"))
-    return rows.select("doc_id", F.array_join(merging.joined_lines(F.col("w")), "\n").alias("back"), F.forall(F.split("w", "\n"), lambda x: F.char_length(x) <= W.LINE_MOST).alias("fits"))
+    """Whole texts, each line a bullet, wrapped, no line over the limit, and read back."""
+    told = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- "), F.trim(F.regexp_replace(x, r"\s+", " "))))
+    rows = table(spark, d, "documents").select("doc_id", W.wrapped(F.array_join(told, "\n")).alias("lines"))
+    return rows.select("doc_id", "lines", F.array_join(merging.joined_lines(F.col("lines")), "\n").alias("back"), F.forall(F.split("lines", "\n"), lambda x: F.char_length(x) <= W.LINE_MOST).alias("fits"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:4], lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)

@@ -103,3 +103,25 @@ def test_responses(spark):
     assert got[2] == "Page 9 is outside the available range 1-2 (3 matches (scope: all)). Use a page between 1 and 2 with mode:'file', or refine your query."
     paths = spark.createDataFrame([(p,) for p in ("/w/src/a.ts", "/x/y/z/b.ts", "c.ts", "C:\\a\\b\\c\\d.ts", "/wide/a")], "p string").select(responses.display_path(F.col("p"), "/w")).collect()
     assert [r[0] for r in paths] == ["./src/a.ts", ".../y/z/b.ts", "c.ts", ".../b/c/d.ts", "/wide/a"]
+
+
+def test_whole_texts_are_wrapped(spark, tmp_path):
+    """Every document has a row, blank and null ones too, and every line of it is wrapped, the longest as well."""
+    import duckdb
+
+    from logloom.operators import merging
+    from logloom.plans import catalog, texts
+
+    words = " ".join(["word"] * 40)
+    found = [(1, None), (2, ""), (3, f"  \n{words}\n\n\tlast  \x0b line "), (4, f"short\n{'z' * 300}"), (4, "a\\ " * 60), (5, "some words " * 20000)]
+    spark.createDataFrame(found, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r[:] for r in texts.wrapped_lines(spark, str(tmp_path)).select("doc_id", "lines", "back", "fits").collect()]
+    assert got[:2] == [(1, None, None, None), (2, "- ", "- ", True)]
+    assert got[2][1].split("\n") == ["- ", "- " + " ".join(["word"] * 23), "  " + " ".join(["word"] * 17), "- ", "- last line"] and got[2][2] == f"- \n- {words}\n- \n- last line"
+    assert got[3][1].split("\n") == ["- short", "- " + "z" * 117 + "\\", "  " + "z" * 117 + "\\", "  " + "z" * 66] and got[3][2] == "- short\n- " + "z" * 300
+    assert got[5][2] == "- " + " ".join(["some words"] * 20000) and got[5][1].count("\n") > 1800 and all(r[3] for r in got[1:])
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(repr, got)) == sorted(map(repr, c.execute(catalog.ORACLES["wrapped_lines"]).fetchall()))
+    odd = spark.createDataFrame([("\n  x",), ("a\\\n  \\\n\tb  \nc ",), ("c \n  d \n- e\n   \n f",)], "t string").select(merging.joined_lines(F.col("t")).alias("j")).collect()
+    assert [r.j for r in odd] == [[" x"], ["ab", "c "], ["c  d", "- e", "    f"]]
