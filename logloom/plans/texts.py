@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import brief as W
 from ..functions import relevance as R
 from ..functions import text as T
-from ..operators import facts, merging, summary
+from ..operators import facts, merging, summary, terms
 from ..sources import messages as M
 from ..sources.sessions import table
 from .catalog import query
@@ -51,11 +51,8 @@ def query_patterns(spark, d):
 d AS (SELECT doc_id, lower(text) AS text FROM documents), v AS (SELECT DISTINCT t FROM t), m AS (SELECT doc_id, v.t FROM d JOIN v ON contains(d.text, v.t))
 SELECT t.item_id, m.doc_id FROM t JOIN m ON m.t = t.t GROUP BY t.item_id, t.n, m.doc_id HAVING count(*) = t.n""")
 def documents_with_terms(spark, d):
-    """Every item against every document, all terms: a document that holds a term holds it within one of its own blank-free
-    runs, so the distinct runs are matched with the distinct terms, and items are counted down by equi-joins."""
-    asked = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("t"))
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("run"))
-    return T.all_terms(docs, asked.select("item_id", F.explode("t").alias("term")))
+    """Every item against every document, all terms."""
+    return terms.all_terms(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, replace(replace(text, ' ', ' ' || chr(9) || ' '), chr(10), ' ' || chr(13) || chr(10) || chr(10) || chr(10)) || chr(13) AS t FROM documents)
